@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("survival",)
+AREAS = ("survival", "scalars")
 
 
 def load_catalog():

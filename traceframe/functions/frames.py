@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where null equals null; keys come from the left side."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                   filled: Sequence[str] = ()) -> DataFrame:
+    """Equi-join on ``keys`` where null equals null; keys come from the left side.
+
+    Keys in ``filled`` are never null and join by plain equality.
+    """
     renamed = right.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys],
         *[F.col(c) for c in right.columns if c not in keys],
     )
     condition = F.lit(True)
     for k in keys:
-        condition = condition & left[k].eqNullSafe(renamed[f"__r_{k}"])
+        other = renamed[f"__r_{k}"]
+        condition = condition & ((left[k] == other) if k in filled else left[k].eqNullSafe(other))
     joined = left.join(renamed, condition, how)
     return joined.drop(*[f"__r_{k}" for k in keys]) if how not in ("left_semi", "left_anti") else joined
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .frames import join_null_safe
 
 BLOCKS_PER_E_FOLD = 64
@@ -41,6 +42,7 @@ def order_statistics(
         .groupBy(*groups, "__b", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
+    counts = settle(counts, "value-counts")
     by_group = Window.partitionBy(*groups)
     blocks = (
         counts.groupBy(*groups, "__b")
@@ -52,7 +54,7 @@ def order_statistics(
     for rank in ranks.values():
         r = rank(F.col("__n"))
         wanted = wanted | ((r >= F.col("__before")) & (r < F.col("__before") + F.col("__bc")))
-    hit = join_null_safe(counts, blocks.where(wanted), [*groups, "__b"])
+    hit = join_null_safe(counts, blocks.where(wanted), [*groups, "__b"], filled=["__b"])
     inside = Window.partitionBy(*groups, "__b").orderBy("__v")
     hit = hit.withColumn("__hi", F.col("__before") + F.sum("__c").over(inside)).withColumn(
         "__lo", F.col("__hi") - F.col("__c")

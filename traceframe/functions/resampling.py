@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .frames import join_null_safe
 
 MODULUS = 2147483647  # prime, so x -> x^5 permutes the residues
@@ -59,7 +60,7 @@ def dense_index(df: DataFrame, groups: Sequence[str], number: str, tie: str) ->
     )
     inside = Window.partitionBy(*keys).orderBy(number, tie)
     placed = df.withColumn("__pos", F.row_number().over(inside) - 1)
-    return join_null_safe(placed, starts, keys).withColumn("idx", F.col("__start") + F.col("__pos")).drop(
+    return join_null_safe(placed, starts, keys, filled=["__rng"]).withColumn("idx", F.col("__start") + F.col("__pos")).drop(
         "__rng", "__start", "__pos"
     )
 
@@ -86,14 +87,14 @@ def bootstrap_weights(clusters: DataFrame, groups: Sequence[str], cluster: str,
         return drawn.select(*groups, cluster, "replicate", _poisson_weight("__u").alias("weight")).where("weight > 0")
     if scheme != "multinomial":
         raise ValueError(f"unknown resampling scheme {scheme!r}")
-    placed = dense_index(base, groups, "__num", cluster)
+    placed = settle(dense_index(settle(base, "clusters"), groups, "__num", cluster), "cluster-index")
     slots = _add_draw(_explode_replicates(placed.select(*groups, "idx", "n"), n_resamples), "idx", seed, "__u")
     picks = (
         slots.select(*groups, "replicate", (F.col("__u") % F.col("n")).alias("idx"))
         .groupBy(*groups, "replicate", "idx")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-    return join_null_safe(picks, placed.select(*groups, "idx", cluster), [*groups, "idx"]).drop("idx")
+    return join_null_safe(picks, placed.select(*groups, "idx", cluster), [*groups, "idx"], filled=["idx"]).drop("idx")
 
 
 def replicate_means(values: DataFrame, groups: Sequence[str], cluster: str, value: str, n_resamples: int, seed: int,
@@ -111,10 +112,10 @@ def replicate_means(values: DataFrame, groups: Sequence[str], cluster: str, valu
         )
     if scheme != "multinomial":
         raise ValueError(f"unknown resampling scheme {scheme!r}")
-    placed = dense_index(base, groups, "__num", cluster)
+    placed = settle(dense_index(settle(base, "clusters"), groups, "__num", cluster), "cluster-index")
     slots = _add_draw(_explode_replicates(placed.select(*groups, "idx", "n"), n_resamples), "idx", seed, "__u")
     slots = slots.select(*groups, "replicate", (F.col("__u") % F.col("n")).alias("idx"))
-    picked = join_null_safe(slots, placed.select(*groups, "idx", value), [*groups, "idx"])
+    picked = join_null_safe(slots, placed.select(*groups, "idx", value), [*groups, "idx"], filled=["idx"])
     return picked.groupBy(*groups, "replicate").agg(F.avg(value).alias("estimate"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import count_of, join_null_safe
+from ..session import settle
 from ..functions.resampling import bootstrap_weights, interval
 
 TIME_BLOCK = 4096.0
@@ -32,7 +33,7 @@ def life_table(df: DataFrame, strata: Sequence[str], time: str = "time", event:
 def product_limit(life: DataFrame, strata: Sequence[str], block: float = TIME_BLOCK) -> DataFrame:
     """Survival curve of a life table: at-risk counts include everyone with time >= t."""
     keys = [*strata, "__blk"]
-    life = life.withColumn("__blk", F.floor(F.col("time") / F.lit(block)))
+    life = settle(life.withColumn("__blk", F.floor(F.col("time") / F.lit(block))), "life-table")
     per_block = life.groupBy(*keys).agg(F.sum("__n").alias("__bn"))
     along = Window.partitionBy(*strata).orderBy("__blk") if strata else Window.orderBy("__blk")
     whole = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
@@ -41,7 +42,7 @@ def product_limit(life: DataFrame, strata: Sequence[str], block: float = TIME_BL
         (F.sum("__bn").over(whole) - F.sum("__bn").over(along) + F.col("__bn")).alias("__start"),
     )
     inside = Window.partitionBy(*keys).orderBy("time")
-    rows = join_null_safe(life, starts, keys)
+    rows = join_null_safe(life, starts, keys, filled=["__blk"])
     rows = rows.withColumn("at_risk", F.col("__start") - F.sum("__n").over(inside) + F.col("__n"))
     rows = rows.withColumn(
         "__factor",
@@ -52,7 +53,7 @@ def product_limit(life: DataFrame, strata: Sequence[str], block: float = TIME_BL
     entering = block_products.select(
         *keys, F.coalesce(F.product("__p").over(before), F.lit(1.0)).alias("__enter")
     )
-    rows = join_null_safe(rows, entering, keys)
+    rows = join_null_safe(rows, entering, keys, filled=["__blk"])
     earlier = F.coalesce(F.product("__factor").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
     survival = F.col("__enter") * F.col("__inner")
     return rows.withColumn("__earlier", F.col("__enter") * earlier).select(
@@ -165,7 +166,7 @@ def rmst_delta_bootstrap(df: DataFrame, tau: float, cluster: str = "task_id", ar
     obs = df.where(F.col(arm).isin(*arms)).select(
         *by, F.col(cluster).alias("__cl"), F.col(arm).alias("__arm"), time, event
     )
-    cells = life_table(obs, [*by, "__cl", "__arm"], time, event)
+    cells = settle(life_table(obs, [*by, "__cl", "__arm"], time, event), "cluster-life-tables")
     shared = (
         cells.groupBy(*by, "__cl")
         .agg(F.count_if(F.col("__arm") == arms[0]).alias("__a"), F.count_if(F.col("__arm") == arms[1]).alias("__b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "traceframe", master: str | None = None, shuffle_partitions: int | None = None,
@@ -48,3 +48,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="traceframe-")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write an aggregated intermediate to shared scratch and read it back.
+
+    Used where a small result of a large scan feeds several branches: column
+    pruning would otherwise give every branch its own scan of the input.  The
+    written table also survives the loss of executors.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
