@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("survival", "scalars")
+AREAS = ("survival", "scalars", "sequences")
 
 
 def load_catalog():

@@ -39,7 +39,7 @@ def reasoning_only(ids: Column, think_end: Column, eos: Column) -> Column:
 def first_divergence(a: Column, b: Column) -> Column:
     """0-based index of the first difference (a missing element differs); null when equal."""
     pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
-    differs = F.transform(pairs, lambda p: ~p.getField("0").eqNullSafe(p.getField("1")))
+    differs = F.transform(pairs, lambda p: ~p["x"].eqNullSafe(p["y"]))
     at = F.array_position(differs, F.lit(True))
     return F.when(at > 0, at - 1)
 

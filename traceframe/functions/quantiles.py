@@ -25,25 +25,23 @@ def value_block(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BLOCKS_PER_E_FOLD))
 
 
-def order_statistics(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str | Column,
-    ranks: Mapping[str, Callable[[Column], Column]],
-) -> DataFrame:
-    """Values at given 0-based ranks per group: ``ranks`` maps a name to rank(n)."""
+def value_counts(df: DataFrame, groups: Sequence[str], value: str | Column) -> DataFrame:
+    """Settled table (groups, __b, __v, __c) of the non-null values, the input of everything below."""
     v = F.col(value) if isinstance(value, str) else value
-    groups = list(groups)
-    slim = df.select(*groups, v.cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    if not groups:
-        slim, groups = slim.withColumn("__all", F.lit(0)), ["__all"]
     counts = (
-        slim.withColumn("__b", value_block(F.col("__v")))
+        df.select(*groups, v.cast("double").alias("__v"))
+        .where(F.col("__v").isNotNull())
+        .withColumn("__b", value_block(F.col("__v")))
         .groupBy(*groups, "__b", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    counts = settle(counts, "value-counts")
-    by_group = Window.partitionBy(*groups)
+    return settle(counts, "value-counts")
+
+
+def ranks_of_counts(counts: DataFrame, groups: Sequence[str], ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """Values at 0-based ranks of a ``value_counts`` table, plus the group size ``n_values``."""
+    groups = list(groups)
+    by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     blocks = (
         counts.groupBy(*groups, "__b")
         .agg(F.sum("__c").alias("__bc"))
@@ -62,25 +60,30 @@ def order_statistics(
     picks = []
     for name, rank in ranks.items():
         r = rank(F.col("__n"))
-        picks.append(
-            F.max(F.when((r >= F.col("__lo")) & (r < F.col("__hi")), F.col("__v"))).alias(name)
-        )
-    out = hit.groupBy(*groups).agg(F.max("__n").alias("n_values"), *picks)
-    return out.drop("__all")
+        picks.append(F.max(F.when((r >= F.col("__lo")) & (r < F.col("__hi")), F.col("__v"))).alias(name))
+    return hit.groupBy(*groups).agg(F.max("__n").alias("n_values"), *picks)
 
 
-def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], value: str | Column, probs: Mapping[str, float]
-) -> DataFrame:
-    """Linearly interpolated quantiles per group, named by ``probs``."""
+def quantiles_of_counts(counts: DataFrame, groups: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, p in probs.items():
         ranks[f"__{name}_lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(p))
         ranks[f"__{name}_hi"] = lambda n, p=p: F.ceil((n - 1) * F.lit(p))
-    stats = order_statistics(df, groups, value, ranks)
+    stats = ranks_of_counts(counts, groups, ranks)
     out = []
     for name, p in probs.items():
         position = (F.col("n_values") - 1) * F.lit(p)
         low, high = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
         out.append((low + (high - low) * (position - F.floor(position))).alias(name))
     return stats.select(*groups, *out)
+
+
+def order_statistics(df: DataFrame, groups: Sequence[str], value: str | Column,
+                     ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """Values at given 0-based ranks per group: ``ranks`` maps a name to rank(n)."""
+    return ranks_of_counts(value_counts(df, groups, value), groups, ranks)
+
+
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str | Column, probs: Mapping[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per group, named by ``probs``."""
+    return quantiles_of_counts(value_counts(df, groups, value), groups, probs)
