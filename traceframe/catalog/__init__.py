@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("survival", "scalars", "sequences")
+AREAS = ("survival", "scalars", "sequences", "draws")
 
 
 def load_catalog():
