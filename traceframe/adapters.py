@@ -131,6 +131,22 @@ ADAPTERS: dict[str, str] = {
                CASE WHEN p_size % 4 = 0 THEN 'sampled' ELSE 'greedy' END AS decoding
         FROM {part}
     """,
+    # a task population per source, and an older copy of it with changed texts
+    "tasks": """
+        SELECT source AS population, 'task-' || CAST(doc_id AS STRING) AS task_id, lang AS family,
+               CASE WHEN n_chars < 500 THEN 'easy' WHEN n_chars < 2000 THEN 'medium' ELSE 'hard' END AS level,
+               md5(text) AS presentation_id, md5(lower(text)) AS signature
+        FROM {documents}
+    """,
+    "old_tasks": """
+        SELECT source AS population, 'task-' || CAST(doc_id AS STRING) AS task_id,
+               CASE WHEN source = 'src2' AND lang = 'fr' THEN 'de' ELSE lang END AS family,
+               CASE WHEN n_chars < 500 THEN 'easy' WHEN n_chars < CASE WHEN source = 'src3' THEN 1000 ELSE 2000 END
+                 THEN 'medium' ELSE 'hard' END AS level,
+               md5(CASE WHEN source = 'src4' THEN text || '.' ELSE text END) AS presentation_id,
+               md5(lower(CASE WHEN source = 'src5' THEN text || '.' ELSE text END)) AS signature
+        FROM {documents} WHERE NOT (source = 'src6' AND lang = 'de')
+    """,
     # sealed and actual digests of evidence units
     "sealed": """
         SELECT source AS run_id, 'unit-' || CAST(doc_id AS STRING) AS name,

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("survival", "scalars", "sequences", "draws")
+AREAS = ("survival", "scalars", "sequences", "draws", "population")
 
 
 def load_catalog():

@@ -6,9 +6,9 @@ only the two executions needed for a first divergence have their arrays fetched.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -25,14 +25,16 @@ def with_digest(records: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def collapse_draws(records: DataFrame, key: Sequence[str] = DRAW_KEY, keep: Sequence[str] = (),
-                   order: Sequence[str] = ORDER, tokens: str = "tokens", divergence: bool = True) -> DataFrame:
-    """One row per draw.
+                   order: Sequence[str] = ORDER, tokens: str = "tokens", divergence: bool = True,
+                   extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per draw; ``extra`` adds named aggregates over all executions of the draw.
 
     A draw whose executions are token-identical is represented by its lowest
     repeat (columns ``keep``); a divergent draw is ``ambiguous`` and its
     representative columns are null.  ``order`` must identify an execution.
     """
     key = list(key)
+    extra = dict(extra or {})
     place = F.struct(*order)
     rows = with_digest(records, tokens)
     grouped = rows.groupBy(*key).agg(
@@ -40,6 +42,7 @@ def collapse_draws(records: DataFrame, key: Sequence[str] = DRAW_KEY, keep: Sequ
         F.min("__dig").alias("__lo"),
         F.max("__dig").alias("__hi"),
         F.min(F.struct(*order, "__dig", *[F.col(c).alias(f"__k_{c}") for c in keep])).alias("__first"),
+        *[c.alias(name) for name, c in extra.items()],
     )
     same = F.col("__lo") == F.col("__hi")
     draws = grouped.select(
@@ -48,6 +51,7 @@ def collapse_draws(records: DataFrame, key: Sequence[str] = DRAW_KEY, keep: Sequ
         same.alias("token_identical"),
         (~same).alias("ambiguous"),
         *[F.when(same, F.col(f"__first.__k_{c}")).alias(c) for c in keep],
+        *extra,
         F.col("__first.__dig").alias("__first_dig"),
         F.struct(*[F.col(f"__first.{o}").alias(o) for o in order]).alias("__first_at"),
     )
@@ -96,18 +100,17 @@ def compact_draws(draws: DataFrame, identity: Sequence[str], scalars: Sequence[s
 
 def _replay(records: DataFrame, key: Sequence[str], order: Sequence[str], digest_of_steps: str | None) -> DataFrame:
     """Agreement of the repeats of one execution key; keys with a single execution are left out."""
-    per = collapse_draws(records, key, order=order)
-    stats = records.groupBy(*key).agg(
-        F.count("answer_normalized").alias("__seen"),
-        F.count(F.lit(1)).alias("__n"),
-        (F.min("answer_normalized") == F.max("answer_normalized")).alias("__one_answer"),
-        F.stddev_pop("reasoning_tokens").alias("reasoning_token_std"),
-        F.stddev_pop("wall_ms").alias("wall_ms_std"),
-    )
+    extra = {
+        "__seen": F.count("answer_normalized"),
+        "__one_answer": F.min("answer_normalized") == F.max("answer_normalized"),
+        "reasoning_token_std": F.stddev_pop("reasoning_tokens"),
+        "wall_ms_std": F.stddev_pop("wall_ms"),
+    }
+    per = collapse_draws(records, key, order=order, extra=extra)
     agreement = F.when(F.col("__seen") == 0, F.lit(None).cast("boolean")).when(
-        F.col("__seen") < F.col("__n"), F.lit(False)
+        F.col("__seen") < F.col("n_executions"), F.lit(False)
     ).otherwise(F.col("__one_answer"))
-    out = join_null_safe(per, stats, key).where(F.col("n_executions") > 1).select(
+    out = per.where(F.col("n_executions") > 1).select(
         *key,
         F.col("n_executions").alias("n_repeats"),
         F.col("token_identical").alias("identical_tokens"),
@@ -197,9 +200,8 @@ def across_seed_answers(records: DataFrame, by: Sequence[str] = (), order: Seque
     """Diversity and accuracy spread of observed answers over seeds; ambiguous seeds give no answer."""
     key = [*by, "condition_id", "task_id"]
     rows = _sampled(records)
-    draws = collapse_draws(rows, [*key, "seed"], keep=["answer_normalized"], order=order, divergence=False)
-    right = rows.groupBy(*key, "seed").agg(F.avg(F.coalesce("correct", F.lit(False)).cast("double")).alias("__right"))
-    seeds = join_null_safe(draws, right, [*key, "seed"])
+    right = {"__right": F.avg(F.coalesce("correct", F.lit(False)).cast("double"))}
+    seeds = collapse_draws(rows, [*key, "seed"], keep=["answer_normalized"], order=order, divergence=False, extra=right)
     answer = F.col("answer_normalized")
     observed = F.when(answer.isNotNull(), F.col("__right"))
     out = seeds.groupBy(*key).agg(
