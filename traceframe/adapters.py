@@ -74,7 +74,8 @@ ADAPTERS: dict[str, str] = {
                CAST(floor(user_id / 2) AS BIGINT) % 3 AS seed,
                {FAMILY_OF.format(x='CAST(floor(user_id / 6) AS BIGINT)')} AS family,
                (user_id % 3 <> 0) AS native_closed,
-               CASE WHEN day = 30 THEN 'full_prefix' ELSE CAST((day - 1) * 64 AS STRING) END AS checkpoint_label,
+               CASE WHEN day = 30 AND user_id % 2 = 0 THEN 'full_prefix' ELSE CAST((day - 1) * 64 AS STRING) END
+                 AS checkpoint_label,
                CAST((day - 1) * 64 AS BIGINT) AS checkpoint,
                CAST(day - 1 AS BIGINT) AS checkpoint_index,
                (day = 30) AS is_full_prefix,
@@ -86,6 +87,15 @@ ADAPTERS: dict[str, str] = {
                      count(*) AS n_events
               FROM {{events}} GROUP BY user_id, day(ts)) per_day
     """,
+    # probes per checkpoint selection: a full prefix that is also a numeric checkpoint counts for both
+    "selected": """
+        SELECT arm, task_id, seed, family, native_closed, outcome, correct, checkpoint, checkpoint_label,
+               CASE WHEN checkpoint_label = 'full_prefix' THEN 2147483647 ELSE checkpoint END AS checkpoint_index
+        FROM {probes}
+        UNION ALL
+        SELECT arm, task_id, seed, family, native_closed, outcome, correct, checkpoint, 'full_prefix', 2147483647
+        FROM {probes} WHERE is_full_prefix AND checkpoint_label <> 'full_prefix'
+    """,
     # decoded generations with a family, a gold answer and an answer cue
     "answers": """
         SELECT event_id, family, k, finish_reason, eos_observed, gold, probe_error,

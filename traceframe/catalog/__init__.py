@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("survival", "scalars", "sequences", "draws", "population")
+AREAS = ("survival", "scalars", "sequences", "draws", "population", "aggregates", "comparison")
 
 
 def load_catalog():

@@ -101,6 +101,29 @@ def usable_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where(~F.col("ambiguous_a") & ~F.col("ambiguous_b"))
 
 
+FULL_PREFIX = "full_prefix"
+FULL_PREFIX_INDEX = 2147483647  # sorts after every numeric checkpoint
+
+
+def select_checkpoints(probes: DataFrame) -> DataFrame:
+    """One row per probe and checkpoint selection it answers.
+
+    A probe of the whole prefix answers ``full_prefix`` and, when its length is
+    a numeric checkpoint, that one as well.  ``checkpoint_index`` orders the
+    selections: numeric ascending, then the full prefix.
+    """
+    labels = F.array_distinct(F.array_compact(F.array(
+        F.col("checkpoint_label"), F.when(F.col("is_full_prefix"), F.lit(FULL_PREFIX))
+    )))
+    rest = [c for c in probes.columns if c not in ("checkpoint_label", "checkpoint_index")]
+    index = F.when(F.col("checkpoint_label") == FULL_PREFIX, F.lit(FULL_PREFIX_INDEX)).otherwise(
+        F.try_to_number("checkpoint_label", F.lit("9999999999")).cast("bigint")
+    )
+    return probes.select(*rest, F.explode(labels).alias("checkpoint_label")).withColumn(
+        "checkpoint_index", index.cast("bigint")
+    )
+
+
 def jointly_eligible(probes: DataFrame, keep: Sequence[str] = ("family",), arm: str = "arm",
                      arms: tuple[str, str] = ("A", "B"), order: Sequence[str] = ("checkpoint",),
                      only_joint: bool = True) -> DataFrame:
