@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-AREAS = ("survival", "scalars", "sequences", "draws", "population", "aggregates", "comparison")
+AREAS = ("survival", "scalars", "sequences", "draws", "population", "aggregates", "comparison", "transitions", "evidence",
+         "streams")
 
 
 def load_catalog():

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, spread, steer_join
 from .frames import join_null_safe
 
 MODULUS = 2147483647  # prime, so x -> x^5 permutes the residues
@@ -72,6 +72,25 @@ def _poisson_weight(u: str) -> Column:
     return weight
 
 
+def _slots(placed: DataFrame, groups: Sequence[str], n_resamples: int, seed: int, n_rows: int) -> DataFrame:
+    """(groups, replicate, idx): the cluster index every slot of every replicate picked.
+
+    Indices are few rows that stand for n_resamples times as many slots, so they
+    are spread by that amount of work before they are exploded.
+    """
+    few = spread(placed.select(*groups, "idx", "n"), n_rows * n_resamples, *groups, "idx")
+    slots = _add_draw(_explode_replicates(few, n_resamples), "idx", seed, "__u")
+    pick = F.coalesce(F.col("__u") % F.col("n"), F.lit(0))  # never null: keeps the join free of null filters
+    return slots.select(*groups, "replicate", pick.alias("idx"))
+
+
+def _poisson(base: DataFrame, n_resamples: int, seed: int, cluster: str) -> DataFrame:
+    few = spread(base, base.count() * n_resamples, cluster)
+    return _add_draw(_explode_replicates(few, n_resamples), "__num", seed, "__u").withColumn(
+        "weight", _poisson_weight("__u")
+    )
+
+
 def bootstrap_weights(clusters: DataFrame, groups: Sequence[str], cluster: str, n_resamples: int, seed: int,
                       scheme: str = "multinomial") -> DataFrame:
     """(groups, cluster, replicate, weight > 0) for distinct clusters per group.
@@ -83,18 +102,16 @@ def bootstrap_weights(clusters: DataFrame, groups: Sequence[str], cluster: str,
     groups = list(groups)
     base = clusters.select(*groups, cluster).withColumn("__num", cluster_number(F.col(cluster)))
     if scheme == "poisson":
-        drawn = _add_draw(_explode_replicates(base, n_resamples), "__num", seed, "__u")
-        return drawn.select(*groups, cluster, "replicate", _poisson_weight("__u").alias("weight")).where("weight > 0")
+        return _poisson(base, n_resamples, seed, cluster).select(*groups, cluster, "replicate", "weight").where("weight > 0")
     if scheme != "multinomial":
         raise ValueError(f"unknown resampling scheme {scheme!r}")
-    placed = settle(dense_index(settle(base, "clusters"), groups, "__num", cluster), "cluster-index")
-    slots = _add_draw(_explode_replicates(placed.select(*groups, "idx", "n"), n_resamples), "idx", seed, "__u")
-    picks = (
-        slots.select(*groups, "replicate", (F.col("__u") % F.col("n")).alias("idx"))
-        .groupBy(*groups, "replicate", "idx")
-        .agg(F.count(F.lit(1)).alias("weight"))
+    placed = settle(dense_index(base, groups, "__num", cluster), "cluster-index")
+    n_rows = placed.count()
+    picks = _slots(placed, groups, n_resamples, seed, n_rows).groupBy(*groups, "replicate", "idx").agg(
+        F.count(F.lit(1)).alias("weight")
     )
-    return join_null_safe(picks, placed.select(*groups, "idx", cluster), [*groups, "idx"], filled=["idx"]).drop("idx")
+    names = steer_join(placed.select(*groups, "idx", cluster), n_rows)
+    return join_null_safe(picks, names, [*groups, "idx"], filled=["idx"]).drop("idx")
 
 
 def replicate_means(values: DataFrame, groups: Sequence[str], cluster: str, value: str, n_resamples: int, seed: int,
@@ -103,19 +120,19 @@ def replicate_means(values: DataFrame, groups: Sequence[str], cluster: str, valu
     groups = list(groups)
     base = values.select(*groups, cluster, value).withColumn("__num", cluster_number(F.col(cluster)))
     if scheme == "poisson":
-        drawn = _add_draw(_explode_replicates(base, n_resamples), "__num", seed, "__u")
-        drawn = drawn.withColumn("__w", _poisson_weight("__u"))
+        drawn = _poisson(base, n_resamples, seed, cluster)
         return (
             drawn.groupBy(*groups, "replicate")
-            .agg(F.sum(F.col("__w") * F.col(value)).alias("__s"), F.sum("__w").alias("__sw"))
+            .agg(F.sum(F.col("weight") * F.col(value)).alias("__s"), F.sum("weight").alias("__sw"))
             .select(*groups, "replicate", F.try_divide("__s", "__sw").alias("estimate"))
         )
     if scheme != "multinomial":
         raise ValueError(f"unknown resampling scheme {scheme!r}")
-    placed = settle(dense_index(settle(base, "clusters"), groups, "__num", cluster), "cluster-index")
-    slots = _add_draw(_explode_replicates(placed.select(*groups, "idx", "n"), n_resamples), "idx", seed, "__u")
-    slots = slots.select(*groups, "replicate", (F.col("__u") % F.col("n")).alias("idx"))
-    picked = join_null_safe(slots, placed.select(*groups, "idx", value), [*groups, "idx"], filled=["idx"])
+    placed = settle(dense_index(base, groups, "__num", cluster), "cluster-index")
+    n_rows = placed.count()
+    slots = _slots(placed, groups, n_resamples, seed, n_rows)
+    values_of = steer_join(placed.select(*groups, "idx", value), n_rows)
+    picked = join_null_safe(slots, values_of, [*groups, "idx"], filled=["idx"])
     return picked.groupBy(*groups, "replicate").agg(F.avg(value).alias("estimate"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import count_of, join_null_safe
-from ..session import settle
+from ..session import settle, spread, steer_join
 from ..functions.resampling import bootstrap_weights, interval
 
 TIME_BLOCK = 4096.0
@@ -191,8 +191,12 @@ def rmst_delta_bootstrap(df: DataFrame, tau: float, cluster: str = "task_id", ar
     pooled = cells.groupBy(*by, "__arm", "time").agg(F.sum("__n").alias("__n"), F.sum("__d").alias("__d"))
     point = delta(pooled, by).withColumnRenamed("delta", "point")
     weights = bootstrap_weights(shared, by, "__cl", n_resamples, seed, scheme)
+    # weights are few rows that each meet a whole cluster life table: spread them by replicate, which
+    # also is the grouping of everything that follows
+    n_cells = cells.count()
+    weights = spread(weights, n_cells * n_resamples, *by, "replicate")
     weighted = (
-        join_null_safe(weights, cells, [*by, "__cl"])
+        join_null_safe(weights, steer_join(cells, n_cells), [*by, "__cl"], filled=["__cl"])
         .groupBy(*by, "replicate", "__arm", "time")
         .agg(F.sum(F.col("__n") * F.col("weight")).alias("__n"), F.sum(F.col("__d") * F.col("weight")).alias("__d"))
     )
