@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import widen
+
 FAMILY_OF = "CASE {x} % 5 WHEN 0 THEN 'arith' WHEN 1 THEN 'path' WHEN 2 THEN 'order' WHEN 3 THEN 'logic' ELSE 'sm' END"
 
 ADAPTERS: dict[str, str] = {
@@ -184,11 +186,15 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def wide(self, name: str) -> DataFrame:
+        """A driver table spread over all cores, for row-local work that costs more than a read."""
+        return widen(self(name))
+
     def __call__(self, name: str) -> DataFrame:
         if name not in ADAPTERS:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         text = ADAPTERS[name]
-        inputs = {n: self(n) for n in set(re.findall(r"\{(\w+)\}", text))}
+        inputs = {n: self(n) if n in ADAPTERS else self.wide(n) for n in set(re.findall(r"\{(\w+)\}", text))}
         return self.spark.sql(_spark_sql(text), **inputs)
 
 

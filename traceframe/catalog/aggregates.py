@@ -6,7 +6,7 @@ from ..operators import aggregates as G
 from ..operators import draws as D
 from ..operators.pairing import select_checkpoints
 from .registry import query
-from .scalars import GOLD, STATUS_SQL
+from .scalars import GOLD, STATUS_SQL, classified
 from .sequences import summary_sql
 
 FORCED = ["correct", "scorable_incorrect", "unparseable", "censored", "error"]
@@ -166,13 +166,7 @@ SELECT family, probe_max_tokens, count(*) AS n, {', '.join(f"count(*) FILTER (ou
   count(*) FILTER (probe_error IS NULL AND norm IS NOT NULL) AS n_scorable, count(*) FILTER (probe_error IS NULL AND raw IS NOT NULL) AS n_observed,
   count(*) FILTER (eos_observed) AS n_eos FROM p GROUP BY 1, 2""")
 def _(t):
-    from ..functions.status import forced_outcome
-
-    out = forced_outcome(F.col("family"), F.col("gold"), F.col("text"), F.col("finish_reason"),
-                         F.col("finish_reason") == "length", F.col("probe_error"), F.col("eos_observed"))
-    probes = t("answers").select(
-        "family", "eos_observed", F.when(F.col("k") < 50, 256).otherwise(512).alias("probe_max_tokens"), out.alias("o")
-    ).select("family", "eos_observed", "probe_max_tokens", "o.*")
+    probes = classified(t).withColumn("probe_max_tokens", F.when(F.col("k") < 50, 256).otherwise(512))
     return G.budget_diagnostic(probes, ["family"])
 
 

@@ -189,13 +189,13 @@ EMAIL = "[A-Za-z0-9._]+@[A-Za-z0-9.]+"
 
 @query("secret_scan", f"SELECT doc_id, 'text' AS location FROM documents WHERE regexp_matches(text, '{TOKEN}')")
 def _(t):
-    return N.secret_scan(t("documents"), "doc_id", ["text", "lang"], TOKEN)
+    return N.secret_scan(t.wide("documents"), "doc_id", ["text", "lang"], TOKEN)
 
 
 @query("redact_with_log", f"""SELECT doc_id, 'text' AS location, sha256(text) AS old_value_sha256, '<address>' AS replacement,
   sha256(regexp_replace(text, '{EMAIL}', '<address>', 'g')) AS new_value_sha256 FROM documents WHERE regexp_matches(text, '{EMAIL}')""")
 def _(t):
-    docs = t("documents")
+    docs = t.wide("documents")
     log = N.redaction_log(docs, "doc_id", ["text", "source"], EMAIL, "<address>")
     clean = N.redact(docs, ["text", "source"], EMAIL, "<address>", protected=["lang"])
     return log.join(clean.select("doc_id", F.sha2("text", 256).alias("new_value_sha256")), "doc_id")

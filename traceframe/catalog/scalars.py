@@ -131,6 +131,11 @@ def _(t):
     )
 
 
+def classified(t):
+    return S.forced_outcome(t("answers"), F.col("family"), F.col("gold"), F.col("text"), F.col("finish_reason"),
+                            F.col("finish_reason") == "length", F.col("probe_error"), F.col("eos_observed"))
+
+
 @query("forced_outcome", f"""WITH p AS (SELECT *, finish_reason = 'length' AND NOT eos_observed AS spent,
     probe_error IS NOT NULL AS failed,
     CASE WHEN norm IS NOT NULL THEN CASE WHEN norm = canon THEN 'correct' ELSE 'scorable_incorrect' END END AS scored
@@ -142,11 +147,8 @@ SELECT event_id, CASE WHEN failed THEN 'error' WHEN spent THEN 'censored' ELSE c
   (NOT failed AND raw IS NOT NULL) AS answer_observed, (NOT failed AND norm IS NOT NULL) AS answer_scorable,
   (NOT failed AND coalesce(norm = canon, false)) AS correct FROM p""")
 def _(t):
-    out = S.forced_outcome(F.col("family"), F.col("gold"), F.col("text"), F.col("finish_reason"),
-                           F.col("finish_reason") == "length", F.col("probe_error"), F.col("eos_observed"))
-    names = ["outcome", "pre_censor_outcome", "censored_with_extractable_answer", "answer_observed",
-             "answer_scorable", "correct"]
-    return t("answers").select("event_id", out.alias("o")).select("event_id", *[F.col(f"o.{n}") for n in names])
+    names = ["outcome", "pre_censor_outcome", "censored_with_extractable_answer", "answer_observed", "answer_scorable", "correct"]
+    return classified(t).select("event_id", *names)
 
 
 @query("endpoint_times", """SELECT trial_id,
@@ -185,7 +187,7 @@ def sql_id(prefix, body):
   AS content_id FROM (SELECT *, "precision" AS prec FROM runs) r""")
 def _(t):
     tree = {"repo_id": F.col("repo_id"), "revision": F.col("revision"), "hardware": F.col("hardware"),
-            "empty": F.array().cast("array<string>"),
+            "empty": I.not_empty(F.array().cast("array<string>")), "gone": {"empty": F.lit(None).cast("string")},
             "runtime": {"version": F.col("runtime_version"), "precision": F.col("precision")}}
     return t("runs").select("run_id", I.content_id(tree, "dep").alias("content_id"))
 
@@ -201,7 +203,7 @@ def policy():
 
 
 def policies(t):
-    return t("lineitem").select(
+    return t.wide("lineitem").select(
         "*",
         F.when(F.col("l_returnflag") == "N", "greedy").otherwise("sampled").alias("mode"),
         (F.col("l_quantity").cast("bigint") * 64).alias("max_tokens"),
@@ -243,7 +245,7 @@ def _(t):
 @query("presentation_id", f"""SELECT doc_id, {sql_id('pres', '''('{"prompt_policy":"' || lang || '","prompt_sha256":"' || sha256(text)
   || '","structural_task_id":"' || source || '"}')''')} AS presentation_id FROM documents""")
 def _(t):
-    return t("documents").select(
+    return t.wide("documents").select(
         "doc_id", I.presentation_id(F.col("source"), F.col("lang"), F.col("text")).alias("presentation_id")
     )
 
@@ -321,7 +323,7 @@ def _(t):
   FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) e) x WHERE rank <= 5""")
 def _(t):
     top = A.top_k(F.transform("embedding", lambda x: x.cast("double")), 5)
-    return t("embeddings").select("vec_id", F.posexplode(top).alias("rank", "s")).select(
+    return t.wide("embeddings").select("vec_id", F.posexplode(top).alias("rank", "s")).select(
         "vec_id", (F.col("rank") + 1).alias("rank"), F.col("s.id").alias("id"), F.col("s.value").alias("value")
     )
 
@@ -330,4 +332,4 @@ def _(t):
 z AS (SELECT vec_id, ln(sum(exp(x))) AS lse FROM e GROUP BY 1)
 SELECT vec_id, round(-sum(exp(x - lse) * (x - lse)), 6) AS entropy FROM e JOIN z USING (vec_id) GROUP BY 1""")
 def _(t):
-    return t("embeddings").select("vec_id", A.entropy(A.log_softmax(F.col("embedding"))).alias("entropy"))
+    return t.wide("embeddings").select("vec_id", A.entropy(A.log_softmax(F.col("embedding"))).alias("entropy"))

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from ..operators.draws import PAIR_KEY, collapse_draws
 from ..plans import survival as S
 from .registry import query
 from .shared_sql import AREA, KM, draw
@@ -68,7 +69,9 @@ SELECT condition_id, endpoint, CAST(sum(n) AS BIGINT) AS n, CAST(sum(d) AS BIGIN
  CAST(400.0 AS DOUBLE) AS tau, any_value(n_competing) AS n_competing
 FROM km JOIN area USING (condition_id, endpoint) JOIN comp USING (condition_id, endpoint) GROUP BY condition_id, endpoint""")
 def _(t):
-    return S.survival_endpoints(t("primary_draws"), 400.0)
+    keep = ["think_end_reached", "terminated_by_eos", "reasoning_tokens", "total_tokens"]
+    draws = collapse_draws(t("records"), ["arm", *PAIR_KEY], keep=keep, divergence=False)
+    return S.survival_endpoints(draws.where(~F.col("ambiguous")), 400.0)
 
 
 R = 200

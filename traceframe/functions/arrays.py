@@ -48,11 +48,22 @@ def is_prefix(short: Column, long: Column) -> Column:
     return (F.size(short) <= F.size(long)) & (F.slice(long, F.lit(1), F.size(short)) == short)
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use`` (inside a lambda it would run per element)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def log_softmax(logits: Column) -> Column:
     wide = F.transform(logits, lambda x: x.cast("double"))
-    top = F.array_max(wide)
-    norm = F.log(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
-    return F.transform(wide, lambda x: x - top - norm)
+
+    def shifted(values: Column) -> Column:
+        return bind(F.array_max(values), lambda top: F.transform(values, lambda x: x - top))
+
+    def normalized(values: Column) -> Column:
+        total = F.log(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x)))
+        return bind(total, lambda norm: F.transform(values, lambda x: x - norm))
+
+    return bind(bind(wide, shifted), normalized)
 
 
 def entropy(logprobs: Column) -> Column:

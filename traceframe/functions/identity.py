@@ -13,22 +13,35 @@ DEFAULT_PRESENCE_SCOPE = "mlx_window"  # fixed value: the scope that leaves an i
 Tree = Mapping[str, "Column | Tree"]
 
 
+def not_empty(value: Column) -> Column:
+    """An array or map column with empty treated as absent, as the canonical form requires."""
+    return F.when(F.size(value) > 0, value)
+
+
+def _canonical_struct(tree: Tree) -> Column:
+    fields = {k: v if isinstance(v, Column) else _present(v) for k, v in sorted(tree.items())}
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def _leaves(tree: Tree) -> list[Column]:
+    return [leaf for v in tree.values() for leaf in ([v] if isinstance(v, Column) else _leaves(v))]
+
+
+def _present(tree: Tree) -> Column:
+    """A nested object, absent when all of its entries are."""
+    some = F.lit(False)
+    for leaf in _leaves(tree):
+        some = some | leaf.isNotNull()
+    return F.when(some, _canonical_struct(tree))
+
+
 def canonical_json(tree: Tree) -> Column:
-    """JSON object text with sorted keys; null and empty entries are left out.
+    """JSON object text with sorted keys; null entries and empty nested objects are left out.
 
-    Floating columns must be rounded by the caller (see ``canonical_float``).
+    Floating columns must be rounded (``canonical_float``) and array or map
+    columns wrapped in ``not_empty`` by the caller.
     """
-    pieces = []
-    for key in sorted(tree):
-        value = tree[key]
-        if isinstance(value, Column):
-            text = F.to_json(F.struct(value.alias(key)))
-            dropped = ("{}", f'{{"{key}":[]}}', f'{{"{key}":{{}}}}')
-            pieces.append(F.when(~text.isin(*dropped), F.substring(text, F.lit(2), F.length(text) - 2)))
-        else:
-            text = canonical_json(value)
-            pieces.append(F.when(text != "{}", F.concat(F.lit(f'"{key}":'), text)))
-    return F.concat(F.lit("{"), F.array_join(F.array(*pieces), ","), F.lit("}"))
+    return F.to_json(_canonical_struct(tree))
 
 
 def canonical_float(value: Column) -> Column:
@@ -108,4 +121,4 @@ def population_key(spec: Mapping[str, Column], families: Column, default_familie
                    schema: str = IDENTITY_SCHEMA) -> Column:
     """Key of the fields that define a population; an empty family list means all families."""
     chosen = F.when(F.size(families) > 0, F.array_sort(families)).otherwise(F.array_sort(default_families))
-    return content_id({**spec, "families": chosen}, "pop", schema)
+    return content_id({**spec, "families": not_empty(chosen)}, "pop", schema)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import ratio
-from .text import canonical_gold, extract_answer, normalize_answer, score_exact
+from .text import canonical_gold, extract_answer, normalize_answer
 
 # Label sets.
 NATURAL_STATUSES = ("correct", "incorrect", "censored", "terminated_no_closure", "unparseable", "error")
@@ -61,28 +61,29 @@ def answer_state(normalized: Column, raw: Column, correct: Column) -> Column:
     )
 
 
-def forced_outcome(family: Column, gold: Column, text: Column, finish_reason: Column, capped: Column,
-                   error: Column, eos_observed: Column) -> Column:
-    """struct of a probe's outcome, what it would have been without its budget, and observation flags."""
+def forced_outcome(df: DataFrame, family: Column, gold: Column, text: Column, finish_reason: Column, capped: Column,
+                   error: Column, eos_observed: Column) -> DataFrame:
+    """Add a probe's outcome, what it would have been without its budget, and observation flags.
+
+    Added in stages, so that answer extraction and normalisation run once per row.
+    """
     failed = F.coalesce(error, F.lit("")) != ""
-    raw = F.when(~failed & (F.coalesce(text, F.lit("")) != ""), extract_answer(text))
-    normalized = F.when(raw.isNotNull(), normalize_answer(family, raw))
-    right = score_exact(normalized, canonical_gold(family, gold))
     spent = (_true(capped) | _true(finish_reason == "length")) & ~_true(eos_observed)
-    scored = F.when(normalized.isNotNull(), F.when(right, "correct").otherwise("scorable_incorrect"))
-    outcome = (
-        F.when(failed, "error").when(spent, "censored").otherwise(F.coalesce(scored, F.lit("unparseable")))
-    )
+    df = df.withColumn("answer_raw", F.when(~failed & (F.coalesce(text, F.lit("")) != ""), extract_answer(text)))
+    raw = F.col("answer_raw")
+    df = df.withColumn("answer_normalized", F.when(raw.isNotNull(), normalize_answer(family, raw)))
+    normalized = F.col("answer_normalized")
+    df = df.withColumn("correct", F.when(normalized.isNotNull(), normalized == canonical_gold(family, gold)))
+    scored = F.when(F.col("correct"), "correct").when(~F.col("correct"), "scorable_incorrect")
     without_budget = F.coalesce(scored, F.when(raw.isNotNull(), "unparseable").otherwise("censored"))
-    return F.struct(
-        outcome.alias("outcome"),
-        F.when(~failed & spent, without_budget).alias("pre_censor_outcome"),
-        (~failed & spent & raw.isNotNull()).alias("censored_with_extractable_answer"),
-        raw.isNotNull().alias("answer_observed"),
-        normalized.isNotNull().alias("answer_scorable"),
-        raw.alias("answer_raw"),
-        normalized.alias("answer_normalized"),
-        right.alias("correct"),
+    return (
+        df.withColumn("outcome", F.when(failed, "error").when(spent, "censored").otherwise(
+            F.coalesce(scored, F.lit("unparseable"))))
+        .withColumn("pre_censor_outcome", F.when(~failed & spent, without_budget))
+        .withColumn("censored_with_extractable_answer", ~failed & spent & raw.isNotNull())
+        .withColumn("answer_observed", raw.isNotNull())
+        .withColumn("answer_scorable", normalized.isNotNull())
+        .withColumn("correct", F.coalesce("correct", F.lit(False)))
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import count_of, join_null_safe, ratio
 from ..functions.quantiles import quantiles_of_counts, value_counts
 from ..functions.status import FORCED_OUTCOMES, exhausted_after_close, record_status
+from ..session import settle
 
 
 def long_metrics(df: DataFrame, keep: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -239,6 +240,7 @@ def condition_summary(draws: DataFrame, executions: DataFrame, condition: str =
     ``draws`` holds one collapsed row per draw (``ambiguous`` and, when it is
     not, the representative's columns); timing uses every execution.
     """
+    draws = settle(draws, "draws")
     usable = draws.where(~F.col("ambiguous"))
     counts = draws.groupBy(condition).agg(
         F.sum("n_executions").alias("n_executions"),

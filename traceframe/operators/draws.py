@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.frames import count_of, join_null_safe, ratio
 from ..functions.identity import prefix_digest
+from ..session import settle
 
 DRAW_KEY = ("presentation_id", "condition_id", "seed")
 PAIR_KEY = ("presentation_id", "task_id", "condition_id", "seed")
@@ -35,15 +36,20 @@ def collapse_draws(records: DataFrame, key: Sequence[str] = DRAW_KEY, keep: Sequ
     """
     key = list(key)
     extra = dict(extra or {})
-    place = F.struct(*order)
+    state = F.struct(*order, "__dig", *[F.col(c).alias(f"__k_{c}") for c in keep])
     rows = with_digest(records, tokens)
-    grouped = rows.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_executions"),
-        F.min("__dig").alias("__lo"),
-        F.max("__dig").alias("__hi"),
-        F.min(F.struct(*order, "__dig", *[F.col(c).alias(f"__k_{c}") for c in keep])).alias("__first"),
-        *[c.alias(name) for name, c in extra.items()],
-    )
+    # one row per distinct sequence of a draw: the input is read once for everything but the arrays below
+    variants = rows.groupBy(*key, "__dig").agg(F.count(F.lit(1)).alias("__n"), F.min(state).alias("__first"))
+    if divergence:
+        variants = settle(variants, "draw-variants")
+    totals = {
+        "n_executions": F.sum("__n"), "__lo": F.min("__dig"), "__hi": F.max("__dig"), "__first": F.min("__first"),
+    }
+    if extra:
+        direct = {"n_executions": F.count(F.lit(1)), "__first": F.min(state)}
+        grouped = rows.groupBy(*key).agg(*[c.alias(n) for n, c in {**totals, **direct, **extra}.items()])
+    else:
+        grouped = variants.groupBy(*key).agg(*[c.alias(n) for n, c in totals.items()])
     same = F.col("__lo") == F.col("__hi")
     draws = grouped.select(
         *key,
@@ -58,9 +64,10 @@ def collapse_draws(records: DataFrame, key: Sequence[str] = DRAW_KEY, keep: Sequ
     if not divergence:
         return draws.drop("__first_dig", "__first_at")
     unclear = draws.where("ambiguous").select(*key, "__first_dig", "__first_at")
-    marked = join_null_safe(rows.select(*key, *order, "__dig"), unclear, key)
+    place = F.struct(*[F.col(f"__first.{o}").alias(o) for o in order])
+    marked = join_null_safe(variants.select(*key, "__dig", place.alias("__place")), unclear, key)
     other = marked.where(F.col("__dig") != F.col("__first_dig")).groupBy(*key).agg(
-        F.min(place).alias("__other_at"), F.min("__first_at").alias("__first_at")
+        F.min("__place").alias("__other_at"), F.min("__first_at").alias("__first_at")
     )
     ends = other.select(*key, F.explode(F.array("__first_at", "__other_at")).alias("__at"), "__first_at").select(
         *key, *[F.col(f"__at.{o}").alias(o) for o in order], (F.col("__at") == F.col("__first_at")).alias("__is_first")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import count_of, join_null_safe
+from ..functions.frames import join_null_safe
 from ..session import settle, spread, steer_join
 from ..functions.resampling import bootstrap_weights, interval
 
@@ -96,9 +96,10 @@ def rmst(df: DataFrame, strata: Sequence[str], tau: float, time: str = "time", e
     return curve_area(product_limit(life_table(df, strata, time, event), strata), strata, tau)
 
 
-def survival_summary(df: DataFrame, strata: Sequence[str], tau: float, time: str = "time",
-                     event: str = "event") -> DataFrame:
-    curve = product_limit(life_table(df, strata, time, event), strata)
+def survival_summary(df: DataFrame, strata: Sequence[str], tau: float, time: str = "time", event: str = "event",
+                     weight: Column | None = None) -> DataFrame:
+    """Counts, median and restricted mean per stratum; ``weight`` counts a row that many times."""
+    curve = product_limit(life_table(df, strata, time, event, weight), strata)
     return curve.groupBy(*strata).agg(
         (F.sum("events") + F.sum("censored")).alias("n"),
         F.sum("events").alias("n_events"),
@@ -147,10 +148,14 @@ def endpoint_observations(records: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def survival_endpoints(primary: DataFrame, tau: float, by: Sequence[str] = ("condition_id",)) -> DataFrame:
     """Per condition and endpoint over draw-level records: counts, median, restricted mean."""
-    long = endpoint_observations(primary, by)
     strata = [*by, "endpoint"]
-    competing = long.groupBy(*strata).agg(count_of(F.col("competing")).alias("n_competing"))
-    return join_null_safe(survival_summary(long, strata, tau), competing, strata)
+    cells = settle(
+        endpoint_observations(primary, by).groupBy(*strata, "time", "event", "competing").agg(F.count(F.lit(1)).alias("__w")),
+        "endpoint-cells")
+    competing = cells.groupBy(*strata).agg(
+        F.coalesce(F.sum(F.when(F.col("competing"), F.col("__w"))), F.lit(0)).alias("n_competing"))
+    summary = survival_summary(cells, strata, tau, weight=F.col("__w"))
+    return join_null_safe(summary, competing, strata)
 
 
 def rmst_delta_bootstrap(df: DataFrame, tau: float, cluster: str = "task_id", arm: str = "arm",

@@ -64,6 +64,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def widen(scan: DataFrame) -> DataFrame:
+    """Repartition a file scan only when it has fewer splits than the cluster has cores.
+
+    Large inputs have many splits and stay untouched; a small file in one row
+    group would otherwise keep row-local work on a single core.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 BROADCAST_ROWS = 1_000_000
 
 

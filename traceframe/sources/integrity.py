@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import join_null_safe
 from ..operators.population import set_digest
+from ..session import settle
 from .schemas import CORRUPT
 
 # Fields every trace record must have, and credential shapes.
@@ -56,51 +57,56 @@ def seal_table(units: DataFrame, run: str = "run_id", name: str = "name", digest
     return join_null_safe(counts, sealed, [run])
 
 
+# Identity fields of a record that must agree with its run's declaration.
+IDENTITY_FIELDS = ("deployment_id", "source_artifact_id", "weight_variant_id")
+DUPLICATE_ID = "duplicate trial_id"
+DUPLICATE_KEY = "duplicate trial (task, mode, seed, repeat)"
+UNDECLARED = "condition not declared"
+
+
 def structural_audit(traces: DataFrame, conditions: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, error, item, n): structural faults of scanned trace records.
 
     ``runs`` declares the identities of a run, ``conditions`` its condition ids.
-    Every check works on counts per value, so repeated faults stay one row, and
-    a duplicate counts once per surplus record.
+    One scan turns every record into the values its checks look at and counts
+    them per run; a duplicate counts once per surplus record.  What remains
+    after dropping unique ids is small and is checked against the declarations.
     """
     corrupt = F.col(CORRUPT).isNotNull()
-    gone = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED_TRACE_FIELDS]))
+    gone = F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED_TRACE_FIELDS])), ",")
     rows = traces.select(
-        "run_id", "trial_id", "task_id", "condition_id", "deployment_id", "source_artifact_id", "weight_variant_id",
-        F.col("condition.mode").alias("mode"), F.col("condition.seed").alias("seed"),
-        F.col("condition.repeat").alias("repeat"), corrupt.alias("__bad"), F.array_join(gone, ",").alias("__gone"),
+        "run_id", "trial_id", "task_id", "condition_id", *IDENTITY_FIELDS, F.col("condition.mode").alias("mode"),
+        F.col("condition.seed").alias("seed"), F.col("condition.repeat").alias("repeat"), corrupt.alias("__bad"),
+        gone.alias("__gone"),
     )
-    good = rows.where(~F.col("__bad") & (F.col("__gone") == ""))
-    keyed = good.where(F.col("mode").isNotNull())
-
-    def fault(df: DataFrame, error: str, item: Column, surplus: int = 0) -> DataFrame:
-        counted = df.groupBy("run_id", item.cast("string").alias("item")).agg(F.count(F.lit(1)).alias("n"))
-        counted = counted.where(F.col("n") > surplus)
-        return counted.select("run_id", F.lit(error).alias("error"), "item", (F.col("n") - surplus).alias("n"))
-
+    good = ~F.col("__bad") & (F.col("__gone") == "")
+    keyed = good & F.col("mode").isNotNull()
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     key = F.concat_ws("/", text("task_id"), text("mode"), text("seed"), text("repeat"))
-    faults = [
-        fault(rows.where("__bad"), "malformed or truncated JSON", F.lit("")),
-        fault(rows.where(~F.col("__bad") & (F.col("__gone") != "")), "missing required fields", F.col("__gone")),
-        fault(good, "duplicate trial_id", F.col("trial_id"), 1),
-        fault(good.where(F.col("mode").isNull()), "missing condition metadata", F.lit("")),
-        fault(keyed, "duplicate trial (task, mode, seed, repeat)", key, 1),
-    ]
-    used = keyed.groupBy("run_id", "condition_id").agg(F.count(F.lit(1)).alias("n"))
-    undeclared = used.join(conditions.select("run_id", "condition_id").distinct(), ["run_id", "condition_id"], "left_anti")
-    faults.append(undeclared.select("run_id", F.lit("condition not declared").alias("error"),
-                                    F.col("condition_id").alias("item"), "n"))
-    for name in ("deployment_id", "source_artifact_id", "weight_variant_id"):
-        seen = keyed.groupBy("run_id", name).agg(F.count(F.lit(1)).alias("n"))
-        declared = runs.select("run_id", F.col(name).alias("__want"))
-        wrong = seen.join(declared, "run_id").where(F.col("__want").isNotNull() & F.col(name).isNotNull()
-                                                    & (F.col(name) != F.col("__want")))
-        faults.append(wrong.select("run_id", F.lit(f"{name} mismatch").alias("error"), F.col(name).alias("item"), "n"))
-    out = faults[0]
-    for f in faults[1:]:
-        out = out.unionByName(f)
-    return out
+
+    def seen(when: Column, error: str, item: Column) -> Column:
+        return F.when(when, F.struct(F.lit(error).alias("error"), item.alias("item")))
+
+    looks = F.array_compact(F.array(
+        seen(F.col("__bad"), "malformed or truncated JSON", F.lit("")),
+        seen(~F.col("__bad") & (F.col("__gone") != ""), "missing required fields", F.col("__gone")),
+        seen(good, DUPLICATE_ID, F.col("trial_id")),
+        seen(good & F.col("mode").isNull(), "missing condition metadata", F.lit("")),
+        seen(keyed, DUPLICATE_KEY, key),
+        seen(keyed, UNDECLARED, F.col("condition_id")),
+        *[seen(keyed & F.col(c).isNotNull(), f"{c} mismatch", F.col(c)) for c in IDENTITY_FIELDS],
+    ))
+    counts = rows.select("run_id", F.inline(looks)).groupBy("run_id", "error", "item").agg(F.count(F.lit(1)).alias("n"))
+    twice = F.col("error").isin(DUPLICATE_ID, DUPLICATE_KEY)
+    counts = settle(counts.where(~twice | (F.col("n") > 1)).withColumn(
+        "n", F.col("n") - F.when(twice, 1).otherwise(0)), "audit-counts")
+    declared = conditions.select("run_id", F.lit(UNDECLARED).alias("error"), F.col("condition_id").alias("item"))
+    identities = [F.struct(F.lit(f"{c} mismatch").alias("error"), F.col(c).alias("item")) for c in IDENTITY_FIELDS]
+    wanted = runs.select("run_id", F.inline(F.array(*identities)))
+    # an identity the run does not declare cannot be contradicted
+    free = counts.join(wanted.where(F.col("item").isNull()).select("run_id", "error"), ["run_id", "error"], "left_anti")
+    allowed = declared.unionByName(wanted.where(F.col("item").isNotNull())).distinct()
+    return free.join(allowed, ["run_id", "error", "item"], "left_anti").select("run_id", "error", "item", "n")
 
 
 def secret_scan(df: DataFrame, key: str, columns: Sequence[str], pattern: str = SECRET_PATTERN) -> DataFrame:
