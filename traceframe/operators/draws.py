@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -58,19 +58,21 @@ def collapse_draws(records: DataFrame, key: Sequence[str] = DRAW_KEY, keep: Sequ
         (~same).alias("ambiguous"),
         *[F.when(same, F.col(f"__first.__k_{c}")).alias(c) for c in keep],
         *extra,
-        F.col("__first.__dig").alias("__first_dig"),
-        F.struct(*[F.col(f"__first.{o}").alias(o) for o in order]).alias("__first_at"),
     )
     if not divergence:
-        return draws.drop("__first_dig", "__first_at")
-    unclear = draws.where("ambiguous").select(*key, "__first_dig", "__first_at")
+        return draws
+    # The two earliest distinct sequences of a draw; the rank limit is applied before the exchange, so a
+    # draw with very many executions sends at most two rows per task.
     place = F.struct(*[F.col(f"__first.{o}").alias(o) for o in order])
-    marked = join_null_safe(variants.select(*key, "__dig", place.alias("__place")), unclear, key)
-    other = marked.where(F.col("__dig") != F.col("__first_dig")).groupBy(*key).agg(
-        F.min("__place").alias("__other_at"), F.min("__first_at").alias("__first_at")
-    )
-    ends = other.select(*key, F.explode(F.array("__first_at", "__other_at")).alias("__at"), "__first_at").select(
-        *key, *[F.col(f"__at.{o}").alias(o) for o in order], (F.col("__at") == F.col("__first_at")).alias("__is_first")
+    ranked = variants.select(*key, place.alias("__at")).withColumn(
+        "__rn", F.row_number().over(Window.partitionBy(*key).orderBy("__at"))
+    ).where(F.col("__rn") <= 2)
+    both = ranked.groupBy(*key).agg(
+        F.max(F.when(F.col("__rn") == 1, F.col("__at"))).alias("__one"),
+        F.max(F.when(F.col("__rn") == 2, F.col("__at"))).alias("__two"),
+    ).where(F.col("__two").isNotNull())
+    ends = both.select(*key, F.posexplode(F.array("__one", "__two")).alias("__end", "__at")).select(
+        *key, *[F.col(f"__at.{o}").alias(o) for o in order], (F.col("__end") == 0).alias("__is_first")
     )
     arrays = join_null_safe(records.select(*key, *order, tokens), ends, [*key, *order])
     pairs = arrays.groupBy(*key).agg(
@@ -78,7 +80,7 @@ def collapse_draws(records: DataFrame, key: Sequence[str] = DRAW_KEY, keep: Sequ
         F.first(F.when(~F.col("__is_first"), F.col(tokens)), ignorenulls=True).alias("__b"),
     )
     split = pairs.select(*key, A.first_divergence(F.col("__a"), F.col("__b")).alias("first_token_divergence"))
-    return join_null_safe(draws.drop("__first_dig", "__first_at"), split, key, "left")
+    return join_null_safe(draws, split, key, "left")
 
 
 def draw_summary(draws: DataFrame, by: Sequence[str]) -> DataFrame:
