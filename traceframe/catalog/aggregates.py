@@ -19,10 +19,10 @@ def _(t):
     return G.summarize_metrics(t("records"), ["condition_id", "arm"], ["total_tokens", "wall_ms", "ttft_ms"])
 
 
-@query("cluster_means", """SELECT arm, task_id, round(avg(ttft_ms), 6) AS cluster_mean, count(ttft_ms) AS cluster_n
-FROM records WHERE ttft_ms IS NOT NULL GROUP BY 1, 2""")
+@query("cluster_means", """SELECT arm, task_id, round(avg(degeneration_onset_index), 6) AS cluster_mean, count(degeneration_onset_index) AS cluster_n
+FROM records WHERE degeneration_onset_index IS NOT NULL GROUP BY 1, 2""")
 def _(t):
-    return G.cluster_means(t("records"), ["arm"], "task_id", "ttft_ms")
+    return G.cluster_means(t("records"), ["arm"], "task_id", "degeneration_onset_index")
 
 
 @query("macro_mean", """SELECT arm, family, round(avg(m), 6) AS macro_mean, count(*) AS n_clusters FROM (
@@ -140,7 +140,7 @@ def _(t):
 @query("histogram", """WITH b AS (SELECT condition_id, min(total_tokens) AS lo, max(total_tokens) AS hi FROM records GROUP BY 1),
 e AS (SELECT condition_id, lo, hi, CAST(bin AS INT) AS bin FROM b, range(0, 20) r(bin)),
 c AS (SELECT condition_id, CAST(least(floor((total_tokens - lo) / ((hi - lo) / 20.0)), 19) AS INT) AS bin, count(*) AS n FROM records JOIN b USING (condition_id) GROUP BY ALL)
-SELECT condition_id, bin, round(lo + (hi - lo) / 20.0 * bin, 6) AS bin_low, round(lo + (hi - lo) / 20.0 * (bin + 1), 6) AS bin_high, coalesce(n, 0) AS n
+SELECT condition_id, CAST(bin AS BIGINT) AS bin, round(lo + (hi - lo) / 20.0 * bin, 6) AS bin_low, round(lo + (hi - lo) / 20.0 * (bin + 1), 6) AS bin_high, coalesce(n, 0) AS n
 FROM e LEFT JOIN c USING (condition_id, bin)""")
 def _(t):
     return G.histogram(t("records"), ["condition_id"], "total_tokens")
@@ -161,7 +161,7 @@ def _(t):
 
 @query("budget_diagnostic", f"""WITH p AS (SELECT *, CASE WHEN probe_error IS NOT NULL THEN 'error' WHEN finish_reason = 'length' AND NOT eos_observed THEN 'censored'
    WHEN norm IS NULL THEN 'unparseable' WHEN norm = canon THEN 'correct' ELSE 'scorable_incorrect' END AS outcome,
-   CASE WHEN k < 50 THEN 256 ELSE 512 END AS probe_max_tokens FROM ({GOLD}) g)
+   CAST(CASE WHEN k < 50 THEN 256 ELSE 512 END AS BIGINT) AS probe_max_tokens FROM ({GOLD}) g)
 SELECT family, probe_max_tokens, count(*) AS n, {', '.join(f"count(*) FILTER (outcome = '{o}') AS n_{o}" for o in FORCED)},
   count(*) FILTER (probe_error IS NULL AND norm IS NOT NULL) AS n_scorable, count(*) FILTER (probe_error IS NULL AND raw IS NOT NULL) AS n_observed,
   count(*) FILTER (eos_observed) AS n_eos FROM p GROUP BY 1, 2""")

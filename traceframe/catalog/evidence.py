@@ -64,7 +64,7 @@ def _(t):
 
 
 @query("scan_runs", """SELECT 'run-' || s_suppkey AS run_id, CASE WHEN s_acctbal > 0 THEN CAST(s_nationkey AS BIGINT) END AS max_tokens, 'EVIDENCE_COMPLETE' AS status,
-  CAST(1 + s_nationkey % 2 AS INT) AS n_conditions, s_name AS presentation, true AS has_time FROM supplier""")
+  CAST(1 + s_nationkey % 2 AS BIGINT) AS n_conditions, s_name AS presentation, true AS has_time FROM supplier""")
 def _(t):
     path = scratch_path(t.spark, "manifests")
     conditions = F.transform(F.sequence(F.lit(0), F.col("s_nationkey") % 2), lambda i: F.struct(
@@ -109,7 +109,7 @@ EXPORT = ["study_id", "study_population", "deployment_arm", "structural_task_id"
   repeat AS technical_repeat, answer_normalized AS normalized_answer, {STATUS_SQL} AS outcome_classification, correct AS success_at_budget,
   think_end_reached AS native_reasoning_closure, capped, {STATUS_SQL} = 'censored' AS censored, (think_end_reached AND capped) AS budget_exhausted_after_closure,
   {STATUS_SQL} = 'unparseable' AS unparseable, {STATUS_SQL} = 'error' AS error, total_tokens, difficulty || '/run-' || arm || '/' || trial_id AS raw_evidence_reference,
-  47 AS n_columns FROM records""")
+  CAST(47 AS BIGINT) AS n_columns FROM records""")
 def _(t):
     flat = E.flat_records(E.scan_traces(t.spark, stored(t)))
     out = E.export_draws(flat, F.lit("study-1"), F.col("difficulty"), F.substring("run_id", 5, 1), "v1")

@@ -59,10 +59,11 @@ def _(t):
     return expected(t)
 
 
-@query("expected_counts", """SELECT p_partkey, f * p_size AS n_tasks, CASE WHEN g > 0 THEN f * p_size ELSE 0 END AS greedy_draws,
+@query("expected_counts", """SELECT p_partkey, f * p_size AS n_tasks, CASE WHEN g > 0 THEN f * p_size ELSE CAST(0 AS BIGINT) END AS greedy_draws,
   f * p_size * g AS greedy_executions, f * p_size * s AS sampled_draws, f * p_size * s * 3 AS sampled_executions,
-  CASE WHEN g > 0 THEN f * p_size ELSE 0 END + f * p_size * s AS total_draws, f * p_size * g + f * p_size * s * 3 AS total_executions
-FROM (SELECT *, CASE WHEN p_type = 'ECONOMY' THEN 2 ELSE 5 END AS f, p_size % 3 AS g, p_size % 4 AS s FROM part) p""")
+  CASE WHEN g > 0 THEN f * p_size ELSE CAST(0 AS BIGINT) END + f * p_size * s AS total_draws, f * p_size * g + f * p_size * s * 3 AS total_executions
+FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, CAST(CASE WHEN p_type = 'ECONOMY' THEN 2 ELSE 5 END AS BIGINT) AS f,
+  CAST(p_size % 3 AS BIGINT) AS g, CAST(p_size % 4 AS BIGINT) AS s FROM part) p""")
 def _(t):
     families = F.when(F.col("p_type") == "ECONOMY", 2).otherwise(5)
     size = F.col("p_size")
@@ -262,14 +263,14 @@ gate AS (SELECT l.*, coalesce(only_a, 0) AS oa, coalesce(only_b, 0) AS ob, a.max
 
 
 @query("comparability_gate", f"""{HEAD}, {SETCOUNT} SELECT run_id, label AS contrast, array_to_string(reasons, '; ') AS reasons,
-  len(reasons) = 0 AS clean, CAST(len(model) + len(runtime) + len(decoding) AS INT) AS n_dimensions_changed FROM gate""")
+  len(reasons) = 0 AS clean, CAST(len(model) + len(runtime) + len(decoding) AS BIGINT) AS n_dimensions_changed FROM gate""")
 def _(t):
     return gated_pairs(t).select("run_id", "contrast", F.array_join("reasons", "; ").alias("reasons"), "clean",
                                  "n_dimensions_changed")
 
 
 @query("publication_gate", f"""{HEAD}, {SETCOUNT}, rf AS (SELECT *, oa = 0 AS complete, len(reasons) + CAST(NOT verified AS INT) + CAST(oa > 0 AS INT) AS nr FROM gate)
-SELECT run_id, CAST(nr AS INT) AS n_refusal_reasons, nr > 0 AS refused, false AS exploratory, '' AS overrides_applied,
+SELECT run_id, CAST(nr AS BIGINT) AS n_refusal_reasons, nr > 0 AS refused, false AS exploratory, '' AS overrides_applied,
   verified AND complete AND nr = 0 AS publication_grade FROM rf""")
 def _(t):
     out = V.publication_gate(gated_pairs(t), require_complete=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..adapters import Tables, adapter_ctes
-from ..functions.frames import rounded
+from ..functions.frames import rounded, wide_integers
 
 Plan = Callable[[Tables], DataFrame]
 
@@ -30,6 +30,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Plan], Plan]:
 def runner(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return rounded(plan(Tables(spark, sf_dir)))
+        return rounded(wide_integers(plan(Tables(spark, sf_dir))))
 
     return run

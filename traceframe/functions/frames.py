@@ -27,11 +27,21 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"__r_{k}" for k in keys]) if how not in ("left_semi", "left_anti") else joined
 
 
+def round_half_away(value: Column, digits: int) -> Column:
+    """Binary rounding: scale, round half away from zero, scale back (what SQL engines do on doubles).
+
+    ``F.round`` rounds the decimal text of a double instead and differs on ties.
+    """
+    scale = float(10**digits)
+    near = F.signum(value) * F.floor(F.abs(value) * scale + 0.5).cast("double") / scale + F.lit(0.0)
+    return F.when(F.isnan(value) | (F.abs(value) >= 1e11), value).otherwise(near)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column (adding zero turns -0.0 into 0.0)."""
+    """Round every floating column; -0.0 becomes 0.0."""
     return df.select(
         *[
-            (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
+            round_half_away(F.col(f.name).cast("double"), digits).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f.name)
             for f in df.schema.fields
@@ -39,6 +49,15 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def wide_integers(df: DataFrame) -> DataFrame:
+    """All integer columns as bigint, so counts and array sizes report alike."""
+    return df.select(*[
+        F.col(f.name).cast("bigint").alias(f.name)
+        if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)) else F.col(f.name)
+        for f in df.schema.fields
+    ])
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Division as double; null when the denominator is zero or null."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
