@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .mixing import balance_mix
+from .packing import pack_traces
 from .quality_rules import quality_rules
 from .records import traces_of_documents
 from .sharding import shard_traces
@@ -41,6 +42,18 @@ def op7_quality_rules(spark, sf_dir):
                        "base_failed", "kept", "removed_words")
 
 
+#: Ids the packed documents are made of, and the one that ends each.
+VOCABULARY, END_ID = "byte_bpe_50k.json", 1
+
+
+@query
+def op8_packing(spark, sf_dir):
+    import public_tokenizers
+
+    packed = pack_traces(traces(spark, sf_dir), tokenizer=public_tokenizers.path(VOCABULARY), end_id=END_ID, capacity=2048)
+    return by_document(packed, "start", "length", "ids_crc32", F.col("trace_tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
 @query
 def op9_sharding(spark, sf_dir):
     placed = shard_traces(traces(spark, sf_dir), n_shards=40)
