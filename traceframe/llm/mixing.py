@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,19 +98,18 @@ def tilts(sizes: DataFrame, targets: DataFrame, max_repeats: float, tolerance: f
     return state.select("condition_id", "source_size", "target", "scale", "tilt")
 
 
-def round_copies(group: pd.DataFrame, max_repeats: int) -> pd.DataFrame:
-    """Whole copies for one part of a condition: longest traces first, what rounding gives or takes is carried on.
+def round_copies(sizes: Iterable[int], rates: Iterable[float], max_repeats: int) -> list[int]:
+    """Whole copies of traces, longest first; what rounding gives or takes is carried on to the next.
 
     The words taken follow the words wanted; what is left at the end is about half the shortest trace.
     """
-    group = group.sort_values(["size", "order", "trial_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
     copies, owed = [], 0.0
-    for size, rate in zip(group["size"].tolist(), group["rate"].tolist()):
+    for size, rate in zip(sizes, rates):
         owed += rate * size
         n = min(max(int(owed / size + 0.5), 0), max_repeats) if size else 0
         owed -= n * size
         copies.append(n)
-    return group.assign(copies=copies)
+    return copies
 
 
 def balance_mix(traces: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2) -> DataFrame:
@@ -137,10 +136,12 @@ def balance_mix(traces: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
         .otherwise(max_repeats / (1 + F.exp(-F.col("tilt") * F.col("size") / F.col("scale")))).alias("rate"),
         F.pmod("order", F.ceil(F.col("rows") / ROUNDING_ROWS)).alias("part"),
     )
-    schema = rated.drop("part").schema.add("copies", T.LongType())
+    schema = rated.schema.add("copies", T.LongType())
 
-    def rounded(group: pd.DataFrame) -> pd.DataFrame:
-        return round_copies(group, max_repeats)[schema.fieldNames()]
+    def rounded(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("size", "descending"), ("order", "ascending")])
+        copies = round_copies(group["size"].to_pylist(), group["rate"].to_pylist(), max_repeats)
+        return group.append_column("copies", pa.array(copies, pa.int64()))
 
-    mixed = rated.groupBy("condition_id", "part").applyInPandas(rounded, schema)
+    mixed = rated.groupBy("condition_id", "part").applyInArrow(rounded, schema)
     return mixed.select("trial_id", "condition_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

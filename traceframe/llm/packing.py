@@ -7,10 +7,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import settle
 from .records import whole_text
@@ -174,13 +174,14 @@ def pack_traces(traces: DataFrame, tokenizer: str, end_id: int = 1, capacity: in
         *columns, (F.col("base") + F.col("seq")).alias("sequence_id"), F.coalesce(F.sum("length").over(within), F.lit(0)).alias("offset"))
     last = classes.agg(F.coalesce(F.sum("full"), F.lit(0)).alias("sequences"))
     tails = numbered.where("seq >= full").select(*columns).crossJoin(F.broadcast(last))  # one row
-    schema = f"{tails.drop('sequences').schema.simpleString()[7:-1]},sequence_id:bigint,offset:bigint".replace(":", " ")
+    schema = tails.drop("sequences").schema.add("sequence_id", T.LongType()).add("offset", T.LongType())
 
-    def pack(tail: pd.DataFrame) -> pd.DataFrame:
-        tail = tail.sort_values(["length", "trial_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        placed = first_fit_decreasing(tail["length"].tolist(), capacity)
-        tail["sequence_id"] = [int(tail["sequences"].iloc[0]) + s for s, _ in placed]
-        tail["offset"] = [o for _, o in placed]
-        return tail.drop(columns="sequences")
+    def pack(tail: pa.Table) -> pa.Table:
+        tail = tail.sort_by([("length", "descending"), ("trial_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        placed = first_fit_decreasing(tail["length"].to_pylist(), capacity)
+        taken = tail["sequences"][0].as_py() if placed else 0
+        tail = tail.drop_columns(["sequences"])
+        tail = tail.append_column("sequence_id", pa.array([taken + s for s, _ in placed], pa.int64()))
+        return tail.append_column("offset", pa.array([o for _, o in placed], pa.int64()))
 
-    return full.unionByName(tails.groupBy().applyInPandas(pack, schema))
+    return full.unionByName(tails.groupBy().applyInArrow(pack, schema))
