@@ -136,7 +136,7 @@ def balance_mix(traces: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
         .otherwise(max_repeats / (1 + F.exp(-F.col("tilt") * F.col("size") / F.col("scale")))).alias("rate"),
         F.pmod("order", F.ceil(F.col("rows") / ROUNDING_ROWS)).alias("part"),
     )
-    schema = rated.schema.add("copies", T.LongType())
+    schema = T.StructType([*rated.schema.fields, T.StructField("copies", T.LongType())])
 
     def rounded(group: pa.Table) -> pa.Table:
         group = group.sort_by([("size", "descending"), ("order", "ascending")])
