@@ -13,6 +13,7 @@ from .packing import pack_traces
 from .quality_rules import quality_rules
 from .records import traces_of_documents
 from .sharding import shard_traces
+from .simhash_dedup import simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +37,11 @@ def op3_mixing(spark, sf_dir):
     return by_document(balance_mix(traces(spark, sf_dir)), "size", "source_size", "target", "taken", "copies", "rate")
 
 
+@query
+def op6_simhash_dedup(spark, sf_dir):
+    return by_document(simhash_dedup(traces(spark, sf_dir), shingle=3), "fingerprint", "component_id")
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     return by_document(quality_rules(traces(spark, sf_dir)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
