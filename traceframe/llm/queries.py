@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .mixing import balance_mix
 from .packing import pack_traces
+from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .records import traces_of_documents
 from .sharding import shard_traces
@@ -32,6 +33,14 @@ def by_document(result: DataFrame, *columns) -> DataFrame:
     return result.select(F.col("trial_id").alias("doc_id"), *columns)
 
 
+@query
+def op2_quality_classifier(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    scored = score_quality(traces(spark, sf_dir), labels.select(F.col("doc_id").alias("trial_id"), F.col("quality").alias("good")))
+    return by_document(scored, "score", "predicted").select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op3_mixing(spark, sf_dir):
     return by_document(balance_mix(traces(spark, sf_dir)), "size", "source_size", "target", "taken", "copies", "rate")
