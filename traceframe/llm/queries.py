@@ -15,6 +15,7 @@ from .quality_rules import quality_rules
 from .records import traces_of_documents
 from .sharding import shard_traces
 from .simhash_dedup import simhash_dedup
+from .suffix_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +47,13 @@ def op3_mixing(spark, sf_dir):
     return by_document(balance_mix(traces(spark, sf_dir)), "size", "source_size", "target", "taken", "copies", "rate")
 
 
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    removed = remove_repeats(traces(spark, sf_dir), length=400, keep_first=False)
+    n_removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return by_document(removed, "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 @query
 def op6_simhash_dedup(spark, sf_dir):
     return by_document(simhash_dedup(traces(spark, sf_dir), shingle=3), "fingerprint", "component_id")
