@@ -13,7 +13,7 @@ from ..session import settle
 from .records import whole_text, word_count
 
 #: Rows of one condition that one rounding task takes, on average.
-ROUNDING_ROWS = 20_000
+ROUNDING_ROWS = 1_000
 
 
 def condition_targets(sizes: DataFrame, weights: Sequence[float], share: float, max_repeats: float) -> DataFrame:
