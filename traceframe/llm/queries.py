@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .line_dedup import remove_spread_lines
+from .lm_scoring import score_cross_entropy
 from .mixing import balance_mix
 from .packing import pack_traces
 from .quality_classifier import score_quality
@@ -34,6 +36,11 @@ def by_document(result: DataFrame, *columns) -> DataFrame:
     return result.select(F.col("trial_id").alias("doc_id"), *columns)
 
 
+@query
+def op1_line_dedup(spark, sf_dir):
+    return by_document(remove_spread_lines(traces(spark, sf_dir), min_conditions=12), "n_lines", "n_removed", "text")
+
+
 @query
 def op2_quality_classifier(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -54,6 +61,12 @@ def op4_suffix_dedup(spark, sf_dir):
     return by_document(removed, "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+@query
+def op5_lm_scoring(spark, sf_dir):
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("trial_id"), "text")
+    return by_document(score_cross_entropy(traces(spark, sf_dir), target), "n_words", "target_loss", "background_loss", "difference")
+
+
 @query
 def op6_simhash_dedup(spark, sf_dir):
     return by_document(simhash_dedup(traces(spark, sf_dir), shingle=3), "fingerprint", "component_id")
@@ -93,3 +106,15 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
+
+ORACLES["op1_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, source, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no,
+         unnest(string_split(coalesce(text, ''), chr(10))) AS line
+  FROM documents),
+normal AS (SELECT *, trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS norm FROM lines),
+spread AS (SELECT norm FROM normal WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT coalesce(source, chr(0))) >= 12)
+SELECT doc_id, count(*) AS n_lines, count(s.norm) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (s.norm IS NULL), '') AS text
+FROM normal n LEFT JOIN spread s USING (norm) GROUP BY doc_id
+"""
