@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from ..session import settle
 from .components import connected_components
 from .records import whole_text
 
-#: Largest number of differing bits that the keys cover.
+#: Differing bits up to which no link is lost.
 MAX_BITS = 3
 #: Fingerprints of one bucket that one task compares; larger buckets are dealt out in pairs of blocks.
 BUCKET = 20_000
@@ -66,6 +67,30 @@ class GolayDecoder:
         return index, np.diff(index, axis=1, prepend=-1) != 0
 
 
+def segments_of(prints: np.ndarray) -> list[np.ndarray]:
+    bits, shift = prints.view(np.uint64), np.concatenate([[0], np.cumsum(SEGMENTS)[:-1]])
+    return [(bits >> np.uint64(s) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in zip(shift, SEGMENTS)]
+
+
+def index_pairs(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, index of the first * 4096 + index of the second) for all nearby indices of two segments."""
+    many = second[1].sum(axis=1)
+    row1, at1 = np.nonzero(first[1])
+    row2, at2 = np.nonzero(second[1])
+    begin = np.cumsum(many) - many
+    counts = many[row1]
+    left = np.repeat(np.arange(len(row1)), counts)
+    right = begin[row1[left]] + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return row1[left], first[0][row1[left], at1[left]] << MESSAGE | second[0][row2[right], at2[right]]
+
+
+def pair_keys(prints: np.ndarray, golay: GolayDecoder) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) such that prints with two segments within 2 bits of each other share a key."""
+    near = [golay.nearby(w, n) for w, n in zip(segments_of(prints), SEGMENTS)]
+    found = [index_pairs(near[a], near[b]) for a, b in ((0, 1), (0, 2), (1, 2))]
+    return np.concatenate([row for row, _ in found]), np.concatenate([family << 60 | key for family, (_, key) in enumerate(found)])
+
+
 def bucket_keys(prints: np.ndarray, golay: GolayDecoder) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) such that prints within 3 bits of each other share a key.
 
@@ -73,11 +98,10 @@ def bucket_keys(prints: np.ndarray, golay: GolayDecoder) -> tuple[np.ndarray, np
     meet (family 0).  Otherwise one of them has 2 or more, so the other and the third have 1 together: one of these two is
     equal and the nearby indices of the other meet (families 1 to 4).
     """
-    bits = prints.view(np.uint64)
-    shift = np.concatenate([[0], np.cumsum(SEGMENTS)[:-1]])
-    one, two, three = ((bits >> np.uint64(s) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in zip(shift, SEGMENTS))
+    one, two, three = segments_of(prints)
     near = [golay.nearby(w, n) for w, n in zip((one, two, three), SEGMENTS)]
-    rows, keys = [], []
+    row, key = index_pairs(near[0], near[1])
+    rows, keys = [row], [key]
 
     def add(family: int, exact: np.ndarray, fuzzy: int) -> None:
         index, new = near[fuzzy]
@@ -85,16 +109,6 @@ def bucket_keys(prints: np.ndarray, golay: GolayDecoder) -> tuple[np.ndarray, np
         rows.append(row)
         keys.append(family << 60 | exact[row] << MESSAGE | index[row, at])
 
-    (index1, new1), (index2, new2) = near[0], near[1]
-    first, at1 = np.nonzero(new1)
-    many = new2.sum(axis=1)
-    left = np.repeat(np.arange(len(first)), many[first])
-    row2, at2 = np.nonzero(new2)
-    start = np.cumsum(many) - many
-    inner = np.arange(len(left)) - np.repeat(np.cumsum(many[first]) - many[first], many[first])
-    right = start[first[left]] + inner
-    rows.append(first[left])
-    keys.append(index1[first[left], at1[left]] << MESSAGE | index2[row2[right], at2[right]])
     add(1, two, 2)
     add(2, three, 1)
     add(3, one, 2)
@@ -102,19 +116,18 @@ def bucket_keys(prints: np.ndarray, golay: GolayDecoder) -> tuple[np.ndarray, np
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def text_fingerprint(text: str, shingle: int, bit_sums) -> int:
-    """64-bit SimHash of the word shingles of a text, repeats counted; 0 without words."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of a text, lower case in A-Z, single blanks; fewer words make one shingle."""
     import xxhash
 
     words = text.encode().lower().split()  # on bytes both know ASCII only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line, size = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[size - 1:].tolist())], np.uint64)
-    return bit_sums(hashes)
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[size - 1:].tolist())], np.uint64)
 
 
 def majority_bits(hashes: np.ndarray) -> int:
@@ -126,11 +139,15 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def trace_fingerprints(traces: DataFrame, shingle: int) -> DataFrame:
-    """``trial_id, print``: the fingerprint of each whole text as a signed 64-bit number."""
+def trace_fingerprints(traces: DataFrame, shingle: int, distinct: bool = False) -> DataFrame:
+    """``trial_id, print``: the fingerprint of each whole text as a signed 64-bit number, 0 without words."""
+    def fingerprint(text: str) -> int:
+        hashes = shingle_hashes(text, shingle)
+        return majority_bits(np.unique(hashes) if distinct else hashes)
+
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [text_fingerprint(text, shingle, majority_bits) for text in batch.column(1).to_pylist()]
+            out = [fingerprint(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["trial_id", "print"])
 
     key = traces.schema["trial_id"].dataType.simpleString()
@@ -143,14 +160,14 @@ def _root(parent: dict, x: int) -> int:
     return x
 
 
-def short_run_links(keys: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
+def short_run_links(keys: np.ndarray, prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links inside short runs of equal keys."""
     pairs = []
     for d in range(1, SHIFTS):
         same = np.flatnonzero(keys[d:] == keys[:-d])
         if not len(same):
             break
-        same = same[np.bitwise_count(prints[same] ^ prints[same + d]) <= MAX_BITS]
+        same = same[np.bitwise_count(prints[same] ^ prints[same + d]) <= bits]
         pairs += zip(prints[same].tolist(), prints[same + d].tolist())
     parent, out = {}, []
     for a, b in pairs:
@@ -160,14 +177,14 @@ def short_run_links(keys: np.ndarray, prints: np.ndarray) -> list[tuple[int, int
     return out
 
 
-def long_run_links(prints: np.ndarray) -> list[tuple[int, int]]:
+def long_run_links(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links inside one bucket, searched breadth first over what is not reached yet."""
     rest, out = prints, []
     while len(rest):
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            near = np.bitwise_count(rest ^ at) <= MAX_BITS
+            near = np.bitwise_count(rest ^ at) <= bits
             if near.any():
                 out += [(int(at), int(x)) for x in rest[near]]
                 front += list(rest[near])
@@ -175,7 +192,7 @@ def long_run_links(prints: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def bucket_links(keyed: DataFrame, limit: int | None) -> DataFrame:
+def bucket_links(keyed: DataFrame, limit: int | None, bits: int) -> DataFrame:
     """Links ``a, b`` inside the buckets of ``key, print``; buckets above the limit come back as ``key, a``."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(links: list, key=None) -> pa.RecordBatch:
@@ -190,7 +207,7 @@ def bucket_links(keyed: DataFrame, limit: int | None) -> DataFrame:
             if dealt:
                 yield told([(x, None) for x in run.tolist()], held_key)
             else:
-                yield told(long_run_links(run))
+                yield told(long_run_links(run, bits))
             held, dealt = [], 0
 
         for batch in batches:
@@ -203,7 +220,7 @@ def bucket_links(keyed: DataFrame, limit: int | None) -> DataFrame:
             short = np.ones(len(keys), bool)
             for i in {0, len(starts) - 1} | set(np.flatnonzero(ends - starts >= SHIFTS).tolist()):
                 short[starts[i]:ends[i]] = False
-            yield told(short_run_links(keys[short], prints[short]))
+            yield told(short_run_links(keys[short], prints[short], bits))
             for i in sorted({0, len(starts) - 1} | set(np.flatnonzero(ends - starts >= SHIFTS).tolist())):
                 if held and held_key != keys[starts[i]]:
                     yield from finish()
@@ -219,27 +236,37 @@ def bucket_links(keyed: DataFrame, limit: int | None) -> DataFrame:
     return ordered.mapInArrow(search, "key bigint, a bigint, b bigint")
 
 
-def print_links(prints: DataFrame) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints (``print``) that differ in at most 3 bits; enough of them to connect
-    all that any such pair connects."""
+def print_links(prints: DataFrame, keys=bucket_keys, bits: int = MAX_BITS) -> DataFrame:
+    """Links ``a, b`` between distinct fingerprints (``print``) that share a key and differ in at most ``bits`` bits; enough
+    of them to connect all that any such pair connects."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = GolayDecoder()
         for batch in batches:
             values = batch.column(0).to_numpy()
             for part in range(0, len(values), 2000):
                 some = values[part:part + 2000]
-                row, key = bucket_keys(some, golay)
+                row, key = keys(some, golay)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[row])], names=["key", "print"])
 
     keyed = prints.select("print").mapInArrow(spread, "key bigint, print bigint")
-    found = settle(bucket_links(keyed, BUCKET), "links")
+    found = settle(bucket_links(keyed, BUCKET, bits), "links")
     large = found.where("b IS NULL").select("key", F.col("a").alias("print"))
     blocks = large.groupBy("key").agg(F.ceil(2 * F.count("*") / BUCKET).alias("blocks"))
     large = large.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("print"), "blocks"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     # two blocks meet in one bucket of their own
     large = large.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "print")
-    return found.where("b IS NOT NULL").select("a", "b").unionByName(bucket_links(large, None).select("a", "b")).distinct()
+    return found.where("b IS NOT NULL").select("a", "b").unionByName(bucket_links(large, None, bits).select("a", "b")).distinct()
+
+
+def print_components(rows: DataFrame, keys=bucket_keys, bits: int = MAX_BITS) -> DataFrame:
+    """``print, component_id`` for the fingerprints of ``rows`` (``trial_id, print``)."""
+    classes = settle(rows.groupBy("print").agg(F.min("trial_id").alias("first")), "classes")
+    components = connected_components(print_links(classes, keys, bits))
+    named = settle(classes.join(components, F.col("print") == F.col("node"), "left").select(
+        "print", "first", F.coalesce("component", "print").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return named.join(least, "component").select("print", "component_id")
 
 
 def simhash_dedup(traces: DataFrame, shingle: int = 3) -> DataFrame:
@@ -260,12 +287,55 @@ def simhash_dedup(traces: DataFrame, shingle: int = 3) -> DataFrame:
     empty result.
     """
     rows = settle(trace_fingerprints(traces, shingle), "prints")
-    classes = settle(rows.groupBy("print").agg(F.min("trial_id").alias("first")), "classes")
-    components = connected_components(print_links(classes))
-    named = classes.join(components, F.col("print") == F.col("node"), "left").select(
-        "print", "first", F.coalesce("component", "print").alias("component"))
-    named = settle(named, "named")
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("print", "component_id")
-    return rows.join(named, "print").select(
+    return rows.join(print_components(rows), "print").select(
         "trial_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similar_bits(similarity: float) -> int:
+    """Bits by which the fingerprints of two sets of that Jaccard similarity differ on average, rounded up."""
+    return math.ceil(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def near_copies(traces: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """For every trace the one that stays for it: itself, or one whose word shingles are similar.
+
+    Candidates come from the same fuzzy hashing, on fingerprints of distinct word pairs, which a few edits change less than
+    those of longer shingles: two of the three segments within 2 bits, all within the bits that ``similarity`` makes on
+    average.  Candidates connected by such links are settled by rounds: the smallest ``trial_id`` of a component stays;
+    members whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more with it go; the others
+    make the next round.  So each trace that goes is that similar to one that stays, and no two that stay in a component
+    are.  A round compares every member with one trace, whatever the size of the component.
+
+    Returns ``trial_id, stays_for`` per distinct ``trial_id`` (null ids left out); texts without words are alike.  Null text
+    is empty.  An empty table gives an empty result.
+    """
+    named = traces.where("trial_id IS NOT NULL").dropDuplicates(["trial_id"])
+    rows = settle(trace_fingerprints(named, 2, distinct=True), "prints")
+    grouped = rows.join(print_components(rows, pair_keys, similar_bits(similarity)), "print").select("trial_id", "component_id")
+    grouped = settle(grouped, "grouped")
+    several = grouped.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = grouped.join(several, "component_id").select(F.col("trial_id").alias("id"), F.col("component_id").alias("component"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text, shingle)).view(np.int64) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["id", "component", "shingles"])
+
+    key = traces.schema["trial_id"].dataType.simpleString()
+    with_text = named.select("trial_id", whole_text().alias("text")).join(members, F.col("trial_id") == F.col("id")).select("id", "component", "text")
+    rest = settle(with_text.mapInArrow(shingled, f"id {key}, component {key}, shingles array<bigint>"), "members")
+    decided = None
+    while True:
+        leaders = rest.groupBy("component").agg(F.min("id").alias("leader"))
+        leaders = rest.join(leaders.withColumnRenamed("component", "of"), (F.col("component") == F.col("of")) & (F.col("id") == F.col("leader")))
+        leaders = leaders.select(F.col("component").alias("of"), "leader", F.col("shingles").alias("led"))
+        shared = F.size(F.array_intersect("shingles", "led"))
+        union = F.size("shingles") + F.size("led") - shared
+        round_ = settle(rest.join(leaders, F.col("component") == F.col("of")).select(
+            "id", "component", "shingles", "leader", ((union == 0) | (shared >= similarity * union)).alias("near")), "round")
+        near = round_.where("near").select("id", "leader")
+        decided = near if decided is None else decided.unionByName(near)
+        rest = round_.where("NOT near").select("id", "component", "shingles")
+        if not rest.limit(1).count():
+            break
+    return grouped.join(decided, F.col("trial_id") == F.col("id"), "left").select("trial_id", F.coalesce("leader", "trial_id").alias("stays_for"))
