@@ -1,0 +1,34 @@
+import random
+
+import pytest
+
+SCHEMA = "trial_id bigint, text string, condition_id string, family string, size string, part string, start string, text_key string"
+
+
+def prose(rng, n, words=400):
+    return " ".join(f"w{rng.randrange(words)}{rng.choice(['', '', ',', '.'])}" for _ in range(n))
+
+
+@pytest.fixture(scope="session")
+def records():
+    """Trace records with every odd case: null and empty texts, null ids and conditions, repeated rows, copies, near copies,
+    very long texts, shared passages and lines, and columns named like the operators' own."""
+    rng = random.Random(5)
+    base = [prose(rng, rng.randrange(5, 160)) for _ in range(60)]
+    shared, line = prose(rng, 90), "Terms of the shared run apply."
+    texts = base + [None, "", " \n\t ", "one", "Éa ß É　x", "a\n\nb\na\n", "rep rep " * 300, prose(rng, 9000, 40)]
+    texts += [base[0]] * 4 + [base[1] + " end"] + [f"{prose(rng, 12)}\n{line}\n{shared} {i}" for i in range(14)]
+    texts += [" ".join(("zz" if i == 40 else w) for i, w in enumerate(base[2].split())) + " " + shared]
+    rows = [(i * 7 % 1009, t, None if i % 17 == 3 else f"cond{i % 5 if i % 3 else 0}", "arith", "x", "y", "z", "k") for i, t in enumerate(texts)]
+    rows += [(None, "no id " + shared, "cond1", None, None, None, None, None), (5000, base[3], "cond2", None, None, None, None, None)]
+    return rows + [rows[0], rows[0], rows[60]]
+
+
+@pytest.fixture(scope="session")
+def traces(spark, records):
+    return spark.createDataFrame(records, SCHEMA).repartition(5, "size")
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)

@@ -160,6 +160,10 @@ def _root(parent: dict, x: int) -> int:
     return x
 
 
+def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))  # of signed numbers it would count the absolute value's
+
+
 def short_run_links(keys: np.ndarray, prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links inside short runs of equal keys."""
     pairs = []
@@ -167,7 +171,7 @@ def short_run_links(keys: np.ndarray, prints: np.ndarray, bits: int) -> list[tup
         same = np.flatnonzero(keys[d:] == keys[:-d])
         if not len(same):
             break
-        same = same[np.bitwise_count(prints[same] ^ prints[same + d]) <= bits]
+        same = same[differing_bits(prints[same], prints[same + d]) <= bits]
         pairs += zip(prints[same].tolist(), prints[same + d].tolist())
     parent, out = {}, []
     for a, b in pairs:
@@ -184,7 +188,7 @@ def long_run_links(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            near = np.bitwise_count(rest ^ at) <= bits
+            near = differing_bits(rest, at) <= bits
             if near.any():
                 out += [(int(at), int(x)) for x in rest[near]]
                 front += list(rest[near])
