@@ -256,7 +256,8 @@ def test_balance_mix(traces, records):
         taken[r.condition_id] += r.taken
         assert r.target == pytest.approx(target[r.condition_id]) and r.taken == r.copies * r.size and 0 <= r.copies <= 2
     for c in order:
-        assert abs(taken[c] - target[c]) <= max(5, 0.01 * target[c])
+        largest = max(len(words(r[1])) for r in records if r[2] == c)  # copies are whole
+        assert abs(taken[c] - target[c]) <= max(5, 0.01 * target[c], largest / 2 if largest > target[c] / 4 else 0)
     key = lambda r: repr(tuple(r))
     assert sorted(map(key, mixing.balance_mix(traces.repartition(3)).collect())) == sorted(map(key, rows))
 
@@ -327,7 +328,7 @@ def test_shard_traces(traces, records, spark):
     before = {r.trial_id: r.shard for r in sharding.shard_traces(many, n_shards=10).collect()}
     after = {r.trial_id: r.shard for r in sharding.shard_traces(many, n_shards=11).collect()}
     moved = sum(before[i] != s for i, s in after.items())
-    assert moved < 0.5 * len(before)  # plain modulo would move ten elevenths
+    assert moved < 0.4 * len(before), moved  # plain modulo would move ten elevenths
 
 
 def test_score_cross_entropy(traces, records, spark):

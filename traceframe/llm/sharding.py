@@ -15,8 +15,9 @@ RECORD_OVERHEAD = 16
 def hash_ring(traces: DataFrame, n_shards: int, vnodes: int, cells: int) -> DataFrame:
     """``n_shards * vnodes`` virtual nodes on a ring of ``cells`` places: ``place, shard``."""
     points = traces.sparkSession.range(n_shards * vnodes)
+    # the first nodes are the same whatever the number of shards
     return points.select(
-        F.pmod(F.xxhash64(F.lit("vnode"), "id"), F.lit(cells)).alias("place"), (F.col("id") % n_shards).cast("int").alias("shard"),
+        F.pmod(F.xxhash64(F.lit("vnode"), "id"), F.lit(cells)).alias("place"), F.floor(F.col("id") / vnodes).cast("int").alias("shard"),
     )
 
 
