@@ -265,7 +265,8 @@ def repeated_spans(traces: DataFrame, copies: DataFrame, length: int, keep_first
     anchors = settle(gram_anchors(texts, length), "anchors")
     repeated = anchors.groupBy("gram").agg(
         F.min("text_key").alias("k1"), F.max("text_key").alias("k2"), F.min("at").alias("a1"), F.max("at").alias("a2")).where("k1 <> k2 OR a1 <> a2")
-    lists = anchors.join(repeated.select("gram"), "gram", "left_semi").groupBy("text_key").agg(F.collect_set(F.struct("gram", "at")).alias("anchors"))
+    repeated = settle(repeated.select("gram"), "repeated")  # as a table of its own, so that a join can split a very common gram
+    lists = anchors.join(repeated, "gram", "left_semi").groupBy("text_key").agg(F.collect_set(F.struct("gram", "at")).alias("anchors"))
     lists = lists.join(copies.select("text_key", "place"), "text_key")
     touched = settle(texts.join(lists, "text_key").dropDuplicates(["text_key"]), "touched")
     contexts = settle(context_keys(touched, length), "contexts")
