@@ -116,8 +116,8 @@ def bucket_keys(prints: np.ndarray, golay: GolayDecoder) -> tuple[np.ndarray, np
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def shingle_hashes(text: str, shingle: int) -> np.ndarray:
-    """XXH64 (seed 42) of the word shingles of a text, lower case in A-Z, single blanks; fewer words make one shingle."""
+def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles of a text, lower case in A-Z, single blanks; fewer words make one shingle."""
     import xxhash
 
     words = text.encode().lower().split()  # on bytes both know ASCII only
@@ -127,7 +127,7 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1]
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[size - 1:].tolist())], np.uint64)
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts.tolist(), ends[size - 1:].tolist())], np.uint64)
 
 
 def majority_bits(hashes: np.ndarray) -> int:
@@ -139,15 +139,11 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def trace_fingerprints(traces: DataFrame, shingle: int, distinct: bool = False) -> DataFrame:
+def trace_fingerprints(traces: DataFrame, shingle: int) -> DataFrame:
     """``trial_id, print``: the fingerprint of each whole text as a signed 64-bit number, 0 without words."""
-    def fingerprint(text: str) -> int:
-        hashes = shingle_hashes(text, shingle)
-        return majority_bits(np.unique(hashes) if distinct else hashes)
-
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [fingerprint(text) for text in batch.column(1).to_pylist()]
+            out = [majority_bits(shingle_hashes(text, shingle)) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["trial_id", "print"])
 
     key = traces.schema["trial_id"].dataType.simpleString()
@@ -300,11 +296,36 @@ def similar_bits(similarity: float) -> int:
     return math.ceil(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def set_fingerprints(traces: DataFrame) -> DataFrame:
+    """``trial_id, print0, print1``: two independent fingerprints of the set of word pairs of each whole text."""
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            both = [pa.array([majority_bits(np.unique(shingle_hashes(t, 2, seed))) for t in texts], pa.int64()) for seed in (42, 43)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *both], names=["trial_id", "print0", "print1"])
+
+    key = traces.schema["trial_id"].dataType.simpleString()
+    return traces.select("trial_id", whole_text().alias("text")).mapInArrow(prints, f"trial_id {key}, print0 bigint, print1 bigint")
+
+
+def candidate_groups(rows: DataFrame, similarity: float) -> DataFrame:
+    """``id, component`` of the traces that meet others by either fingerprint."""
+    for k in (0, 1):
+        of = print_components(rows.select("trial_id", F.col(f"print{k}").alias("print")), pair_keys, similar_bits(similarity))
+        rows = rows.join(of.select(F.col("print").alias(f"print{k}"), F.xxhash64(F.lit(k), "component_id").alias(f"group{k}")), f"print{k}")
+    rows = settle(rows.select("trial_id", "group0", "group1"), "groups")
+    for k in (0, 1):
+        rows = rows.join(rows.groupBy(f"group{k}").agg(F.count("*").alias(f"n{k}")), f"group{k}")
+    crowded = settle(rows.where("n0 > 1 OR n1 > 1").select("trial_id", "group0", "group1"), "crowded")
+    components = connected_components(crowded.select(F.col("group0").alias("a"), F.col("group1").alias("b")))
+    return crowded.join(components, F.col("group0") == F.col("node")).select(F.col("trial_id").alias("id"), "component")
+
+
 def near_copies(traces: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """For every trace the one that stays for it: itself, or one whose word shingles are similar.
 
-    Candidates come from the same fuzzy hashing, on fingerprints of distinct word pairs, which a few edits change less than
-    those of longer shingles: two of the three segments within 2 bits, all within the bits that ``similarity`` makes on
+    Candidates come from the same fuzzy hashing, on two fingerprints of the set of word pairs, which a few edits change less
+    than those of longer shingles: two of the three segments within 2 bits, all within the bits that ``similarity`` makes on
     average.  Candidates connected by such links are settled by rounds: the smallest ``trial_id`` of a component stays;
     members whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more with it go; the others
     make the next round.  So each trace that goes is that similar to one that stays, and no two that stay in a component
@@ -314,11 +335,7 @@ def near_copies(traces: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     is empty.  An empty table gives an empty result.
     """
     named = traces.where("trial_id IS NOT NULL").dropDuplicates(["trial_id"])
-    rows = settle(trace_fingerprints(named, 2, distinct=True), "prints")
-    grouped = rows.join(print_components(rows, pair_keys, similar_bits(similarity)), "print").select("trial_id", "component_id")
-    grouped = settle(grouped, "grouped")
-    several = grouped.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = grouped.join(several, "component_id").select(F.col("trial_id").alias("id"), F.col("component_id").alias("component"))
+    members = settle(candidate_groups(settle(set_fingerprints(named), "prints"), similarity), "candidates")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +344,7 @@ def near_copies(traces: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
     key = traces.schema["trial_id"].dataType.simpleString()
     with_text = named.select("trial_id", whole_text().alias("text")).join(members, F.col("trial_id") == F.col("id")).select("id", "component", "text")
-    rest = settle(with_text.mapInArrow(shingled, f"id {key}, component {key}, shingles array<bigint>"), "members")
+    rest = settle(with_text.mapInArrow(shingled, f"id {key}, component bigint, shingles array<bigint>"), "members")
     decided = None
     while True:
         leaders = rest.groupBy("component").agg(F.min("id").alias("leader"))
@@ -342,4 +359,4 @@ def near_copies(traces: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
         rest = round_.where("NOT near").select("id", "component", "shingles")
         if not rest.limit(1).count():
             break
-    return grouped.join(decided, F.col("trial_id") == F.col("id"), "left").select("trial_id", F.coalesce("leader", "trial_id").alias("stays_for"))
+    return named.select("trial_id").join(decided, F.col("trial_id") == F.col("id"), "left").select("trial_id", F.coalesce("leader", "trial_id").alias("stays_for"))
