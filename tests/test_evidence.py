@@ -37,16 +37,19 @@ def test_scan_skips_blank_lines_and_keeps_corrupt_ones(spark, tmp_path):
             "termination": {"capped": False}, "trace": {"token_ids": [1, 2]}}
     odd = {**good, "trial_id": "b", "condition_id": "x", "condition": {"mode": "greedy", "repeat": 1}}
     lines = [json.dumps(good), "", json.dumps(good), json.dumps(odd), json.dumps({**odd, "trial_id": "c", "trace": None}), '{"run_id": "r", "tri']
-    (tmp_path / "traces.jsonl").write_text("\n".join(lines))
-    traces = E.scan_traces(spark, f"{tmp_path}/traces.jsonl")
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "traces.jsonl").write_text("\n".join(lines))
+    traces = E.scan_traces(spark, f"{tmp_path}/*/traces.jsonl")
     assert traces.count() == 5
     flat = rows(E.flat_records(traces).where("trial_id = 'a'"))
     assert flat[0]["tokens"] == [1, 2] and flat[0]["presentation_id"] == "t" and flat[0]["seed"] is None
     declared = spark.createDataFrame([("r", "c")], "run_id string, condition_id string")
     runs = spark.createDataFrame([("r", None, "s", None)], "run_id string, deployment_id string, source_artifact_id string, weight_variant_id string")
-    faults = {(r["error"], r["item"]): r["n"] for r in rows(N.structural_audit(traces.fillna("r", ["run_id"]), declared, runs))}
+    faults = {(r["error"], r["item"]): r["n"] for r in rows(N.structural_audit(traces, declared, runs))}
     assert faults == {("malformed or truncated JSON", ""): 1, ("missing required fields", "trace"): 1, ("duplicate trial_id", "a"): 1,
                       ("duplicate trial (task, mode, seed, repeat)", "t/greedy/null/0"): 1, ("condition not declared", "x"): 1}
+    silent = {(r["error"], r["item"]) for r in rows(N.structural_audit(traces, declared.limit(0), runs))}
+    assert ("manifest declares no conditions", "") in silent and ("condition not declared", "x") not in silent
 
 
 def test_absent_probes_are_an_empty_table(spark, tmp_path):

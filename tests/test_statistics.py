@@ -105,5 +105,8 @@ def test_effect_labels(spark, mean, excludes, noise, label):
 def test_histogram_counts_everything(spark):
     out = rows(G.histogram(frame(spark, range(101)), [], "v"), "bin")
     assert len(out) == 20 and sum(r["n"] for r in out) == 101 and out[-1]["n"] == 6 and out[-1]["bin_high"] == 100
+    values = [i * 0.05 for i in range(7)] + [i * 0.015 for i in range(21)]
+    want, _ = np.histogram(values, bins=20)
+    assert [r["n"] for r in rows(G.histogram(frame(spark, values), [], "v"), "bin")] == want.tolist()
     flat = rows(G.histogram(frame(spark, [3, 3, 3]), [], "v"), "bin")
     assert sum(r["n"] for r in flat) == 3 and flat[0]["bin_low"] == 2.5

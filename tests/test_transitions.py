@@ -10,6 +10,9 @@ def selected(spark, outcomes):
     return spark.createDataFrame([("d", str(c), c, o) for c, o in outcomes], "draw string, checkpoint_label string, checkpoint_index int, outcome string")
 
 
+LABELS = ("0", "256", "512")
+
+
 @pytest.mark.parametrize("outcomes, want", [
     ([(0, "correct"), (256, "censored"), (512, "correct")], dict(n_indeterminate=1, flips=0, state="stable_correct", stable_through_end=True, n_missing=0)),
     ([(0, "scorable_incorrect")], dict(n_missing=2, state="never_correct", first_correct_checkpoint=None, stable_through_end=None)),
@@ -18,7 +21,7 @@ def selected(spark, outcomes):
     ([(0, "error")], dict(state="never_correct", n_observed_scorable=0, n_indeterminate=1)),
 ])
 def test_forced_trajectories(spark, outcomes, want):
-    out = one(T.forced_trajectory(selected(spark, outcomes), ["draw"], 3))
+    out = one(T.forced_trajectory(selected(spark, outcomes), ["draw"], LABELS))
     assert {k: out[k] for k in want} == want
 
 
@@ -55,6 +58,35 @@ def test_reversion_needs_an_observed_wrong_answer(spark):
     assert {r["example_class"] for r in rows(T.representative_examples(T.draw_pattern(df)))} == {"positive_both_recover", "unstable"}
 
 
+def test_forced_trajectory_counts_each_declared_label_once(spark):
+    df = spark.createDataFrame([("d", "0", 0, "correct", 1), ("d", "0", 0, "error", 2), ("d", "256", 256, "correct", 1), ("d", "999", 999, "correct", 3)],
+                               "draw string, checkpoint_label string, checkpoint_index int, outcome string, position int")
+    out = one(T.forced_trajectory(df, ["draw"], LABELS))
+    assert (out["n_missing"], out["n_error"], out["n_correct"], out["n_observed_scorable"]) == (1, 1, 1, 1)
+
+
+def test_last_probe_of_an_arm_counts(spark):
+    df = spark.createDataFrame([("A", "t", 1, "f", True, "64", 64, False, "unparseable", 1), ("A", "t", 1, "f", True, "64", 64, False, "correct", 2),
+                                ("B", "t", 1, "f", True, "64", 64, False, "error", 3)], PROBE + ", position bigint")
+    sel = df.withColumn("checkpoint_index", F.col("checkpoint"))
+    joint = one(M.jointly_eligible(sel))
+    assert (joint["outcome_a"], joint["outcome_b"]) == ("correct", "error")
+
+
+def test_probes_take_the_status_of_their_own_run(spark):
+    probes = spark.createDataFrame([("A", "t", 1), ("B", "t", 1), ("C", "t", 1)], "run_id string, task_id string, n int")
+    records = spark.createDataFrame([("A", "t", "greedy", 0, "x", "correct"), ("B", "t", "greedy", 0, "y", "error"), ("B", "t", "greedy", 1, "a", "correct")],
+                                    "run_id string, task_id string, mode string, repeat int, trial_id string, st string")
+    out = {r["run_id"]: r["natural_final_status"] for r in rows(M.join_natural(probes, records, F.col("st")))}
+    assert out == {"A": "correct", "B": "error", "C": "censored"}
+
+
+def test_unset_flags_count_as_false(spark):
+    df = spark.createDataFrame([((None,), (True,)), (None, (True,))], "a struct<f: boolean>, b struct<f: boolean>")
+    label = T.flag_transition(T.arm_flag(F.col("a"), "f"), T.arm_flag(F.col("b"), "f"))
+    assert [r["l"] for r in rows(df.select(label.alias("l")))] == ["only_b", "ambiguous"]
+
+
 def test_pair_labels(spark):
     df = spark.createDataFrame([(True, True), (True, False), (False, True), (False, False), (None, True)], "a boolean, b boolean")
     assert [r["l"] for r in rows(df.select(T.flag_transition(F.col("a"), F.col("b")).alias("l")))] == ["both", "only_a", "only_b", "neither", "ambiguous"]

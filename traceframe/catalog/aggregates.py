@@ -139,7 +139,8 @@ def _(t):
 
 @query("histogram", """WITH b AS (SELECT condition_id, min(total_tokens) AS lo, max(total_tokens) AS hi FROM records GROUP BY 1),
 e AS (SELECT condition_id, lo, hi, CAST(bin AS INT) AS bin FROM b, range(0, 20) r(bin)),
-c AS (SELECT condition_id, CAST(least(floor((total_tokens - lo) / ((hi - lo) / 20.0)), 19) AS INT) AS bin, count(*) AS n FROM records JOIN b USING (condition_id) GROUP BY ALL)
+p AS (SELECT condition_id, total_tokens AS v, lo, (hi - lo) / 20.0 AS w, CAST(least(floor((total_tokens - lo) / ((hi - lo) / 20.0)), 19) AS INT) AS k FROM records JOIN b USING (condition_id)),
+c AS (SELECT condition_id, CASE WHEN v < lo + w * k THEN k - 1 WHEN k < 19 AND v >= lo + w * (k + 1) THEN k + 1 ELSE k END AS bin, count(*) AS n FROM p GROUP BY ALL)
 SELECT condition_id, CAST(bin AS BIGINT) AS bin, round(lo + (hi - lo) / 20.0 * bin, 6) AS bin_low, round(lo + (hi - lo) / 20.0 * (bin + 1), 6) AS bin_high, coalesce(n, 0) AS n
 FROM e LEFT JOIN c USING (condition_id, bin)""")
 def _(t):

@@ -6,8 +6,7 @@ from .registry import query
 from .scalars import STATUS_SQL
 from .shared_sql import resample_means
 
-R = 500
-PANEL_R = 200
+R = PANEL_R = 2000
 
 
 def ci_sql(groups, means="", extra=""):
@@ -137,10 +136,10 @@ def study_sql(label, where):
       CAST(NULL AS DOUBLE) AS pooled FROM (WITH {body}) p WHERE metric = 'reasoning_closure_rate'"""
 
 
-@query("cross_study", f"{study_sql('calibration', chr(39) + 'easy' + chr(39) + ' = difficulty')} UNION ALL {study_sql('replication', chr(39) + 'hard' + chr(39) + ' = difficulty')}")
+@query("cross_study", f"{study_sql('calibration', chr(39) + 'easy' + chr(39) + ' = difficulty')} UNION ALL {study_sql('extension', chr(39) + 'medium' + chr(39) + ' = difficulty')} UNION ALL {study_sql('replication', chr(39) + 'hard' + chr(39) + ' = difficulty')}")
 def _(t):
     records = t("records")
     return C.cross_study({
         label: C.metric_panel(records.where(F.col("difficulty") == level), n_resamples=PANEL_R)
-        for label, level in (("calibration", "easy"), ("replication", "hard"))
+        for label, level in (("calibration", "easy"), ("extension", "medium"), ("replication", "hard"))
     })

@@ -156,7 +156,7 @@ dk AS (SELECT run_id, task_id || '/' || mode || '/' || coalesce(CAST(seed AS VAR
 
 
 @query("structural_audit", f"""WITH {FAULTY}
-SELECT 'unreadable' AS run_id, 'malformed or truncated JSON' AS error, '' AS item, count(*) AS n FROM w WHERE cut GROUP BY 1
+SELECT run_id, 'malformed or truncated JSON' AS error, '' AS item, count(*) AS n FROM w WHERE cut GROUP BY 1
 UNION ALL SELECT run_id, 'missing required fields', 'termination', count(*) FROM w WHERE no_term AND NOT cut GROUP BY 1
 UNION ALL SELECT run_id, 'missing condition metadata', '', count(*) FROM g WHERE no_mode GROUP BY 1
 UNION ALL SELECT run_id, 'duplicate trial_id', trial_id, count(*) - 1 FROM (SELECT run_id, CASE WHEN wall_ms BETWEEN 5000 AND 5020 THEN 'same' ELSE trial_id END AS trial_id FROM g) d GROUP BY 1, 3 HAVING count(*) > 1
@@ -171,11 +171,13 @@ def _(t):
     rows = rows.withColumn("termination", F.when(wall >= 950, F.col("termination")))
     rows = rows.withColumn("condition", F.struct(
         F.when(~wall.between(2000, 2100), F.col("condition.mode")).alias("mode"), "condition.seed", "condition.repeat"))
-    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"), wall.alias("__w"))
-    lines = lines.select(F.when(F.col("__w") > 100000, F.substring("value", 1, 40)).otherwise(F.col("value")).alias("value"))
+    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"), wall.alias("__w"), "run_id")
+    # cut inside the first field, so that a broken line cannot name its run
+    lines = lines.select("run_id", F.when(F.col("__w") > 100000, F.substring("value", 1, 11)).otherwise(F.col("value")).alias("value"))
     path = scratch_path(t.spark, "audited")
-    E.write_once(lines, path, "text")
-    traces = E.scan_traces(t.spark, path).withColumn("run_id", F.when(F.col("_corrupt_record").isNotNull(), F.lit("unreadable")).otherwise(F.col("run_id")))
+    for run in ("run-A", "run-B"):  # a run is a folder
+        E.write_once(lines.where(F.col("run_id") == run).select("value"), f"{path}/{run}", "text")
+    traces = E.scan_traces(t.spark, f"{path}/*")
     declared = t("records").select(F.concat(F.lit("run-"), "arm").alias("run_id"), "condition_id").distinct()
     runs = declared.select("run_id").distinct().select(
         "run_id", F.concat(F.lit("dep-"), F.substring("run_id", 5, 1)).alias("deployment_id"), F.lit("src-1").alias("source_artifact_id"),

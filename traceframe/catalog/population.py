@@ -142,12 +142,11 @@ def _(t):
     return M.join_gold(t("records").select("trial_id", "task_id", "answer_normalized"), tasks, "task_id", "answer")
 
 
-@query("join_natural", f"""WITH g AS (SELECT task_id, arg_min({STATUS_SQL}, repeat || '/' || trial_id) AS st FROM records WHERE mode = 'greedy'
-  AND family <> 'sm' GROUP BY 1)
-SELECT arm, task_id, seed, checkpoint, outcome, coalesce(st, 'censored') AS natural_final_status FROM probes LEFT JOIN g USING (task_id)""")
+@query("join_natural", f"""WITH g AS (SELECT arm, task_id, arg_min({STATUS_SQL}, repeat || '/' || trial_id) AS st FROM records WHERE mode = 'greedy' GROUP BY 1, 2)
+SELECT arm, task_id, seed, checkpoint, outcome, coalesce(st, 'censored') AS natural_final_status FROM probes LEFT JOIN g USING (arm, task_id)""")
 def _(t):
     probes = t("probes").select("arm", "task_id", "seed", "checkpoint", "outcome")
-    return M.join_natural(probes, t("records").where(F.col("family") != "sm"), record_status())
+    return M.join_natural(probes, t("records"), record_status(), run=["arm"])
 
 
 JOINT = """joint AS (SELECT a.checkpoint_label, a.checkpoint_index, a.task_id, a.seed, least(a.family, b.family) AS family,

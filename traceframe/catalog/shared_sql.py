@@ -42,7 +42,7 @@ def resample_means(groups: str, n: int, seed: int = 0) -> str:
     using = f"{groups}, idx" if groups else "idx"
     return f"""
 numbered AS (
-  SELECT *, CAST('0x' || substr(md5(cl), 1, 7) AS BIGINT) AS num FROM vals
+  SELECT *, CAST('0x' || substr(md5(cl), 1, 15) AS BIGINT) AS num FROM vals
 ),
 placed AS (
   SELECT *, row_number() OVER ({part}ORDER BY num, cl) - 1 AS idx, count(*) OVER ({part}) AS n FROM numbered

@@ -74,13 +74,13 @@ def _(t):
     return S.survival_endpoints(draws.where(~F.col("ambiguous")), 400.0)
 
 
-R = 200
+R = 2000
 
 
 @query("rmst_delta_bootstrap", f"""WITH
 tcells AS (SELECT task_id, arm, time, count(*) AS n, sum(CASE WHEN event THEN 1 ELSE 0 END) AS d FROM obs GROUP BY ALL),
 shared AS (SELECT task_id AS cl FROM tcells GROUP BY 1 HAVING count(DISTINCT arm) = 2),
-placed AS (SELECT cl, row_number() OVER (ORDER BY CAST('0x' || substr(md5(cl), 1, 7) AS BIGINT), cl) - 1 AS idx,
+placed AS (SELECT cl, row_number() OVER (ORDER BY CAST('0x' || substr(md5(cl), 1, 15) AS BIGINT), cl) - 1 AS idx,
   count(*) OVER () AS n FROM shared),
 slots AS (SELECT idx, n, replicate FROM placed, range(0, {R}) t(replicate)),
 drawn AS ({draw('idx', 'replicate').format(src='slots')}),

@@ -68,16 +68,17 @@ def _(t):
 
 FORCED = runs_sql("(SELECT * FROM selected WHERE outcome IN ('correct', 'scorable_incorrect'))", "(outcome = 'correct')",
                   "checkpoint_index", "checkpoint_label")
+DECLARED = [*[str(day * 64) for day in range(30)], "full_prefix"]  # the labels the probe adapter makes of a month
 OUTS = ["correct", "scorable_incorrect", "unparseable", "censored", "error"]
 
 
 @query("forced_trajectory", f"""WITH {FORCED}, c AS (SELECT {D}, count(*) AS seen, {', '.join(f"count(*) FILTER (outcome = '{o}') AS n_{o}" for o in OUTS)} FROM selected GROUP BY {D})
 SELECT {', '.join('c.' + d for d in DRAW)}, {', '.join('n_' + o for o in OUTS)}, coalesce(n, 0) AS n_observed_scorable, seen - coalesce(n, 0) AS n_indeterminate,
-  31 - seen AS n_missing, coalesce(state, 'never_correct') AS state, coalesce(flips, 0) AS flips, first_lab AS first_correct_checkpoint,
+  {len(DECLARED)} - seen AS n_missing, coalesce(state, 'never_correct') AS state, coalesce(flips, 0) AS flips, first_lab AS first_correct_checkpoint,
   CASE WHEN hits > 0 AND lw < fc THEN first_lab END AS stable_from_checkpoint, CASE WHEN hits > 0 THEN lw < fc END AS stable_through_end
 FROM c LEFT JOIN st USING ({D})""")
 def _(t):
-    return T.forced_trajectory(M.select_checkpoints(t("probes")), DRAW, 31)
+    return T.forced_trajectory(M.select_checkpoints(t("probes")), DRAW, DECLARED)
 
 
 ARM = f"""ar AS (SELECT {D}, arg_min(checkpoint_label, checkpoint_index) FILTER (outcome = 'correct') AS first_correct,
@@ -148,7 +149,7 @@ def delta_ctes(kind):
     return f"""c_{kind} AS (SELECT checkpoint_label, task_id AS cl, avg(CASE WHEN outcome_b = '{kind}' THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN outcome_a = '{kind}' THEN 1.0 ELSE 0.0 END) AS v FROM joint GROUP BY ALL)"""
 
 
-REC_R = 200
+REC_R = 2000
 
 
 def ci_part(kind):
@@ -185,7 +186,8 @@ po AS (SELECT CASE WHEN ambiguous_a THEN NULL ELSE a END AS a, CASE WHEN ambiguo
 
 
 def flag(f):
-    return f"CASE WHEN a.{f} IS NULL OR b.{f} IS NULL THEN 'ambiguous' WHEN a.{f} AND b.{f} THEN 'both' WHEN a.{f} THEN 'only_a' WHEN b.{f} THEN 'only_b' ELSE 'neither' END"
+    return (f"CASE WHEN a IS NULL OR b IS NULL THEN 'ambiguous' WHEN coalesce(a.{f}, false) AND coalesce(b.{f}, false) THEN 'both' "
+            f"WHEN coalesce(a.{f}, false) THEN 'only_a' WHEN coalesce(b.{f}, false) THEN 'only_b' ELSE 'neither' END")
 
 
 LONG = " UNION ALL ".join(f"SELECT '{d}' AS dimension, {lv} AS level, '{k}' AS kind, {e} AS label FROM po" for d, lv, k, e in [

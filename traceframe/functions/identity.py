@@ -35,13 +35,36 @@ def _present(tree: Tree) -> Column:
     return F.when(some, _canonical_struct(tree))
 
 
+def ascii_json(text: Column) -> Column:
+    """JSON text with every character beyond ASCII as ``\\uXXXX``, outside the basic plane as two of them."""
+    def escaped(c: Column) -> Column:
+        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        return F.when(c.rlike("[^\\x00-\\x7F]"), F.regexp_replace(units, "(.{4})", "\\\\u$1")).otherwise(c)
+
+    places = F.sequence(F.lit(1), F.length(text))
+    every = F.transform(places, lambda i: escaped(F.substr(text, i, F.lit(1))))
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.array_join(every, "")).otherwise(text)
+
+
+def plain_floats(json: Column) -> Column:
+    """Small floats of an object as ``0.0001`` and ``2.5e-05`` where Java writes ``1.0E-4`` and ``2.5E-5``.
+
+    A number is told from text by the unescaped quote and colon before it.  Floats from 10 million on keep Java's form.
+    """
+    key = r'(?<=(?<!\\)":)(-?)'
+    for pattern, text in ((r"(\d)\.0E-4\b", "0.000$2"), (r"(\d)\.(\d+)E-4\b", "0.000$2$3"), (r"(\d)\.0E-(\d)\b", "$2e-0$3"),
+                          (r"(\d\.\d+)E-(\d)\b", "$2e-0$3"), (r"(\d)\.0E-(\d\d)", "$2e-$3"), (r"(\d\.\d+)E-(\d\d)", "$2e-$3")):
+        json = F.regexp_replace(json, key + pattern, "$1" + text)
+    return json
+
+
 def canonical_json(tree: Tree) -> Column:
-    """JSON object text with sorted keys; null entries and empty nested objects are left out.
+    """JSON object text with sorted keys, in ASCII; null entries and empty nested objects are left out.
 
     Floating columns must be rounded (``canonical_float``) and array or map
     columns wrapped in ``not_empty`` by the caller.
     """
-    return F.to_json(_canonical_struct(tree))
+    return ascii_json(plain_floats(F.to_json(_canonical_struct(tree))))
 
 
 def canonical_float(value: Column) -> Column:

@@ -1,23 +1,26 @@
 """Deterministic resampling: replicate weights are a pure function of (seed, replicate, cluster).
 
-No random state is kept, so lost tasks recompute the same replicates and any
-engine with 64-bit integer arithmetic can repeat them.
+No random state is kept, so lost tasks recompute the same replicates.  Indexed
+(multinomial) draws use integer arithmetic any engine can repeat and serve up to
+2^31 clusters per group; Poisson weights hash the cluster together with the
+replicate in 64 bits and have no such limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate, takewhile
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle, spread, steer_join
+from ..session import settle, spread
 from .frames import join_null_safe
 
 MODULUS = 2147483647  # prime, so x -> x^5 permutes the residues
-# Cumulative Poisson(1) probabilities for 0..9 (fixed values).
-POISSON_CDF = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975,
-               0.99999887, 0.99999989)
+# Cumulative Poisson(1) probabilities, as far as the 53 bits of a draw can tell them from 1.
+POISSON_CDF = tuple(takewhile(lambda p: p < 1 - 2.0**-53, accumulate(exp(-1) / factorial(k) for k in range(30))))
 
 
 def _fifth_power(x: Column) -> Column:
@@ -26,8 +29,8 @@ def _fifth_power(x: Column) -> Column:
 
 
 def cluster_number(cluster: Column) -> Column:
-    """28-bit number of a cluster id, independent of the data around it."""
-    return F.conv(F.substring(F.md5(cluster.cast("string")), 1, 7), 16, 10).cast("bigint")
+    """60-bit number of a cluster id, independent of the data around it."""
+    return F.conv(F.substring(F.md5(cluster.cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
 def _add_draw(df: DataFrame, number: str, seed: int, out: str) -> DataFrame:
@@ -50,7 +53,7 @@ def dense_index(df: DataFrame, groups: Sequence[str], number: str, tie: str) ->
     are scanned per group.
     """
     keys = [*groups, "__rng"]
-    df = df.withColumn("__rng", F.shiftright(F.col(number), 18))
+    df = df.withColumn("__rng", F.shiftright(F.col(number), 50))
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
     starts = counts.select(
@@ -68,7 +71,7 @@ def dense_index(df: DataFrame, groups: Sequence[str], number: str, tie: str) ->
 def _poisson_weight(u: str) -> Column:
     weight = F.lit(len(POISSON_CDF))
     for k in range(len(POISSON_CDF) - 1, -1, -1):
-        weight = F.when(F.col(u) < int(POISSON_CDF[k] * MODULUS), k).otherwise(weight)
+        weight = F.when(F.col(u) < POISSON_CDF[k], k).otherwise(weight)
     return weight
 
 
@@ -86,7 +89,8 @@ def _slots(placed: DataFrame, groups: Sequence[str], n_resamples: int, seed: int
 
 def _poisson(base: DataFrame, n_resamples: int, seed: int, cluster: str) -> DataFrame:
     few = spread(base, base.count() * n_resamples, cluster)
-    return _add_draw(_explode_replicates(few, n_resamples), "__num", seed, "__u").withColumn(
+    mixed = F.shiftrightunsigned(F.xxhash64("__num", "replicate", F.lit(seed)), 11)
+    return _explode_replicates(few, n_resamples).withColumn("__u", mixed.cast("double") * 2.0**-53).withColumn(
         "weight", _poisson_weight("__u")
     )
 
@@ -110,7 +114,7 @@ def bootstrap_weights(clusters: DataFrame, groups: Sequence[str], cluster: str,
     picks = _slots(placed, groups, n_resamples, seed, n_rows).groupBy(*groups, "replicate", "idx").agg(
         F.count(F.lit(1)).alias("weight")
     )
-    names = steer_join(placed.select(*groups, "idx", cluster), n_rows)
+    names = placed.select(*groups, "idx", cluster)
     return join_null_safe(picks, names, [*groups, "idx"], filled=["idx"]).drop("idx")
 
 
@@ -131,7 +135,7 @@ def replicate_means(values: DataFrame, groups: Sequence[str], cluster: str, valu
     placed = settle(dense_index(base, groups, "__num", cluster), "cluster-index")
     n_rows = placed.count()
     slots = _slots(placed, groups, n_resamples, seed, n_rows)
-    values_of = steer_join(placed.select(*groups, "idx", value), n_rows)
+    values_of = placed.select(*groups, "idx", value)
     picked = join_null_safe(slots, values_of, [*groups, "idx"], filled=["idx"])
     return picked.groupBy(*groups, "replicate").agg(F.avg(value).alias("estimate"))
 

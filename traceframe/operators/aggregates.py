@@ -207,7 +207,8 @@ def prefix_state_counts(trajectories: DataFrame, by: Sequence[str]) -> DataFrame
 def histogram(df: DataFrame, groups: Sequence[str], value: str, bins: int = 20) -> DataFrame:
     """Equal-width bins over [min, max], the last one closed, empty bins included.
 
-    A constant column gets the range [value - 0.5, value + 0.5].
+    A value belongs to the bin whose computed edges enclose it; the division
+    that finds the bin can be off by one at an edge and is corrected there.  A constant column gets the range [value - 0.5, value + 0.5].
     """
     v = df.select(*groups, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     bounds = v.groupBy(*groups).agg(F.min("__v").alias("__min"), F.max("__v").alias("__max"))
@@ -220,7 +221,10 @@ def histogram(df: DataFrame, groups: Sequence[str], value: str, bins: int = 20)
     placed = _join(v, bounds, groups) if groups else v.join(bounds, F.lit(True))
     width = (F.col("__hi") - F.col("__lo")) / bins
     index = F.least(F.floor((F.col("__v") - F.col("__lo")) / width), F.lit(bins - 1)).cast("int")
-    counts = placed.withColumn("bin", index).groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias("__n"))
+    placed = placed.withColumn("bin", index)
+    below = F.col("__v") < F.col("__lo") + width * F.col("bin")
+    above = (F.col("__v") >= F.col("__lo") + width * (F.col("bin") + 1)) & (F.col("bin") < bins - 1)
+    counts = placed.withColumn("bin", F.col("bin") - below.cast("int") + above.cast("int")).groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias("__n"))
     edges = bounds.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = join_null_safe(edges, counts, [*groups, "bin"], "left", filled=["bin"])
     return out.select(

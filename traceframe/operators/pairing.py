@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import count_of
+from ..functions.frames import count_of, join_null_safe
 from .draws import ORDER, PAIR_KEY, with_digest
 
 TRIAL_KEY = ("presentation_id", "task_id", "condition_id", "mode", "seed", "repeat")
@@ -127,11 +127,16 @@ def select_checkpoints(probes: DataFrame) -> DataFrame:
 def jointly_eligible(probes: DataFrame, keep: Sequence[str] = ("family",), arm: str = "arm",
                      arms: tuple[str, str] = ("A", "B"), order: Sequence[str] = ("checkpoint",),
                      only_joint: bool = True) -> DataFrame:
-    """One row per (checkpoint, task, seed) with both arms' outcomes; the last record of an arm counts."""
+    """One row per (checkpoint, task, seed) with both arms' outcomes; the last record of an arm counts.
+
+    ``order`` tells which record is the last; a ``position`` column (place in the
+    evidence) decides among records that agree in it.
+    """
+    order = [*order, *(["position"] if "position" in probes.columns else [])]
     picks = []
     for tag, value in zip("ab", arms):
         picks += [
-            F.max(side(arm, value, F.struct(*order, "outcome", "native_closed"))).alias(f"__{tag}"),
+            F.max_by(F.struct("outcome", "native_closed"), side(arm, value, F.struct(*order))).alias(f"__{tag}"),
             F.max(F.col(arm) == value).alias(f"has_{tag}"),
         ]
     grouped = probes.groupBy("checkpoint_label", "checkpoint_index", "task_id", "seed").agg(
@@ -161,11 +166,15 @@ def join_gold(probes: DataFrame, tasks: DataFrame, key: str, answer: str) -> Dat
 
 
 def join_natural(probes: DataFrame, records: DataFrame, status: Column, task: str = "task_id",
-                 order: Sequence[str] = ("repeat", "trial_id")) -> DataFrame:
-    """Probes with the status of their task's first greedy record; ``censored`` when there is none."""
-    first = records.where(F.col("mode") == "greedy").withColumn("__st", status).groupBy(task).agg(
-        F.min(F.struct(*order, "__st"))["__st"].alias("natural_final_status")
+                 order: Sequence[str] = ("repeat", "trial_id"), run: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Probes with the status of their task's first greedy record in their own run; ``censored`` when there is none.
+
+    ``run`` names the columns that tell the runs (or arms) of a table apart.
+    """
+    keys = [*run, task]
+    first = records.where(F.col("mode") == "greedy").withColumn("__st", status).groupBy(*keys).agg(
+        F.min_by("__st", F.struct(*order)).alias("natural_final_status")
     )
-    return probes.join(first, task, "left").withColumn(
+    return join_null_safe(probes, first, keys, "left").withColumn(
         "natural_final_status", F.coalesce("natural_final_status", F.lit("censored"))
     )

@@ -112,20 +112,22 @@ def max_run(df: DataFrame, trace: str, tokens: str = "tokens") -> DataFrame:
     return longest_run_span(df, trace, tokens).select(trace, F.col("run_length").alias("max_token_run"))
 
 
-def top_motif(df: DataFrame, trace: str, tokens: str = "tokens", n: int = 4, order: str = "array") -> DataFrame:
+def top_motif(df: DataFrame, trace: str, tokens: str = "tokens", n: int = 4) -> DataFrame:
     """Most frequent n-gram with its count and span; the largest gram wins ties.
 
     Tied grams compare element by element, as the token arrays themselves do.
     """
-    counted = with_counts(df.select(trace, tokens), A.grams(F.col(tokens), n), "__counts")
+    counted = df.select(trace, tokens, A.grams(F.col(tokens), n).alias("__grams"))
+    counted = with_counts(counted, F.col("__grams"), "__counts")
     top = F.array_max(F.transform("__counts", lambda c: c["len"]))
     counted = counted.withColumn("__top", top)
     tied = F.transform(
-        F.filter("__counts", lambda c: c["len"] == F.col("__top")), lambda c: F.split(c["item"], " ")
+        F.filter("__counts", lambda c: c["len"] == F.col("__top")),
+        lambda c: F.slice(F.col(tokens), F.array_position("__grams", c["item"]).cast("int"), F.lit(n)),
     )
     return counted.select(
         trace,
-        F.coalesce(F.array_join(F.array_max(tied), " "), F.lit("")).alias("motif"),
+        F.coalesce(F.array_join(F.array_max(tied).cast("array<string>"), " "), F.lit("")).alias("motif"),
         F.coalesce(F.col("__top"), F.lit(0)).alias("motif_count"),
         (F.coalesce(F.col("__top"), F.lit(0)) * n).alias("motif_span_tokens"),
     )

@@ -97,12 +97,18 @@ def trajectory(probes: DataFrame, draw: Sequence[str], order: Sequence[str], len
     )
 
 
-def forced_trajectory(selected: DataFrame, draw: Sequence[str], n_checkpoints: int | Column) -> DataFrame:
-    """State from explicit probe outcomes at the declared checkpoints.
+def forced_trajectory(selected: DataFrame, draw: Sequence[str], declared: Sequence[str]) -> DataFrame:
+    """State from explicit probe outcomes at the declared checkpoint labels.
 
     Only scorable outcomes carry a verdict; the other outcomes are counted as
-    indeterminate and absent checkpoints as missing.
+    indeterminate and absent checkpoints as missing.  Labels that are not
+    declared do not count; of several probes at one checkpoint the last by
+    ``position`` counts (any one of them without such a column).
     """
+    selected = selected.where(F.col("checkpoint_label").isin(list(declared)))
+    last = F.col("position") if "position" in selected.columns else F.lit(0)
+    selected = selected.groupBy(*draw, "checkpoint_label").agg(
+        *[F.max_by(c, last).alias(c) for c in ("outcome", "checkpoint_index")])
     scorable = selected.where(F.col("outcome").isin(*SCORABLE_OUTCOMES))
     order = ["checkpoint_index"]
     runs = observed_runs(scorable, draw, order, F.col("outcome") == "correct", F.col("checkpoint_label"))
@@ -110,7 +116,7 @@ def forced_trajectory(selected: DataFrame, draw: Sequence[str], n_checkpoints: i
         F.count(F.lit(1)).alias("__seen"), *[count_of(F.col("outcome") == o).alias(f"n_{o}") for o in FORCED_OUTCOMES]
     )
     out = join_null_safe(counts, runs.drop("n_correct"), draw, "left")
-    total = F.lit(n_checkpoints) if isinstance(n_checkpoints, int) else n_checkpoints
+    total = F.lit(len(set(declared)))
     observed = F.coalesce("n_observed", F.lit(0))
     return out.select(
         *draw,
@@ -247,6 +253,11 @@ def flag_transition(a: Column, b: Column) -> Column:
     )
 
 
+def arm_flag(side: Column, name: str) -> Column:
+    """A flag of an arm's draw: unset counts as false, and only an absent or ambiguous draw is unknown."""
+    return F.when(side.isNotNull(), F.coalesce(side[name], F.lit(False)))
+
+
 # Columns a paired arm struct must carry for the functions below.
 PAIR_COLUMNS = ("family", "difficulty", "think_end_reached", "correct", "scorable", "status", "reasoning_tokens",
                 "repeated_ngram_fraction_4")
@@ -264,9 +275,9 @@ def paired_outcomes(pairs: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     label = {
-        "closure": flag_transition(a["think_end_reached"], b["think_end_reached"]),
-        "success_at_budget": flag_transition(a["correct"], b["correct"]),
-        "scorable": flag_transition(a["scorable"], b["scorable"]),
+        "closure": flag_transition(arm_flag(a, "think_end_reached"), arm_flag(b, "think_end_reached")),
+        "success_at_budget": flag_transition(arm_flag(a, "correct"), arm_flag(b, "correct")),
+        "scorable": flag_transition(arm_flag(a, "scorable"), arm_flag(b, "scorable")),
         "natural_status": F.concat(F.coalesce(a["status"], F.lit("unavailable")), F.lit(" -> "),
                                    F.coalesce(b["status"], F.lit("unavailable"))),
     }

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import join_null_safe
-from ..session import settle, spread, steer_join
+from ..session import settle, spread
 from ..functions.resampling import bootstrap_weights, interval
 
 TIME_BLOCK = 4096.0
@@ -201,7 +201,7 @@ def rmst_delta_bootstrap(df: DataFrame, tau: float, cluster: str = "task_id", ar
     n_cells = cells.count()
     weights = spread(weights, n_cells * n_resamples, *by, "replicate")
     weighted = (
-        join_null_safe(weights, steer_join(cells, n_cells), [*by, "__cl"], filled=["__cl"])
+        join_null_safe(weights, cells, [*by, "__cl"], filled=["__cl"])
         .groupBy(*by, "replicate", "__arm", "time")
         .agg(F.sum(F.col("__n") * F.col("weight")).alias("__n"), F.sum(F.col("__d") * F.col("weight")).alias("__d"))
     )

@@ -74,21 +74,7 @@ def widen(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-BROADCAST_ROWS = 1_000_000
-
-
-def steer_join(df: DataFrame, n_rows: int | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when it is counted to be small, else ask for a sort-merge join.
-
-    For joins against exploded rows: the optimizer does not see how many rows an
-    explode makes and could otherwise broadcast the exploded side.
-    """
-    if n_rows is None:
-        n_rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n_rows <= max_rows else df.hint("merge")
-
-
 def spread(df: DataFrame, work: int, *keys: str, per_task: int = 500_000) -> DataFrame:
     """Hash-partition a small table whose rows stand for ``work`` units of computation."""
-    tasks = min(max(1, work // per_task), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(1, work // per_task)
     return df.repartition(tasks, *keys) if tasks > 1 else df

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.status import exhausted_after_close, record_status
-from ..operators.transitions import flag_transition
+from ..operators.transitions import arm_flag, flag_transition
 from .schemas import CORRUPT, PROBES, RUNS, TASKS, TRACES
 
 
@@ -25,7 +25,9 @@ def scan_json(spark: SparkSession, paths: str | Sequence[str], schema: str, mult
 
 
 def scan_traces(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return scan_json(spark, paths, TRACES)
+    """Trace records; a line that names no run belongs to the run whose folder its file lies in."""
+    folder = F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1)
+    return scan_json(spark, paths, TRACES).withColumn("run_id", F.coalesce("run_id", folder))
 
 
 def scan_tasks(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -156,6 +158,6 @@ def export_pairs(pairs: DataFrame, study: Column) -> DataFrame:
         F.coalesce(a["difficulty"], b["difficulty"]).alias("task_difficulty"),
         a["trial_id"].alias("a_trial_id"), b["trial_id"].alias("b_trial_id"),
         a["status"].alias("a_outcome"), b["status"].alias("b_outcome"),
-        flag_transition(a["think_end_reached"], b["think_end_reached"]).alias("closure_transition"),
-        flag_transition(a["correct"], b["correct"]).alias("success_at_budget_transition"),
+        flag_transition(arm_flag(a, "think_end_reached"), arm_flag(b, "think_end_reached")).alias("closure_transition"),
+        flag_transition(arm_flag(a, "correct"), arm_flag(b, "correct")).alias("success_at_budget_transition"),
     )

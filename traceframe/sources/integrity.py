@@ -62,12 +62,14 @@ IDENTITY_FIELDS = ("deployment_id", "source_artifact_id", "weight_variant_id")
 DUPLICATE_ID = "duplicate trial_id"
 DUPLICATE_KEY = "duplicate trial (task, mode, seed, repeat)"
 UNDECLARED = "condition not declared"
+NO_CONDITIONS = "manifest declares no conditions"
 
 
 def structural_audit(traces: DataFrame, conditions: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, error, item, n): structural faults of scanned trace records.
 
-    ``runs`` declares the identities of a run, ``conditions`` its condition ids.
+    ``runs`` declares the identities of a run, ``conditions`` its condition ids;
+    of a run that declares none, the manifest is reported instead of its records.
     One scan turns every record into the values its checks look at and counts
     them per run; a duplicate counts once per surplus record.  What remains
     after dropping unique ids is small and is checked against the declarations.
@@ -106,7 +108,10 @@ def structural_audit(traces: DataFrame, conditions: DataFrame, runs: DataFrame)
     # an identity the run does not declare cannot be contradicted
     free = counts.join(wanted.where(F.col("item").isNull()).select("run_id", "error"), ["run_id", "error"], "left_anti")
     allowed = declared.unionByName(wanted.where(F.col("item").isNotNull())).distinct()
-    return free.join(allowed, ["run_id", "error", "item"], "left_anti").select("run_id", "error", "item", "n")
+    silent = runs.select("run_id").distinct().join(conditions.select("run_id"), "run_id", "left_anti")
+    free = free.join(silent.withColumn("error", F.lit(UNDECLARED)), ["run_id", "error"], "left_anti")
+    found = free.join(allowed, ["run_id", "error", "item"], "left_anti").select("run_id", "error", "item", "n")
+    return found.unionByName(silent.select("run_id", F.lit(NO_CONDITIONS).alias("error"), F.lit("").alias("item"), F.lit(1).cast("bigint").alias("n")))
 
 
 def secret_scan(df: DataFrame, key: str, columns: Sequence[str], pattern: str = SECRET_PATTERN) -> DataFrame:
