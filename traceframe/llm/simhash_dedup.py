@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ MAX_BITS = 3
 BUCKET = 20_000
 #: Neighbours in a bucket that are compared by shifting; longer runs are searched breadth first.
 SHIFTS = 48
+#: Neighbours in a longer run that become candidate pairs where pairs are verified one by one.
+WINDOW = 8
 
 # fixed values: the binary Golay code [23, 12, 7] and its generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1
 LENGTH, MESSAGE, GENERATOR = 23, 12, 0b110001110101
@@ -160,15 +163,19 @@ def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))  # of signed numbers it would count the absolute value's
 
 
-def short_run_links(keys: np.ndarray, prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside short runs of equal keys."""
+def shifted_pairs(keys: np.ndarray, prints: np.ndarray, bits: int, shifts: int) -> list[tuple[int, int]]:
+    """Pairs of equal keys, less than ``shifts`` rows apart, whose prints differ in at most ``bits`` bits."""
     pairs = []
-    for d in range(1, SHIFTS):
+    for d in range(1, shifts):
         same = np.flatnonzero(keys[d:] == keys[:-d])
         if not len(same):
             break
         same = same[differing_bits(prints[same], prints[same + d]) <= bits]
         pairs += zip(prints[same].tolist(), prints[same + d].tolist())
+    return pairs
+
+
+def spanning_forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     parent, out = {}, []
     for a, b in pairs:
         if (x := _root(parent, a)) != (y := _root(parent, b)):
@@ -192,8 +199,12 @@ def long_run_links(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def bucket_links(keyed: DataFrame, limit: int | None, bits: int) -> DataFrame:
-    """Links ``a, b`` inside the buckets of ``key, print``; buckets above the limit come back as ``key, a``."""
+def bucket_links(keyed: DataFrame, limit: int | None, bits: int, every: int) -> DataFrame:
+    """Links ``a, b`` inside the buckets of ``key, print``; buckets above the limit come back as ``key, a``.
+
+    A spanning forest of each bucket; with ``every``, all links of short runs and in long ones also those less than
+    ``every`` rows apart.
+    """
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(links: list, key=None) -> pa.RecordBatch:
             a, b = [x[0] for x in links], [x[1] for x in links]
@@ -207,7 +218,7 @@ def bucket_links(keyed: DataFrame, limit: int | None, bits: int) -> DataFrame:
             if dealt:
                 yield told([(x, None) for x in run.tolist()], held_key)
             else:
-                yield told(long_run_links(run, bits))
+                yield told(long_run_links(run, bits) + shifted_pairs(np.zeros(len(run)), run, bits, every))
             held, dealt = [], 0
 
         for batch in batches:
@@ -220,7 +231,8 @@ def bucket_links(keyed: DataFrame, limit: int | None, bits: int) -> DataFrame:
             short = np.ones(len(keys), bool)
             for i in {0, len(starts) - 1} | set(np.flatnonzero(ends - starts >= SHIFTS).tolist()):
                 short[starts[i]:ends[i]] = False
-            yield told(short_run_links(keys[short], prints[short], bits))
+            pairs = shifted_pairs(keys[short], prints[short], bits, SHIFTS)
+            yield told(pairs if every else spanning_forest(pairs))
             for i in sorted({0, len(starts) - 1} | set(np.flatnonzero(ends - starts >= SHIFTS).tolist())):
                 if held and held_key != keys[starts[i]]:
                     yield from finish()
@@ -236,9 +248,9 @@ def bucket_links(keyed: DataFrame, limit: int | None, bits: int) -> DataFrame:
     return ordered.mapInArrow(search, "key bigint, a bigint, b bigint")
 
 
-def print_links(prints: DataFrame, keys=bucket_keys, bits: int = MAX_BITS) -> DataFrame:
+def print_links(prints: DataFrame, keys=bucket_keys, bits: int = MAX_BITS, every: int = 0) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (``print``) that share a key and differ in at most ``bits`` bits; enough
-    of them to connect all that any such pair connects."""
+    of them to connect all that any such pair connects, or more (``bucket_links``)."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = GolayDecoder()
         for batch in batches:
@@ -249,20 +261,20 @@ def print_links(prints: DataFrame, keys=bucket_keys, bits: int = MAX_BITS) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[row])], names=["key", "print"])
 
     keyed = prints.select("print").mapInArrow(spread, "key bigint, print bigint")
-    found = settle(bucket_links(keyed, BUCKET, bits), "links")
+    found = settle(bucket_links(keyed, BUCKET, bits, every), "links")
     large = found.where("b IS NULL").select("key", F.col("a").alias("print"))
     blocks = large.groupBy("key").agg(F.ceil(2 * F.count("*") / BUCKET).alias("blocks"))
     large = large.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("print"), "blocks"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     # two blocks meet in one bucket of their own
     large = large.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "print")
-    return found.where("b IS NOT NULL").select("a", "b").unionByName(bucket_links(large, None, bits).select("a", "b")).distinct()
+    return found.where("b IS NOT NULL").select("a", "b").unionByName(bucket_links(large, None, bits, every).select("a", "b")).distinct()
 
 
-def print_components(rows: DataFrame, keys=bucket_keys, bits: int = MAX_BITS) -> DataFrame:
+def print_components(rows: DataFrame) -> DataFrame:
     """``print, component_id`` for the fingerprints of ``rows`` (``trial_id, print``)."""
     classes = settle(rows.groupBy("print").agg(F.min("trial_id").alias("first")), "classes")
-    components = connected_components(print_links(classes, keys, bits))
+    components = connected_components(print_links(classes))
     named = settle(classes.join(components, F.col("print") == F.col("node"), "left").select(
         "print", "first", F.coalesce("component", "print").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -308,55 +320,54 @@ def set_fingerprints(traces: DataFrame) -> DataFrame:
     return traces.select("trial_id", whole_text().alias("text")).mapInArrow(prints, f"trial_id {key}, print0 bigint, print1 bigint")
 
 
-def candidate_groups(rows: DataFrame, similarity: float) -> DataFrame:
-    """``id, component`` of the traces that meet others by either fingerprint."""
-    for k in (0, 1):
-        of = print_components(rows.select("trial_id", F.col(f"print{k}").alias("print")), pair_keys, similar_bits(similarity))
-        rows = rows.join(of.select(F.col("print").alias(f"print{k}"), F.xxhash64(F.lit(k), "component_id").alias(f"group{k}")), f"print{k}")
-    rows = settle(rows.select("trial_id", "group0", "group1"), "groups")
+def candidate_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs of ``trial_id`` that either fingerprint makes candidates.
+
+    A class of equal prints gives the pairs of its first member with the others; classes meet through their first members.
+    """
+    found = []
     for k in (0, 1):
-        rows = rows.join(rows.groupBy(f"group{k}").agg(F.count("*").alias(f"n{k}")), f"group{k}")
-    crowded = settle(rows.where("n0 > 1 OR n1 > 1").select("trial_id", "group0", "group1"), "crowded")
-    components = connected_components(crowded.select(F.col("group0").alias("a"), F.col("group1").alias("b")))
-    return crowded.join(components, F.col("group0") == F.col("node")).select(F.col("trial_id").alias("id"), "component")
+        prints = rows.select("trial_id", F.col(f"print{k}").alias("print"))
+        classes = settle(prints.groupBy("print").agg(F.min("trial_id").alias("first")), "classes")
+        found.append(prints.join(classes, "print").where("trial_id <> first").select(F.col("first").alias("a"), F.col("trial_id").alias("b")))
+        links = settle(print_links(classes, pair_keys, similar_bits(similarity), every=WINDOW), "pairs")
+        for side in ("a", "b"):
+            of = classes.select(F.col("print").alias(side), F.col("first").alias(f"id_{side}"))
+            links = links.join(of, side)
+        found.append(links.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")))
+    return functools.reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_copies(traces: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """For every trace the one that stays for it: itself, or one whose word shingles are similar.
+    """For every trace the one that stays for it: the smallest ``trial_id`` of its group, itself included.
 
-    Candidates come from the same fuzzy hashing, on two fingerprints of the set of word pairs, which a few edits change less
-    than those of longer shingles: two of the three segments within 2 bits, all within the bits that ``similarity`` makes on
-    average.  Candidates connected by such links are settled by rounds: the smallest ``trial_id`` of a component stays;
-    members whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more with it go; the others
-    make the next round.  So each trace that goes is that similar to one that stays, and no two that stay in a component
-    are.  A round compares every member with one trace, whatever the size of the component.
+    Traces are linked when their sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more; groups are
+    what such links connect.  Candidates come from the same fuzzy hashing, on two fingerprints of the set of word pairs,
+    which a few edits change less than those of longer shingles: two of the three segments within 2 bits, all within the
+    bits that ``similarity`` makes on average.  Every candidate pair is verified on the two texts, so only linked traces
+    meet.  A bucket of up to ``SHIFTS`` fingerprints gives all its pairs; a larger one the pairs of a spanning forest and of
+    neighbours in the order of fingerprints, so very large groups give pairs in proportion to their members.
 
     Returns ``trial_id, stays_for`` per distinct ``trial_id`` (null ids left out); texts without words are alike.  Null text
     is empty.  An empty table gives an empty result.
     """
     named = traces.where("trial_id IS NOT NULL").dropDuplicates(["trial_id"])
-    members = settle(candidate_groups(settle(set_fingerprints(named), "prints"), similarity), "candidates")
+    pairs = settle(candidate_pairs(settle(set_fingerprints(named), "prints"), similarity), "candidates")
+    members = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text, shingle)).view(np.int64) for text in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["id", "component", "shingles"])
+            sets = [np.unique(shingle_hashes(text, shingle)).view(np.int64) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     key = traces.schema["trial_id"].dataType.simpleString()
-    with_text = named.select("trial_id", whole_text().alias("text")).join(members, F.col("trial_id") == F.col("id")).select("id", "component", "text")
-    rest = settle(with_text.mapInArrow(shingled, f"id {key}, component bigint, shingles array<bigint>"), "members")
-    decided = None
-    while True:
-        leaders = rest.groupBy("component").agg(F.min("id").alias("leader"))
-        leaders = rest.join(leaders.withColumnRenamed("component", "of"), (F.col("component") == F.col("of")) & (F.col("id") == F.col("leader")))
-        leaders = leaders.select(F.col("component").alias("of"), "leader", F.col("shingles").alias("led"))
-        shared = F.size(F.array_intersect("shingles", "led"))
-        union = F.size("shingles") + F.size("led") - shared
-        round_ = settle(rest.join(leaders, F.col("component") == F.col("of")).select(
-            "id", "component", "shingles", "leader", ((union == 0) | (shared >= similarity * union)).alias("near")), "round")
-        near = round_.where("near").select("id", "leader")
-        decided = near if decided is None else decided.unionByName(near)
-        rest = round_.where("NOT near").select("id", "component", "shingles")
-        if not rest.limit(1).count():
-            break
-    return named.select("trial_id").join(decided, F.col("trial_id") == F.col("id"), "left").select("trial_id", F.coalesce("leader", "trial_id").alias("stays_for"))
+    with_text = named.select("trial_id", whole_text().alias("text")).join(members, F.col("trial_id") == F.col("id")).select("id", "text")
+    sets = settle(with_text.mapInArrow(shingled, f"id {key}, shingles array<bigint>"), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("first")), "a").join(
+        sets.select(F.col("id").alias("b"), F.col("shingles").alias("second")), "b")
+    shared = F.size(F.array_intersect("first", "second"))
+    union = F.size("first") + F.size("second") - shared
+    links = both.where((union == 0) | (shared >= similarity * union)).select("a", "b")
+    groups = connected_components(links)
+    return named.select("trial_id").join(groups, F.col("trial_id") == F.col("node"), "left").select(
+        "trial_id", F.coalesce("component", "trial_id").alias("stays_for"))
