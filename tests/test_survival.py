@@ -63,6 +63,13 @@ def test_identical_arms_have_no_delta(spark, scheme):
     assert not out["excludes_zero"]
 
 
+def test_no_shared_cluster_gives_a_row_without_estimates(spark):
+    df = spark.createDataFrame([("g", "A", "t1", 1.0, True), ("g", "B", "t2", 2.0, True)], "g string, arm string, task_id string, time double, event boolean")
+    for by in ([], ["g"]):
+        out = one(S.rmst_delta_bootstrap(df, 3.0, n_resamples=5, by=by))
+        assert out["n_clusters"] == 0 and out["point"] is None and out["lo"] is None
+
+
 def test_endpoint_times(spark):
     df = spark.createDataFrame([("c", 100, 140, True, True), ("c", 2048, 2048, False, False), ("c", 10, 12, False, True)],
                                "condition_id string, reasoning_tokens bigint, total_tokens bigint, think_end_reached boolean, terminated_by_eos boolean")

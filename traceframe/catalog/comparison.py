@@ -9,7 +9,7 @@ from .shared_sql import resample_means
 R = PANEL_R = 2000
 
 
-def ci_sql(groups, means="", extra=""):
+def ci_sql(groups):
     g = f"{groups}, " if groups else ""
     return f"""ci AS (SELECT {g}quantile_cont(estimate, 0.025) AS lo, quantile_cont(estimate, 0.975) AS hi FROM reps GROUP BY {groups or 'ALL'})"""
 

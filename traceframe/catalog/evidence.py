@@ -198,7 +198,6 @@ def _(t):
   sha256(regexp_replace(text, '{EMAIL}', '<address>', 'g')) AS new_value_sha256 FROM documents WHERE regexp_matches(text, '{EMAIL}')""")
 def _(t):
     docs = t.wide("documents")
-    log = N.redaction_log(docs, "doc_id", ["text", "source"], EMAIL, "<address>")
-    clean = N.redact(docs, ["text", "source"], EMAIL, "<address>", protected=["lang"])
-    return log.join(clean.select("doc_id", F.sha2("text", 256).alias("new_value_sha256")), "doc_id")
+    clean = N.redact_with_log(docs, ["text", "source"], EMAIL, "<address>", protected=["lang"])
+    return clean.select("doc_id", F.inline("changes"), F.sha2("text", 256).alias("new_value_sha256"))
 

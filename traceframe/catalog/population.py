@@ -131,9 +131,6 @@ def _(t):
     return M.unpaired_examples(M.paired_draws(t("records"), ["trial_id"]))
 
 
-GOLD = "concat('gold-', s_nationkey)"
-
-
 @query("join_gold", """SELECT trial_id, task_id, answer_normalized, CAST(s_nationkey AS VARCHAR) AS gold_answer
 FROM records JOIN supplier ON task_id = 'task-' || s_suppkey""")
 def _(t):

@@ -227,12 +227,3 @@ def across_seed_answers(records: DataFrame, by: Sequence[str] = (), order: Seque
         ratio(seen, F.col("n_seeds")).alias("answer_observation_rate"),
         F.when(seen > 1, F.col("__std")).alias("accuracy_std_across_seeds"),
     )
-
-
-def draw_outcome_columns() -> list[str]:
-    """Representative columns the paired analyses need."""
-    return ["trial_id", "family", "difficulty", "finish_reason", "capped", "terminated_by_eos", "think_end_reached",
-            "missing_answer", "error_type", "answer_normalized", "correct", "reasoning_tokens", "total_tokens",
-            "repeated_ngram_fraction_4"]
-
-

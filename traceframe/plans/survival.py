@@ -164,6 +164,8 @@ def rmst_delta_bootstrap(df: DataFrame, tau: float, cluster: str = "task_id", ar
                          by: Sequence[str] = (), scheme: str = "multinomial") -> DataFrame:
     """Cluster bootstrap of RMST(first arm) - RMST(second arm) over shared clusters.
 
+    A group without a shared cluster has ``n_clusters`` 0 and no estimates.
+
     The same replicate weights apply to both arms.  Weights multiply the life
     table of a cluster, not its raw observations.
     """
@@ -178,8 +180,10 @@ def rmst_delta_bootstrap(df: DataFrame, tau: float, cluster: str = "task_id", ar
         .where("__a > 0 AND __b > 0")
         .drop("__a", "__b")
     )
-    cells = join_null_safe(cells, shared, [*by, "__cl"])
     n_clusters = shared.groupBy(*by).agg(F.count(F.lit(1)).alias("n_clusters"))
+    if by:
+        n_clusters = join_null_safe(cells.select(*by).distinct(), n_clusters, by, "left").fillna(0, ["n_clusters"])
+    cells = join_null_safe(cells, shared, [*by, "__cl"])
 
     def delta(life: DataFrame, keys: list[str]) -> DataFrame:
         area = curve_area(product_limit(life, [*keys, "__arm"]), [*keys, "__arm"], tau)
@@ -208,5 +212,6 @@ def rmst_delta_bootstrap(df: DataFrame, tau: float, cluster: str = "task_id", ar
     replicates = delta(weighted, [*by, "replicate"])
     ci = interval(replicates, by, "delta", alpha, mean_name="mean", used_name="n_resamples_used")
     if not by:
-        return n_clusters.join(point, F.lit(True)).join(ci, F.lit(True)).withColumn("tau", F.lit(float(tau)))
-    return join_null_safe(join_null_safe(n_clusters, point, by), ci, by).withColumn("tau", F.lit(float(tau)))
+        return n_clusters.join(point, F.lit(True), "left").join(ci, F.lit(True), "left").withColumn("tau", F.lit(float(tau)))
+    joined = join_null_safe(join_null_safe(n_clusters, point, by, "left"), ci, by, "left")
+    return joined.withColumn("tau", F.lit(float(tau)))

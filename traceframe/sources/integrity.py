@@ -141,6 +141,19 @@ def redact(df: DataFrame, columns: Sequence[str], pattern: str = HOME_PATTERN, r
     ])
 
 
+def redact_with_log(df: DataFrame, columns: Sequence[str], pattern: str = HOME_PATTERN, replacement: str = HOME_REPLACEMENT,
+                    protected: Sequence[str] = ()) -> DataFrame:
+    """Redacted rows with ``changes``, what ``redaction_log`` says of them: one scan, one replacement per column."""
+    clean = df.select("*", *[F.regexp_replace(F.col(c), pattern, replacement).alias(f"__{c}") for c in columns])
+    changes = F.array_compact(F.array(*[
+        F.when(F.col(f"__{c}") != F.col(c), F.struct(
+            F.lit(c).alias("location"), F.sha2(F.col(c), 256).alias("old_value_sha256"), F.lit(replacement).alias("replacement")))
+        for c in columns
+    ]))
+    rest = redact(clean, [], pattern, replacement, protected)  # guards the protected columns
+    return rest.select(*[(F.col(f"__{c}") if c in columns else F.col(c)).alias(c) for c in df.columns], changes.alias("changes"))
+
+
 def redaction_log(df: DataFrame, key: str, columns: Sequence[str], pattern: str = HOME_PATTERN,
                   replacement: str = HOME_REPLACEMENT) -> DataFrame:
     """(key, location, old_value_sha256, replacement) of every text a redaction changes."""
