@@ -119,20 +119,25 @@ def _(t):
     return back.select(*EXPORT, F.lit(len(back.columns)).alias("n_columns"))
 
 
-@query("export_pairs", f"""WITH {OUTCOME} SELECT coalesce(a.difficulty, b.difficulty, 'none') AS study_population, ambiguous_a OR ambiguous_b AS any_ambiguous,
-  {flag('cl')} AS closure_transition, {flag('co')} AS success_at_budget_transition, coalesce(a.st, '?') || coalesce(b.st, '?') AS outcomes, count(*) AS n
-FROM (SELECT pairs.ambiguous_a, pairs.ambiguous_b, CASE WHEN ambiguous_a THEN NULL ELSE x END AS a, CASE WHEN ambiguous_b THEN NULL ELSE y END AS b
-  FROM pairs JOIN os x ON x.trial_id = rep_a JOIN os y ON y.trial_id = rep_b) q GROUP BY ALL""")
+EXPORTED_PAIR = ["study_population", "structural_task_id", "presentation_id", "decoding_condition_id", "sample_seed", "task_family", "a_trial_id",
+                 "b_trial_id", "a_outcome", "b_outcome", "a_raw_evidence_reference", "b_raw_evidence_reference", "closure_transition",
+                 "success_at_budget_transition"]
+
+
+@query("export_pairs", f"""WITH {OUTCOME} SELECT coalesce(a.difficulty, b.difficulty, 'none') AS study_population, task_id AS structural_task_id, presentation_id,
+  condition_id AS decoding_condition_id, seed AS sample_seed, coalesce(a.family, b.family) AS task_family, a.trial_id AS a_trial_id, b.trial_id AS b_trial_id,
+  a.st AS a_outcome, b.st AS b_outcome, a.difficulty || '/run-A/' || a.trial_id AS a_raw_evidence_reference,
+  b.difficulty || '/run-B/' || b.trial_id AS b_raw_evidence_reference, {flag('cl')} AS closure_transition, {flag('co')} AS success_at_budget_transition
+FROM (SELECT pairs.task_id, pairs.presentation_id, pairs.condition_id, pairs.seed, CASE WHEN ambiguous_a THEN NULL ELSE x END AS a,
+  CASE WHEN ambiguous_b THEN NULL ELSE y END AS b FROM pairs JOIN os x ON x.trial_id = rep_a JOIN os y ON y.trial_id = rep_b) q""")
 def _(t):
-    pairs = M.paired_draws(T.with_pair_columns(t("records")), [*T.PAIR_COLUMNS, "trial_id"])
+    records = T.with_pair_columns(t("records"))
+    records = records.withColumn("evidence_reference", F.concat("difficulty", F.lit("/run-"), "arm", F.lit("/"), "trial_id"))
+    pairs = M.paired_draws(records, [*T.PAIR_COLUMNS, "trial_id", "evidence_reference"])
     study = F.coalesce(F.col("a.difficulty"), F.col("b.difficulty"), F.lit("none"))
     path = scratch_path(t.spark, "pairs")
     E.write_export(E.export_pairs(pairs, study), path, "study_population")
-    back = t.spark.read.parquet(path)
-    lone = F.col("a_trial_id").isNull() | F.col("b_trial_id").isNull()
-    outcomes = F.concat(F.coalesce("a_outcome", F.lit("?")), F.coalesce("b_outcome", F.lit("?")))
-    return back.groupBy("study_population", lone.alias("any_ambiguous"), "closure_transition", "success_at_budget_transition",
-                        outcomes.alias("outcomes")).agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.read.parquet(path).select(*EXPORTED_PAIR)
 
 
 @query("file_integrity", """SELECT run_id, name, expected, actual, CASE WHEN expected IS NULL THEN 'undeclared' WHEN actual IS NULL THEN 'missing'

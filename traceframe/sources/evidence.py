@@ -147,8 +147,8 @@ def export_pairs(pairs: DataFrame, study: Column) -> DataFrame:
     """One row per matched draw with both trials, outcomes and transitions.
 
     ``pairs`` is the one-row-per-draw table of ``paired_draws``, which makes a
-    pair unique by construction.  Its arm structs carry trial_id, status and the
-    outcome flags.
+    pair unique by construction.  Its arm structs carry trial_id, status, the
+    outcome flags and evidence_reference, where the record lies in the evidence.
     """
     a, b = F.col("a"), F.col("b")
     return pairs.select(
@@ -158,6 +158,7 @@ def export_pairs(pairs: DataFrame, study: Column) -> DataFrame:
         F.coalesce(a["difficulty"], b["difficulty"]).alias("task_difficulty"),
         a["trial_id"].alias("a_trial_id"), b["trial_id"].alias("b_trial_id"),
         a["status"].alias("a_outcome"), b["status"].alias("b_outcome"),
+        a["evidence_reference"].alias("a_raw_evidence_reference"), b["evidence_reference"].alias("b_raw_evidence_reference"),
         flag_transition(arm_flag(a, "think_end_reached"), arm_flag(b, "think_end_reached")).alias("closure_transition"),
         flag_transition(arm_flag(a, "correct"), arm_flag(b, "correct")).alias("success_at_budget_transition"),
     )
