@@ -118,3 +118,33 @@ SELECT doc_id, count(*) AS n_lines, count(s.norm) AS n_removed,
        coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (s.norm IS NULL), '') AS text
 FROM normal n LEFT JOIN spread s USING (norm) GROUP BY doc_id
 """
+
+ORACLES["op7_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+g AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p || ' ' || lead(w, 4) OVER p AS gram
+  FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g WHERE gram IS NOT NULL) x WHERE c > 1),
+covered AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n
+  FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM r) x GROUP BY 1),
+lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+norm AS (SELECT *, len(string_split(line, ' ')) AS nw FROM (SELECT DISTINCT coalesce(source, chr(0)) AS source, text, no,
+  trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS line FROM lines) x WHERE line <> ''),
+texts AS (SELECT source, count(DISTINCT text) AS texts FROM norm GROUP BY 1),
+frequent AS (SELECT * FROM (SELECT source, line, count(DISTINCT text) AS spread FROM norm GROUP BY 1, 2) x JOIN texts USING (source)
+  WHERE spread > 5 AND spread > texts * 0.01),
+held AS (SELECT norm.*, spread FROM norm JOIN frequent USING (source, line)),
+mostly AS (SELECT source, text, fw > nw * 0.5 AS mostly FROM (SELECT source, text, sum(nw) AS fw FROM held GROUP BY 1, 2) a
+  JOIN (SELECT source, text, sum(nw) AS nw FROM norm GROUP BY 1, 2) b USING (source, text)),
+boilerplate AS (SELECT source, line FROM held JOIN mostly USING (source, text) GROUP BY source, line, spread
+  HAVING 2 * count(DISTINCT text) FILTER (mostly) <= spread),
+removed AS (SELECT source, text, sum(nw) AS n FROM held JOIN boilerplate USING (source, line) GROUP BY 1, 2),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, length(array_to_string(words, '')) AS word_chars,
+  length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+  CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed.n, 0) AS BIGINT) AS removed_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)
+  LEFT JOIN removed ON removed.source = coalesce(d.source, chr(0)) AND removed.text = d.text)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= 10 AS kept, removed_words FROM m
+"""
