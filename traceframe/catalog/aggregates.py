@@ -121,11 +121,10 @@ def _(t):
 
 
 @query("combine_noise", """WITH s AS (SELECT family, arm, avg(s) AS s FROM (SELECT family, arm, task_id, stddev_samp(wall_ms) AS s FROM records
-  WHERE NOT (arm = 'B' AND family = 'sm') GROUP BY ALL) x GROUP BY 1, 2)
+  GROUP BY ALL) x GROUP BY 1, 2)
 SELECT family, round(greatest(max(s) FILTER (arm = 'A'), max(s) FILTER (arm = 'B')), 6) AS noise_scale FROM s GROUP BY 1""")
 def _(t):
-    kept = t("records").where(~((F.col("arm") == "B") & (F.col("family") == "sm")))
-    per_arm = G.within_cluster_std(kept, ["family", "arm"], ["task_id"], "wall_ms")
+    per_arm = G.within_cluster_std(t("records"), ["family", "arm"], ["task_id"], "wall_ms")
     wide = per_arm.groupBy("family").pivot("arm", ["A", "B"]).agg(F.first("within_cluster_std"))
     return wide.select("family", G.combine_noise(F.col("A"), F.col("B")).alias("noise_scale"))
 

@@ -343,15 +343,15 @@ def digest_sql(item, source, name):
       FROM (SELECT population, {item} AS i FROM {source}) x GROUP BY population, substr(md5(i), 1, 3)) y GROUP BY 1)"""
 
 
-@query("set_digest", f"""SELECT d.*, f.flat FROM {digest_sql('task_id', 'tasks', 'bucketed')} d JOIN (SELECT family AS population,
-   sha256(string_agg(population, chr(10) ORDER BY population)) AS flat FROM (SELECT DISTINCT family, population FROM tasks) z GROUP BY 1) f
-   ON f.population = 'fr'""")
+@query("set_digest", f"""SELECT population AS name, 'bucketed' AS form, bucketed AS digest FROM {digest_sql('task_id', 'tasks', 'bucketed')} d
+UNION ALL SELECT family, 'flat', sha256(string_agg(population, chr(10) ORDER BY population)) FROM (SELECT DISTINCT family, population FROM tasks) z GROUP BY 1""")
 def _(t):
     tasks = t("tasks")
-    bucketed = P.set_digest(tasks, ["population"], F.col("task_id"), name="bucketed")
+    bucketed = P.set_digest(tasks, ["population"], F.col("task_id"), name="digest")
     pools = tasks.select("family", "population").distinct()
-    flat = P.set_digest(pools, ["family"], F.col("population"), hex_digits=0, name="flat").where(F.col("family") == "fr")
-    return bucketed.join(flat.select(F.lit("fr").alias("__f"), "flat"), F.lit("fr") == F.col("__f")).drop("__f")
+    flat = P.set_digest(pools, ["family"], F.col("population"), hex_digits=0, name="digest")
+    return bucketed.select(F.col("population").alias("name"), F.lit("bucketed").alias("form"), "digest").unionByName(
+        flat.select(F.col("family").alias("name"), F.lit("flat").alias("form"), "digest"))
 
 
 def lock_sql(source):

@@ -39,7 +39,7 @@ def _(t):
 
 
 NATURAL = f"""nat AS (SELECT arm, task_id, seed, CASE arg_max(outcome, checkpoint) WHEN 'correct' THEN 'correct' WHEN 'scorable_incorrect' THEN 'incorrect'
-  ELSE arg_max(outcome, checkpoint) END AS ns FROM probes WHERE family <> 'sm' GROUP BY {D})"""
+  ELSE arg_max(outcome, checkpoint) END AS ns FROM probes GROUP BY {D})"""
 TRAJ = f"""WITH {BASE}, {NATURAL}, tr AS (SELECT {', '.join('st.' + d for d in DRAW)}, state AS prefix_state, flips AS prefix_flips, coalesce(ns, 'censored') AS natural_final_status,
   CASE coalesce(ns, 'censored') WHEN 'correct' THEN true WHEN 'incorrect' THEN false END AS natural_final_correct, fc AS first_correct_probe_index,
   first_lab AS first_correct_prefix_tokens, stable_lab AS observed_probe_stable_from_tokens,
@@ -50,7 +50,7 @@ TRAJ = f"""WITH {BASE}, {NATURAL}, tr AS (SELECT {', '.join('st.' + d for d in D
 def trajectories(t):
     probes = t("probes")
     last = F.max_by("outcome", "checkpoint")
-    natural = probes.where(F.col("family") != "sm").groupBy(*DRAW).agg(
+    natural = probes.groupBy(*DRAW).agg(
         F.when(last == "scorable_incorrect", "incorrect").otherwise(last).alias("natural_final_status"))
     return T.trajectory(probes, DRAW, ["checkpoint"], "checkpoint", natural)
 
