@@ -87,6 +87,15 @@ def test_unset_flags_count_as_false(spark):
     assert [r["l"] for r in rows(df.select(label.alias("l")))] == ["only_b", "ambiguous"]
 
 
+def test_only_the_last_of_several_probes_counts_in_patterns(spark):
+    probes = [("A", "t", 1, "f", True, "0", 0, False, "correct", 1), ("A", "t", 1, "f", True, "0", 0, False, "scorable_incorrect", 2),
+              ("A", "t", 1, "f", True, "64", 64, False, "correct", 3), ("B", "t", 1, "f", True, "0", 0, False, "error", 4)]
+    sel = spark.createDataFrame(probes, PROBE + ", position bigint").withColumn("checkpoint_index", F.col("checkpoint"))
+    assert [(r["arm"], r["checkpoint_label"]) for r in rows(T.first_recoverable(sel))] == [("A", "64")]
+    pattern = one(T.draw_pattern(sel))
+    assert (pattern["pattern"], pattern["fluctuates"], pattern["indeterminate_dominant"]) == ("only_a_recovers", False, False)
+
+
 def test_pair_labels(spark):
     df = spark.createDataFrame([(True, True), (True, False), (False, True), (False, False), (None, True)], "a boolean, b boolean")
     assert [r["l"] for r in rows(df.select(T.flag_transition(F.col("a"), F.col("b")).alias("l")))] == ["both", "only_a", "only_b", "neither", "ambiguous"]

@@ -97,6 +97,12 @@ def trajectory(probes: DataFrame, draw: Sequence[str], order: Sequence[str], len
     )
 
 
+def last_probes(probes: DataFrame, draw: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """One probe per draw and checkpoint label: of several the last by ``position``, any of them without such a column."""
+    last = F.col("position") if "position" in probes.columns else F.lit(0)
+    return probes.groupBy(*draw, "checkpoint_label").agg(*[F.max_by(c, last).alias(c) for c in keep])
+
+
 def forced_trajectory(selected: DataFrame, draw: Sequence[str], declared: Sequence[str]) -> DataFrame:
     """State from explicit probe outcomes at the declared checkpoint labels.
 
@@ -106,9 +112,7 @@ def forced_trajectory(selected: DataFrame, draw: Sequence[str], declared: Sequen
     ``position`` counts (any one of them without such a column).
     """
     selected = selected.where(F.col("checkpoint_label").isin(list(declared)))
-    last = F.col("position") if "position" in selected.columns else F.lit(0)
-    selected = selected.groupBy(*draw, "checkpoint_label").agg(
-        *[F.max_by(c, last).alias(c) for c in ("outcome", "checkpoint_index")])
+    selected = last_probes(selected, draw, ("outcome", "checkpoint_index"))
     scorable = selected.where(F.col("outcome").isin(*SCORABLE_OUTCOMES))
     order = ["checkpoint_index"]
     runs = observed_runs(scorable, draw, order, F.col("outcome") == "correct", F.col("checkpoint_label"))
@@ -138,6 +142,7 @@ def _arm_outcomes(selected: DataFrame, draw: Sequence[str]) -> DataFrame:
     """Per draw (arm included in the key): first correct, last wrong and how much was observed."""
     i = F.col("checkpoint_index")
     right, wrong = F.col("outcome") == "correct", F.col("outcome") == "scorable_incorrect"
+    selected = last_probes(selected, draw, ("checkpoint_index", "outcome", "native_closed", "family"))
     return selected.groupBy(*draw).agg(
         F.min_by(F.when(right, F.col("checkpoint_label")), F.when(right, i)).alias("first_correct"),
         F.min(F.when(right, i)).alias("first_at"),
