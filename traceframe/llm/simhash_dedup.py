@@ -21,8 +21,8 @@ MAX_BITS = 3
 BUCKET = 20_000
 #: Neighbours in a bucket that are compared by shifting; longer runs are searched breadth first.
 SHIFTS = 48
-#: Neighbours in a longer run that become candidate pairs where pairs are verified one by one.
-WINDOW = 8
+#: Neighbours in a bucket that become candidate pairs where pairs are verified one by one are fewer rows apart than this.
+WINDOW = 2
 
 # fixed values: the binary Golay code [23, 12, 7] and its generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1
 LENGTH, MESSAGE, GENERATOR = 23, 12, 0b110001110101
@@ -202,8 +202,7 @@ def long_run_links(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
 def bucket_links(keyed: DataFrame, limit: int | None, bits: int, every: int) -> DataFrame:
     """Links ``a, b`` inside the buckets of ``key, print``; buckets above the limit come back as ``key, a``.
 
-    A spanning forest of each bucket; with ``every``, all links of short runs and in long ones also those less than
-    ``every`` rows apart.
+    A spanning forest of each bucket, and all links less than ``every`` rows apart.
     """
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(links: list, key=None) -> pa.RecordBatch:
@@ -232,7 +231,7 @@ def bucket_links(keyed: DataFrame, limit: int | None, bits: int, every: int) ->
             for i in {0, len(starts) - 1} | set(np.flatnonzero(ends - starts >= SHIFTS).tolist()):
                 short[starts[i]:ends[i]] = False
             pairs = shifted_pairs(keys[short], prints[short], bits, SHIFTS)
-            yield told(pairs if every else spanning_forest(pairs))
+            yield told(spanning_forest(pairs) + shifted_pairs(keys[short], prints[short], bits, every))
             for i in sorted({0, len(starts) - 1} | set(np.flatnonzero(ends - starts >= SHIFTS).tolist())):
                 if held and held_key != keys[starts[i]]:
                     yield from finish()
@@ -345,7 +344,7 @@ def near_copies(traces: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     what such links connect.  Candidates come from the same fuzzy hashing, on two fingerprints of the set of word pairs,
     which a few edits change less than those of longer shingles: two of the three segments within 2 bits, all within the
     bits that ``similarity`` makes on average.  Every candidate pair is verified on the two texts, so only linked traces
-    meet.  A bucket of up to ``SHIFTS`` fingerprints gives all its pairs; a larger one the pairs of a spanning forest and of
+    meet.  A bucket of up to ``WINDOW`` fingerprints gives all its pairs; a larger one the pairs of a spanning forest and of
     neighbours in the order of fingerprints, so very large groups give pairs in proportion to their members.
 
     Returns ``trial_id, stays_for`` per distinct ``trial_id`` (null ids left out); texts without words are alike.  Null text
