@@ -218,6 +218,45 @@ def test_near_copies(traces, records, spark):
     assert {r.trial_id for r in rows if r.trial_id == r.stays_for} == {0, 99}
 
 
+def jaccard_groups(texts):
+    """The smallest id of each group that 5-word Jaccard similarities of 0.8 connect, by brute force."""
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [t.split()]}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+def near_labels(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "trial_id bigint, text string").repartition(4)
+    return {r.trial_id: r.stays_for for r in simhash_dedup.near_copies(df).collect()}
+
+
+def test_near_copies_of_star_groups(spark):
+    """Originals in the middle of copies that are no near copies of each other, beside a dense group and strangers that share a passage."""
+    rng, texts = random.Random(11), {}
+    passage = [f"p{i}" for i in range(100)]
+    for star in range(3):
+        original = [f"s{star}x{i}" for i in range(200)]
+        rows = [original]
+        for c in range(40):
+            edited = list(original)
+            for at in range(4):
+                edited[rng.randrange(50 * at, 50 * at + 45)] = f"e{star}x{c}x{at}"
+            rows.append(edited)
+        rng.shuffle(rows)
+        texts |= {1000 * star + i: " ".join(r) for i, r in enumerate(rows)}
+    texts |= {5000 + i: " ".join(passage + [f"n{i}x{k}" for k in range(12 + i)]) for i in range(40)}
+    want = jaccard_groups(texts)
+    assert [want[1000 * s + i] for s in range(3) for i in range(41)] == [1000 * s for s in range(3) for _ in range(41)]
+    assert 1 < len({want[5000 + i] for i in range(40)})
+    assert near_labels(spark, texts) == want
+
+
+
 def test_quality_rules(traces, records):
     texts = defaultdict(set)
     for r in records:

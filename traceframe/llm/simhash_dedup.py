@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -21,8 +20,10 @@ MAX_BITS = 3
 BUCKET = 20_000
 #: Neighbours in a bucket that are compared by shifting; longer runs are searched breadth first.
 SHIFTS = 48
-#: Neighbours in a bucket that become candidate pairs where pairs are verified one by one are fewer rows apart than this.
-WINDOW = 2
+#: Texts, and share of their shingles, that tell which shingles are common.
+SAMPLE, COMMON = 20_000, 1e-6
+#: Members of each bucket that are verified against all others in the first round.
+LEADERS = 2
 
 # fixed values: the binary Golay code [23, 12, 7] and its generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1
 LENGTH, MESSAGE, GENERATOR = 23, 12, 0b110001110101
@@ -87,13 +88,6 @@ def index_pairs(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray,
     return row1[left], first[0][row1[left], at1[left]] << MESSAGE | second[0][row2[right], at2[right]]
 
 
-def pair_keys(prints: np.ndarray, golay: GolayDecoder) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) such that prints with two segments within 2 bits of each other share a key."""
-    near = [golay.nearby(w, n) for w, n in zip(segments_of(prints), SEGMENTS)]
-    found = [index_pairs(near[a], near[b]) for a, b in ((0, 1), (0, 2), (1, 2))]
-    return np.concatenate([row for row, _ in found]), np.concatenate([family << 60 | key for family, (_, key) in enumerate(found)])
-
-
 def bucket_keys(prints: np.ndarray, golay: GolayDecoder) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) such that prints within 3 bits of each other share a key.
 
@@ -302,71 +296,151 @@ def simhash_dedup(traces: DataFrame, shingle: int = 3) -> DataFrame:
         "trial_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_bits(similarity: float) -> int:
-    """Bits by which the fingerprints of two sets of that Jaccard similarity differ on average, rounded up."""
-    return math.ceil(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def set_hashes(text: str, shingle: int) -> np.ndarray:
+    """The set of a text's shingles, as signed 64-bit numbers; without words the one member zero."""
+    hashes = np.unique(shingle_hashes(text, shingle)).view(np.int64)
+    return hashes if len(hashes) else np.zeros(1, np.int64)
 
 
-def set_fingerprints(traces: DataFrame) -> DataFrame:
-    """``trial_id, print0, print1``: two independent fingerprints of the set of word pairs of each whole text."""
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sampled_ranks(named: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles (ordered) and how many texts of a sample hold each.
+
+    They only say which shingles come last in the order of ``rare_prefixes``; no result depends on them.  At most 1 / ``COMMON``
+    reach the driver.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            both = [pa.array([majority_bits(np.unique(shingle_hashes(t, 2, seed))) for t in texts], pa.int64()) for seed in (42, 43)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *both], names=["trial_id", "print0", "print1"])
+            sets = [set_hashes(text, shingle) for text in batch.column(0).to_pylist()]
+            if sets:
+                token, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n, pa.int64())], names=["token", "n"])
 
-    key = traces.schema["trial_id"].dataType.simpleString()
-    return traces.select("trial_id", whole_text().alias("text")).mapInArrow(prints, f"trial_id {key}, print0 bigint, print1 bigint")
+    every = -(-named.count() // SAMPLE)
+    some = named.where(F.pmod(F.xxhash64("trial_id"), F.lit(max(every, 1))) == 0).select(whole_text().alias("text"))
+    counts = settle(some.mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "sampled")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    common = counts.where(F.col("n") >= max(2, COMMON * total)).toPandas().sort_values("token")
+    return common["token"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
+
+
+def rare_prefixes(named: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``token, id, size, at``: the first shingles of each text's set in one order of all shingles, rare ones first.
+
+    Sets of that Jaccard similarity share ``similarity`` of the larger one at least, so the first
+    size - ceil(similarity * size) + 1 shingles of both have one in common, whatever the order is.  ``at`` is the place
+    in the order, ``size`` the number of shingles.
+    """
+    ranks = named.sparkSession.sparkContext.broadcast(sampled_ranks(named, shingle))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, seen = ranks.value
+        for batch in batches:
+            found, sizes = [], []
+            for text in batch.column(1).to_pylist():
+                hashes = set_hashes(text, shingle)
+                rank = np.zeros(len(hashes), np.int64)
+                if len(common):
+                    near = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                    rank = np.where(common[near] == hashes, seen[near], 0)
+                keep = len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1
+                found.append(hashes[np.lexsort((hashes, rank))[:keep]])
+                sizes.append(len(hashes))
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            row = np.repeat(np.arange(len(found)), counts)
+            token = np.concatenate([np.empty(0, np.int64), *found])
+            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            size = np.array(sizes, np.int64)[row] if len(row) else row
+            for part in range(0, len(row), 100_000):
+                s = slice(part, part + 100_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token[s]), batch.column(0).take(pa.array(row[s])), pa.array(size[s]), pa.array(at[s])], names=["token", "id", "size", "at"])
+
+    key = named.schema["trial_id"].dataType.simpleString()
+    return named.select("trial_id", whole_text().alias("text")).mapInArrow(cut, f"token bigint, id {key}, size bigint, at bigint")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b, same``: whether the sets of shingles (``id, shingles``) of a pair are that similar."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("first")), "a").join(
+        sets.select(F.col("id").alias("b"), F.col("shingles").alias("second")), "b")
+    shared = F.size(F.array_intersect("first", "second"))
+    union = F.size("first") + F.size("second") - shared
+    return both.select("a", "b", (shared >= similarity * union).alias("same"))
+
+
+def led_pairs(members: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: each leader with the members of its bucket that are of another component and can be similar to it.
+
+    The first shared shingle of two sets leaves no more shared ones than the shorter rest; in the bucket of that shingle
+    no similar pair is passed over, so it may be in the buckets of later ones.
+    """
+    lead = leaders.select("token", *[F.col(c).alias(f"lead_{c}") for c in ("id", "size", "at", "component")])
+    enough = similarity / (1 + similarity) * (F.col("size") + F.col("lead_size")) - 1e-6
+    rest = F.least(F.col("size") - F.col("at"), F.col("lead_size") - F.col("lead_at"))
+    met = members.join(lead, (members["token"] == lead["token"]) & (F.col("component") != F.col("lead_component")) & (rest >= enough))
+    return met.select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
 
 
-def candidate_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: pairs of ``trial_id`` that either fingerprint makes candidates.
+def verified_links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``node, component`` of what the similar pairs inside the buckets (``token, id, size, at``) connect.
 
-    A class of equal prints gives the pairs of its first member with the others; classes meet through their first members.
+    In rounds: some members of each bucket lead and are verified against the others.  The next leaders are members that
+    are linked by now and have not led, then those refuted.  A bucket is left when those that have not led are all of one
+    component; until then each pair of different components is verified.  Each round has eight times the leaders, so rounds grow with the logarithm
+    of the largest bucket, and a bucket of copies of one text gives pairs in proportion to its members.
     """
-    found = []
-    for k in (0, 1):
-        prints = rows.select("trial_id", F.col(f"print{k}").alias("print"))
-        classes = settle(prints.groupBy("print").agg(F.min("trial_id").alias("first")), "classes")
-        found.append(prints.join(classes, "print").where("trial_id <> first").select(F.col("first").alias("a"), F.col("trial_id").alias("b")))
-        links = settle(print_links(classes, pair_keys, similar_bits(similarity), every=WINDOW), "pairs")
-        for side in ("a", "b"):
-            of = classes.select(F.col("print").alias(side), F.col("first").alias(f"id_{side}"))
-            links = links.join(of, side)
-        found.append(links.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")))
-    return functools.reduce(DataFrame.unionByName, found).distinct()
+    leaders, links, refuted, groups = LEADERS, None, None, None
+    left = buckets.withColumn("component", F.col("id")).withColumn("linked", F.lit(False))
+    while True:
+        # members of one group choose the same leaders in all their buckets
+        order = Window.partitionBy("token").orderBy(F.desc("linked"), F.xxhash64("id"), "id")
+        lead = settle(left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders).drop("place"), "leaders")
+        pairs = led_pairs(left, lead, similarity)
+        if refuted is not None:
+            pairs = pairs.join(refuted, ["a", "b"], "left_anti")
+        told = settle(similar_pairs(settle(pairs, "candidates"), sets, similarity), "verified")
+        same, other = told.where("same").select("a", "b"), told.where("NOT same").select("a", "b")
+        links = same if links is None else links.unionByName(same)
+        refuted = other if refuted is None else refuted.unionByName(other)
+        rest = left.join(lead.select("token", "id"), ["token", "id"], "left_anti").select("token", "id", "size", "at")
+        more = rest.groupBy("token").agg(F.count("*").alias("more")).where("more > 1").select("token")
+        rest = settle(rest.join(more, "token"), "rest")
+        groups = settle(connected_components(links), "groups")
+        if rest.isEmpty():
+            return groups
+        known = rest.join(groups, F.col("id") == F.col("node"), "left").select(
+            "token", "id", "size", "at", F.coalesce("component", "id").alias("component"), F.col("node").isNotNull().alias("linked"))
+        known = settle(known, "known")
+        apart = known.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+        left = settle(known.join(apart.select("token"), "token"), "left")
+        if left.isEmpty():
+            return groups
+        leaders *= 8
 
 
 def near_copies(traces: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """For every trace the one that stays for it: the smallest ``trial_id`` of its group, itself included.
 
     Traces are linked when their sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more; groups are
-    what such links connect.  Candidates come from the same fuzzy hashing, on two fingerprints of the set of word pairs,
-    which a few edits change less than those of longer shingles: two of the three segments within 2 bits, all within the
-    bits that ``similarity`` makes on average.  Every candidate pair is verified on the two texts, so only linked traces
-    meet.  A bucket of up to ``WINDOW`` fingerprints gives all its pairs; a larger one the pairs of a spanning forest and of
-    neighbours in the order of fingerprints, so very large groups give pairs in proportion to their members.
+    what such links connect.  Candidates come from an exact join on the rarest shingles of each set (``rare_prefixes``), and
+    verification on the two sets decides every link (``verified_links``): no similar pair is missed, in groups of any size.
 
     Returns ``trial_id, stays_for`` per distinct ``trial_id`` (null ids left out); texts without words are alike.  Null text
     is empty.  An empty table gives an empty result.
     """
     named = traces.where("trial_id IS NOT NULL").dropDuplicates(["trial_id"])
-    pairs = settle(candidate_pairs(settle(set_fingerprints(named), "prints"), similarity), "candidates")
-    members = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    met = rare_prefixes(named, shingle, similarity).withColumn("met", F.count("*").over(Window.partitionBy("token")))
+    buckets = settle(met.where("met > 1").drop("met"), "buckets")
+    members = buckets.select("id").distinct()
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text, shingle)).view(np.int64) for text in batch.column(1).to_pylist()]
+            sets = [set_hashes(text, shingle) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     key = traces.schema["trial_id"].dataType.simpleString()
     with_text = named.select("trial_id", whole_text().alias("text")).join(members, F.col("trial_id") == F.col("id")).select("id", "text")
     sets = settle(with_text.mapInArrow(shingled, f"id {key}, shingles array<bigint>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("first")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("shingles").alias("second")), "b")
-    shared = F.size(F.array_intersect("first", "second"))
-    union = F.size("first") + F.size("second") - shared
-    links = both.where((union == 0) | (shared >= similarity * union)).select("a", "b")
-    groups = connected_components(links)
+    groups = verified_links(buckets, sets, similarity)
     return named.select("trial_id").join(groups, F.col("trial_id") == F.col("node"), "left").select(
         "trial_id", F.coalesce("component", "trial_id").alias("stays_for"))
