@@ -256,6 +256,26 @@ def test_near_copies_of_star_groups(spark):
     assert near_labels(spark, texts) == want
 
 
+def test_near_copies_recall_at_the_limit(spark):
+    """Isolated pairs just above and just below 0.8: text appended, cut off, or a block replaced; none may be missed."""
+    rng, texts, above = random.Random(12), {}, 0
+    for k in range(600):
+        n = rng.randrange(60, 400)
+        base = [f"b{k}x{i}" for i in range(n)]
+        part = round(n * rng.uniform(0.12, 0.27))
+        half = part // 2
+        start = rng.randrange(n - half)
+        new = [f"c{k}x{i}" for i in range(part)]
+        other = [base + new, base[:n - part], base[:start] + new[:half] + base[start + half:]][k % 3]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(other)
+    want = {}
+    for k in range(600):
+        pair = jaccard_groups({i: texts[i] for i in (2 * k, 2 * k + 1)})
+        above += pair[2 * k + 1] == 2 * k
+        want |= pair
+    assert 150 < above < 550
+    assert near_labels(spark, texts) == want
+
 
 def test_quality_rules(traces, records):
     texts = defaultdict(set)
