@@ -105,9 +105,8 @@ def suffix_keys(grams: np.ndarray, left: list[bytes], right: list[bytes], length
 def repeated_suffixes(keys: np.ndarray, keep_first: bool) -> np.ndarray:
     """Which suffixes have an equal one at an earlier place (or, without ``keep_first``, at any other place).
 
-    In suffix order, suffixes that agree in ``length`` bytes lie side by side; ordered by place inside such a run, the
-    one before is the previous smaller position and the one after the next larger, so the longest previous factor
-    reaches ``length`` where there is one before.
+    Keys are hashes, so their order is not that of the suffixes; it only brings equal ones side by side, in the order of
+    their places.  That replaces a longest-previous-factor array: a factor reaches ``length`` where an equal key comes before.
     """
     order = np.argsort(keys, kind="stable")  # rows come in the order of their places
     same = keys[order][1:] == keys[order][:-1]
