@@ -46,10 +46,10 @@ def test_scan_skips_blank_lines_and_keeps_corrupt_ones(spark, tmp_path):
     declared = spark.createDataFrame([("r", "c")], "run_id string, condition_id string")
     runs = spark.createDataFrame([("r", None, "s", None)], "run_id string, deployment_id string, source_artifact_id string, weight_variant_id string")
     faults = {(r["error"], r["item"]): r["n"] for r in rows(N.structural_audit(traces, declared, runs))}
-    assert faults == {("malformed or truncated JSON", ""): 1, ("missing required fields", "trace"): 1, ("duplicate trial_id", "a"): 1,
-                      ("duplicate trial (task, mode, seed, repeat)", "t/greedy/null/0"): 1, ("condition not declared", "x"): 1}
+    assert faults == {("unreadable", ""): 1, ("fields_absent", "trace"): 1, ("id_repeated", "a"): 1,
+                      ("key_repeated", "t/greedy/null/0"): 1, ("condition_unknown", "x"): 1}
     silent = {(r["error"], r["item"]) for r in rows(N.structural_audit(traces, declared.limit(0), runs))}
-    assert ("manifest declares no conditions", "") in silent and ("condition not declared", "x") not in silent
+    assert ("conditions_undeclared", "") in silent and ("condition_unknown", "x") not in silent
 
 
 def test_absent_probes_are_an_empty_table(spark, tmp_path):

@@ -161,13 +161,13 @@ dk AS (SELECT run_id, task_id || '/' || mode || '/' || coalesce(CAST(seed AS VAR
 
 
 @query("structural_audit", f"""WITH {FAULTY}
-SELECT run_id, 'malformed or truncated JSON' AS error, '' AS item, count(*) AS n FROM w WHERE cut GROUP BY 1
-UNION ALL SELECT run_id, 'missing required fields', 'termination', count(*) FROM w WHERE no_term AND NOT cut GROUP BY 1
-UNION ALL SELECT run_id, 'missing condition metadata', '', count(*) FROM g WHERE no_mode GROUP BY 1
-UNION ALL SELECT run_id, 'duplicate trial_id', trial_id, count(*) - 1 FROM (SELECT run_id, CASE WHEN wall_ms BETWEEN 5000 AND 5020 THEN 'same' ELSE trial_id END AS trial_id FROM g) d GROUP BY 1, 3 HAVING count(*) > 1
-UNION ALL SELECT run_id, 'duplicate trial (task, mode, seed, repeat)', item, count(*) - 1 FROM dk GROUP BY 1, 3 HAVING count(*) > 1
-UNION ALL SELECT run_id, 'condition not declared', cid, count(*) FROM k WHERE odd_cond GROUP BY 1, 3
-UNION ALL SELECT run_id, 'deployment_id mismatch', 'dep-x', count(*) FROM k WHERE odd_dep GROUP BY 1""")
+SELECT run_id, 'unreadable' AS error, '' AS item, count(*) AS n FROM w WHERE cut GROUP BY 1
+UNION ALL SELECT run_id, 'fields_absent', 'termination', count(*) FROM w WHERE no_term AND NOT cut GROUP BY 1
+UNION ALL SELECT run_id, 'condition_absent', '', count(*) FROM g WHERE no_mode GROUP BY 1
+UNION ALL SELECT run_id, 'id_repeated', trial_id, count(*) - 1 FROM (SELECT run_id, CASE WHEN wall_ms BETWEEN 5000 AND 5020 THEN 'same' ELSE trial_id END AS trial_id FROM g) d GROUP BY 1, 3 HAVING count(*) > 1
+UNION ALL SELECT run_id, 'key_repeated', item, count(*) - 1 FROM dk GROUP BY 1, 3 HAVING count(*) > 1
+UNION ALL SELECT run_id, 'condition_unknown', cid, count(*) FROM k WHERE odd_cond GROUP BY 1, 3
+UNION ALL SELECT run_id, 'deployment_id_contradicted', 'dep-x', count(*) FROM k WHERE odd_dep GROUP BY 1""")
 def _(t):
     wall = F.col("trace.wall_ms")
     rows = nested(t("records")).withColumn("trial_id", F.when(wall.between(5000, 5020), "same").otherwise(F.col("trial_id")))

@@ -87,17 +87,11 @@ def _side(x):
 PROJ = "presentation_id, condition_id, mode, seed, repeat"
 
 
-def _incomplete(x):
-    return f"""'arm {x.upper()} incomplete (missing=' || missing_trials_{x} || ' unexpected=' || unexpected_trials_{x} || ' duplicates=' ||
-  (observed_executions_{x} - unique_trial_keys_{x}) || ' ambiguous_draws=' || ambiguous_draws_{x} || ' presentations_match=' || presentation_population_match_{x} || ')'"""
-
-
 @query("population_audit", f"""WITH {DECLARED}, {EXPECTED}, z AS (SELECT {_side('a')}, {_side('b')},
   (SELECT count(*) FROM (SELECT {KEYS} FROM records WHERE arm = 'A' INTERSECT SELECT {KEYS} FROM records WHERE arm = 'B')) AS matched_pairs)
 SELECT *, observed_executions_a - unique_trial_keys_a AS duplicate_keys_a, observed_executions_b - unique_trial_keys_b AS duplicate_keys_b,
   unique_trial_keys_a - matched_pairs AS unmatched_a, unique_trial_keys_b - matched_pairs AS unmatched_b, false AS complete,
-  'the two arms declare different trial populations; ' || {_incomplete('a')} || '; ' || {_incomplete('b')} ||
-  '; matched intersection ' || matched_pairs || ' != declared population ' || expected_trials_a AS incomplete_reasons FROM z""")
+  'arm_a; arm_b; declarations_unequal; pairs_short' AS incomplete_reasons FROM z""")
 def _(t):
     audit = P.population_audit(t("records"), expected(t), declared(t))
     return audit.withColumn("incomplete_reasons", F.array_join("incomplete_reasons", "; "))
@@ -244,16 +238,11 @@ pc AS (SELECT run_no, bool_or(a <> b) AS mm FROM
   (SELECT run_no, l_returnflag, bool_or(arm = 'A') AS a, bool_or(arm = 'B') AS b FROM pm GROUP BY ALL) x GROUP BY 1),
 gate AS (SELECT l.*, coalesce(only_a, 0) AS oa, coalesce(only_b, 0) AS ob, a.max_tokens = 2048 AND b.max_tokens = 2048 AS verified,
   list_filter([
-  CASE WHEN len(missing) > 0 THEN 'provenance fields missing/unknown: ' || array_to_string(missing, ',') END,
-  CASE WHEN coalesce(only_a, 0) > 0 OR coalesce(only_b, 0) > 0 THEN 'structural task populations differ (onlyA=' || only_a || ', onlyB=' || only_b || ')' END,
-  CASE WHEN len(model) > 0 AND len(runtime) > 0 THEN 'both model-artifact and runtime/hardware changed simultaneously' END,
-  CASE WHEN len(runtime) > 1 THEN 'multiple runtime variables changed: ' || array_to_string(list_transform(runtime, lambda x: 'runtime.' || x), ',') END,
-  CASE WHEN len(decoding) > 0 THEN 'decoding policy differs but is not declared part of the hypothesis' END,
-  CASE WHEN len(pack) > 0 THEN 'task-pack/generator version differs: ' || array_to_string(pack, ',') END,
-  CASE WHEN coalesce(mm, false) THEN 'presentation populations differ' END,
-  CASE WHEN list_contains(spec, 'prompt_policy') THEN 'prompt policy differs but is not declared intentional' END,
-  CASE WHEN list_contains(spec, 'max_tokens') THEN 'observation horizon differs but is not declared intentional' END,
-  CASE WHEN list_contains(spec, 'capture_level') THEN 'capture lane differs but is not declared intentional' END
+  CASE WHEN len(missing) > 0 THEN 'fields_unknown' END, CASE WHEN coalesce(only_a, 0) + coalesce(only_b, 0) > 0 THEN 'tasks_unequal' END,
+  CASE WHEN len(model) > 0 AND len(runtime) > 0 THEN 'model_and_runtime' END, CASE WHEN len(runtime) > 1 THEN 'runtime_many' END,
+  CASE WHEN len(pack) > 0 THEN 'pack_version' END, CASE WHEN len(decoding) > 0 THEN 'decoding' END,
+  CASE WHEN list_contains(spec, 'prompt_policy') THEN 'prompt' END, CASE WHEN coalesce(mm, false) THEN 'presentations_unequal' END,
+  CASE WHEN list_contains(spec, 'max_tokens') THEN 'horizon' END, CASE WHEN list_contains(spec, 'capture_level') THEN 'capture' END
   ], lambda x: x IS NOT NULL) AS reasons
   FROM lab l JOIN rp USING (run_id) LEFT JOIN tc ON tc.run_no = l.run_no LEFT JOIN pc ON pc.run_no = l.run_no)"""
 
@@ -368,14 +357,12 @@ def _(t):
     return P.population_lock(t("tasks"))
 
 
+LOCK_CASES = ", ".join(f"CASE WHEN f.{c} <> o.{c} THEN '{c}' END" for c in P.LOCK_FIELDS)
+
+
 @query("lock_verify", f"""SELECT population, o.n_tasks IS NOT NULL AS locked, coalesce(m, '') = '' AS ok, coalesce(m, '') AS mismatches FROM (
 SELECT population, o, array_to_string(list_filter([
-  CASE WHEN f.task_ids_sha256 <> o.task_ids_sha256 THEN 'task-id digest differs' END,
-  CASE WHEN f.presentation_ids_sha256 <> o.presentation_ids_sha256 THEN 'presentation-id digest differs' END,
-  CASE WHEN f.structural_signature_sha256 <> o.structural_signature_sha256 THEN 'structural-signature digest differs' END,
-  CASE WHEN f.family_counts <> o.family_counts THEN 'family counts differ' END,
-  CASE WHEN f.difficulty_counts <> o.difficulty_counts THEN 'difficulty distribution differs' END,
-  CASE WHEN f.n_tasks <> o.n_tasks THEN 'task count differs' END], lambda x: x IS NOT NULL), '; ') AS m
+{LOCK_CASES}], lambda x: x IS NOT NULL), '; ') AS m
 FROM {lock_sql('tasks')} f LEFT JOIN (SELECT * FROM {lock_sql('old_tasks')} z WHERE population <> 'src7') o USING (population)) v""")
 def _(t):
     old = P.population_lock(t("old_tasks")).where(F.col("population") != "src7")

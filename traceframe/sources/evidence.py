@@ -67,7 +67,7 @@ def flat_records(traces: DataFrame) -> DataFrame:
         F.coalesce("presentation_id", "task_id").alias("presentation_id"), "condition_id", "family", "split",
         F.col("difficulty.level").alias("difficulty"), F.col("condition.mode").alias("mode"),
         F.col("condition.seed").alias("seed"), F.col("condition.repeat").alias("repeat"),
-        F.col("trace.token_ids").alias("tokens"), F.col("termination.finish_reason").alias("finish_reason"),
+        F.col("trace.token_ids").alias("tokens"), F.col("trace.text").alias("text"), F.col("termination.finish_reason").alias("finish_reason"),
         F.col("termination.capped").alias("capped"), F.col("termination.terminated_by_eos").alias("terminated_by_eos"),
         F.col("termination.think_end_reached").alias("think_end_reached"),
         F.col("termination.eos_observed").alias("eos_observed"),

@@ -59,10 +59,14 @@ def seal_table(units: DataFrame, run: str = "run_id", name: str = "name", digest
 
 # Identity fields of a record that must agree with its run's declaration.
 IDENTITY_FIELDS = ("deployment_id", "source_artifact_id", "weight_variant_id")
-DUPLICATE_ID = "duplicate trial_id"
-DUPLICATE_KEY = "duplicate trial (task, mode, seed, repeat)"
-UNDECLARED = "condition not declared"
-NO_CONDITIONS = "manifest declares no conditions"
+#: Codes of structural faults.
+UNREADABLE, FIELDS_ABSENT, UNKEYED = "unreadable", "fields_absent", "condition_absent"
+DUPLICATE_ID, DUPLICATE_KEY = "id_repeated", "key_repeated"
+UNDECLARED, NO_CONDITIONS = "condition_unknown", "conditions_undeclared"
+
+
+def contradicts(field: str) -> str:
+    return f"{field}_contradicted"
 
 
 def structural_audit(traces: DataFrame, conditions: DataFrame, runs: DataFrame) -> DataFrame:
@@ -90,20 +94,20 @@ def structural_audit(traces: DataFrame, conditions: DataFrame, runs: DataFrame)
         return F.when(when, F.struct(F.lit(error).alias("error"), item.alias("item")))
 
     looks = F.array_compact(F.array(
-        seen(F.col("__bad"), "malformed or truncated JSON", F.lit("")),
-        seen(~F.col("__bad") & (F.col("__gone") != ""), "missing required fields", F.col("__gone")),
+        seen(F.col("__bad"), UNREADABLE, F.lit("")),
+        seen(~F.col("__bad") & (F.col("__gone") != ""), FIELDS_ABSENT, F.col("__gone")),
         seen(good, DUPLICATE_ID, F.col("trial_id")),
-        seen(good & F.col("mode").isNull(), "missing condition metadata", F.lit("")),
+        seen(good & F.col("mode").isNull(), UNKEYED, F.lit("")),
         seen(keyed, DUPLICATE_KEY, key),
         seen(keyed, UNDECLARED, F.col("condition_id")),
-        *[seen(keyed & F.col(c).isNotNull(), f"{c} mismatch", F.col(c)) for c in IDENTITY_FIELDS],
+        *[seen(keyed & F.col(c).isNotNull(), contradicts(c), F.col(c)) for c in IDENTITY_FIELDS],
     ))
     counts = rows.select("run_id", F.inline(looks)).groupBy("run_id", "error", "item").agg(F.count(F.lit(1)).alias("n"))
     twice = F.col("error").isin(DUPLICATE_ID, DUPLICATE_KEY)
     counts = settle(counts.where(~twice | (F.col("n") > 1)).withColumn(
         "n", F.col("n") - F.when(twice, 1).otherwise(0)), "audit-counts")
     declared = conditions.select("run_id", F.lit(UNDECLARED).alias("error"), F.col("condition_id").alias("item"))
-    identities = [F.struct(F.lit(f"{c} mismatch").alias("error"), F.col(c).alias("item")) for c in IDENTITY_FIELDS]
+    identities = [F.struct(F.lit(contradicts(c)).alias("error"), F.col(c).alias("item")) for c in IDENTITY_FIELDS]
     wanted = runs.select("run_id", F.inline(F.array(*identities)))
     # an identity the run does not declare cannot be contradicted
     free = counts.join(wanted.where(F.col("item").isNull()).select("run_id", "error"), ["run_id", "error"], "left_anti")
