@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .language_filter import identify_language
 from .line_dedup import remove_spread_lines
 from .lm_scoring import score_cross_entropy
 from .mixing import balance_mix
@@ -17,7 +18,9 @@ from .quality_rules import quality_rules
 from .records import traces_of_documents
 from .sharding import shard_traces
 from .simhash_dedup import simhash_dedup
+from .spelling_variants import spelling_variants
 from .suffix_dedup import remove_repeats
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,6 +104,26 @@ def op10_exact_dedup(spark, sf_dir):
     return by_document(exact_dedup(traces(spark, sf_dir), keep="largest"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_variants(traces(spark, sf_dir), min_length=6, min_count=5, ratio=5, slip_every=199)
+
+
+@query
+def op12_embedding_whitening(spark, sf_dir):
+    white = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
+    # a sum of squares beyond 64 bits has no long; it stays exact in the operator's own result
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query
+def op13_language_id(spark, sf_dir):
+    documents = traces(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("trial_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    told = identify_language(documents, documents.where(~held_out))
+    return by_document(told.withColumn("held_out", held_out), "held_out", F.col("predicted").alias("lang_pred"), "score")
+
+
 ORACLES["op10_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
