@@ -4,7 +4,7 @@ from conftest import one, rows
 from pyspark.sql import functions as F
 
 from traceframe.functions import resampling as R
-from traceframe.functions.quantiles import exact_quantiles, order_statistics
+from traceframe.functions.quantiles import exact_quantiles, order_statistics, quantiles_of_counts, value_counts
 from traceframe.operators import aggregates as G
 from traceframe.plans import comparison as C
 
@@ -48,6 +48,54 @@ def test_multinomial_weights_sum_to_the_number_of_clusters(spark):
     assert {(r["g"], r["s"]) for r in sums} == {("g", 30), (None, 7)} and len(sums) == 100
 
 
+def test_blocks_and_partitions_do_not_change_the_weights(spark, monkeypatch):
+    """Weights are a function of seed, replicate and rank alone; groups of one cluster and null groups included."""
+    clusters = spark.range(300).select(F.col("id").cast("string").alias("c"), F.when(F.col("id") < 200, "g").when(F.col("id") < 201, "h").alias("g"))
+
+    def weights(df):
+        return {(r["g"], r["c"], r["replicate"]): r["weight"] for r in rows(R.bootstrap_weights(df, ["g"], "c", 20, 3))}
+
+    whole = weights(clusters)
+    monkeypatch.setattr(R, "BLOCK", 16)
+    R._kept.clear()
+    assert weights(clusters.repartition(7)) == whole
+    assert all(whole["h", "200", k] == 1 for k in range(20))
+
+
+def test_weights_are_multinomial(spark):
+    """Means, variances and covariances of the weights, also of ranges of uneven halves and of ranks beyond 2^40."""
+    w = R.block_weights(11, 0, 1024, None, 20_000, 7).astype(float)
+    assert (w.sum(axis=0) == 11).all()
+    assert np.abs(w.mean(axis=1) - 1).max() < 0.03 and np.abs(np.cov(w) - (np.eye(11) - 1 / 11)).max() < 0.04
+    far = R.Splitter(np.arange(4000), 1)
+    low = [far.lower(base, 48, np.full(4000, 48)) for base in (1 << 41, (1 << 41) + 64, (1 << 41) + (1 << 36))]
+    assert all(abs(x.mean() - 32) < 0.3 and abs(x.var() - 48 * 2 / 9) < 0.9 for x in low)
+    assert abs(np.corrcoef(low)[np.triu_indices(3, 1)]).max() < 0.06
+
+
+def test_no_slot_is_shuffled(spark):
+    """The plan exchanges clusters and sums; sums are at most one per block, group and replicate."""
+    values = spark.range(3000).select(F.col("id").cast("string").alias("c"), (F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    means = R.replicate_means(values, ["g"], "c", "v", 50, 0)
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") <= 1 and "Join" in plan and plan.count("FlatMapCoGroupsInArrow") == 1
+    assert means.count() == 150
+    for r in rows(means.groupBy("g").agg(F.avg("estimate").alias("m"), F.stddev("estimate").alias("s"))):
+        assert r["m"] == pytest.approx(1500, abs=60) and r["s"] == pytest.approx(866 / 1000**0.5, rel=0.3)
+
+
+def test_close_values_are_not_sorted_in_one_group(spark):
+    """A million different values between 0 and 0.01: exact, from ranges of bounded size."""
+    n = 1_000_000
+    df = spark.range(n).select((F.col("id") * 7919 % n / n * 0.01).alias("v"), F.lit("x").alias("g"))
+    counts = value_counts(df, ["g"], "v")
+    sizes = [r["n"] for r in rows(counts.groupBy("__range").agg(F.count("*").alias("n")))]
+    assert len(sizes) >= 15 and max(sizes) < 3 * n / len(sizes)
+    want = np.arange(n) / n * 0.01
+    out = one(quantiles_of_counts(counts, ["g"], {"a": 0.1, "b": 0.5, "c": 0.999}))
+    assert [out[k] for k in "abc"] == pytest.approx(np.quantile(want, [0.1, 0.5, 0.999]).tolist(), rel=1e-12)
+
+
 def test_poisson_weights_have_mean_and_variance_one(spark):
     clusters = spark.range(2000).select(F.col("id").cast("string").alias("c"))
     out = one(R.bootstrap_weights(clusters, [], "c", 50, 0, "poisson").agg(

@@ -1,7 +1,10 @@
+import numpy as np
 import pytest
 from conftest import one, rows
 from pyspark.sql import functions as F
 
+from traceframe.functions import resampling as R
+from traceframe.functions.ranges import ranged
 from traceframe.plans import survival as S
 
 
@@ -40,12 +43,63 @@ def test_blocks_do_not_change_the_curve(spark):
         ((F.col("id") * 7919) % 1013).cast("double").alias("time"), ((F.col("id") * 31) % 3 > 0).alias("event"),
         F.when(F.col("id") % 3 == 0, "small").alias("g"))  # the null stratum holds most rows
     life = S.life_table(df, ["g"])
-    wide = rows(S.product_limit(life, ["g"], block=1e9), "g", "time")
-    narrow = rows(S.product_limit(life, ["g"], block=16.0), "g", "time")
+    wide = rows(S.product_limit(life, ["g"]), "g", "time")
+    narrow = rows(S.product_limit(life, ["g"], per_range=16), "g", "time")
     assert [(r["g"], r["time"], r["at_risk"]) for r in wide] == [(r["g"], r["time"], r["at_risk"]) for r in narrow]
     assert [r["survival"] for r in wide] == pytest.approx([r["survival"] for r in narrow], abs=1e-12)
 
 
+def test_close_times_of_one_stratum_are_spread(spark):
+    """A million different times between 0 and 1 in one stratum: ranges are even, and the curve is that of the formula."""
+    n = 1_000_000
+    life = spark.range(n).select((F.col("id") / n).alias("time"), F.lit(1).cast("bigint").alias("__n"), (F.col("id") % 2).alias("__d"), F.lit("x").alias("g"))
+    sizes = [r["n"] for r in rows(ranged(life, ["g"], "time", "times").groupBy("g", "__range").agg(F.count("*").alias("n")))]
+    assert len(sizes) >= 15 and max(sizes) < 3 * n / len(sizes)
+    whole = S.product_limit(life, ["g"])
+    at = {r["time"]: r for r in rows(whole.where("time IN (0.25, 0.75)"))}
+    ids = np.arange(n)
+    survival = np.cumprod(np.where(ids % 2, 1 - 1 / (n - ids), 1.0))
+    for time in (0.25, 0.75):
+        assert at[time]["at_risk"] == n - int(time * n) and at[time]["survival"] == pytest.approx(survival[int(time * n)], rel=1e-9)
+
+
+def naive_rmst(observations, tau):
+    """Area under the product-limit curve of (time, event, weight)."""
+    area, survival, last = 0.0, 1.0, 0.0
+    for t in sorted({t for t, _, w in observations if w}):
+        if t > tau:
+            break
+        area, last = area + survival * (t - last), t
+        at_risk = sum(w for s, _, w in observations if s >= t)
+        survival *= 1 - sum(w for s, e, w in observations if s == t and e) / at_risk
+    return area + survival * (tau - last)
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_replicates_against_a_naive_area(spark, monkeypatch, block):
+    """Every replicate, weighted by the drawn clusters; small blocks and slices give the same; one cluster holds a third of the rows."""
+    monkeypatch.setattr(R, "BLOCK", block)
+    monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "SLICE", 7)
+    monkeypatch.setattr(S, "CHUNK", 3)
+    rng = np.random.default_rng(2)
+    data = [(f"t{0 if rng.random() < 0.3 else rng.integers(0, 11)}", "AB"[rng.integers(0, 2)], float(rng.integers(1, 20)), bool(rng.random() < 0.7), g)
+            for g in ("x", None) for _ in range(160)]
+    df = spark.createDataFrame(data, "task_id string, arm string, time double, event boolean, g string")
+    cells = S.life_table(df.withColumnRenamed("task_id", "__cl").withColumnRenamed("arm", "__arm"), ["g", "__cl", "__arm"])
+    shared = cells.groupBy("g", "__cl").agg(F.count_distinct("__arm").alias("k")).where("k = 2").drop("k")
+    areas = rows(S.replicate_areas(S.replicate_steps(cells, shared, ["g"], ("A", "B"), 8, 0), ["g"], 12.0))
+    drawn = {(r["g"], r["__cl"], r["replicate"]): r["weight"] for r in rows(R.bootstrap_weights(shared, ["g"], "__cl", 8, 0))}
+    assert len(areas) == 2 * 2 * 8
+    for r in areas:
+        arm = "AB"[r["__side"]]
+        mine = [(t, e, drawn.get((g, c, r["replicate"]), 0)) for c, a, t, e, g in data if a == arm and g == r["g"]]
+        assert r["rmst"] == pytest.approx(naive_rmst(mine, 12.0))
+    out = one(S.rmst_delta_bootstrap(df.where("g = 'x'"), 12.0, n_resamples=8))
+    deltas = {k: {r["__side"]: r["rmst"] for r in areas if r["g"] == "x" and r["replicate"] == k} for k in range(8)}
+    assert out["mean"] == pytest.approx(np.mean([d[0] - d[1] for d in deltas.values()])) and out["n_resamples_used"] == 8
+
+
 def test_small_families_get_no_estimate(spark):
     df = obs(spark, [(1, 1), (2, 1)], family="big").unionByName(obs(spark, [(3, 1)], family="tiny"))
     out = {r["family"]: r for r in rows(S.survival_by_family(df, "family", 4.0))}

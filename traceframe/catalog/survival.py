@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from ..operators.draws import PAIR_KEY, collapse_draws
 from ..plans import survival as S
 from .registry import query
-from .shared_sql import AREA, KM, draw
+from .shared_sql import AREA, KM, drawn_weights
 
 TAU = 40.0
 CELLS = "cells AS (SELECT family, time, count(*) AS n, sum(CASE WHEN event THEN 1 ELSE 0 END) AS d FROM obs GROUP BY ALL)"
@@ -82,9 +82,7 @@ tcells AS (SELECT task_id, arm, time, count(*) AS n, sum(CASE WHEN event THEN 1
 shared AS (SELECT task_id AS cl FROM tcells GROUP BY 1 HAVING count(DISTINCT arm) = 2),
 placed AS (SELECT cl, row_number() OVER (ORDER BY CAST('0x' || substr(md5(cl), 1, 15) AS BIGINT), cl) - 1 AS idx,
   count(*) OVER () AS n FROM shared),
-slots AS (SELECT idx, n, replicate FROM placed, range(0, {R}) t(replicate)),
-drawn AS ({draw('idx', 'replicate').format(src='slots')}),
-picks AS (SELECT replicate, u % n AS idx, count(*) AS w FROM drawn GROUP BY ALL),
+picks AS (SELECT * FROM {drawn_weights('placed', R)} z),
 cells AS (
   SELECT replicate, arm, time, sum(tcells.n * w) AS n, sum(d * w) AS d
   FROM picks JOIN placed USING (idx) JOIN tcells ON tcells.task_id = placed.cl GROUP BY ALL

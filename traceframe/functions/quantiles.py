@@ -1,10 +1,9 @@
 """Exact order statistics of arbitrarily large groups.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Here values are first counted, then split into ordered blocks by a fixed
-monotone function of the value, so that a group holding most of the data is
-still spread over many tasks; only the blocks that contain a wanted rank are
-sorted.
+Here values are first counted, then split into ordered ranges with bounds from
+the data, so that a group holding most of it is spread over many tasks however
+close its values are; only the ranges that contain a wanted rank are sorted.
 """
 
 from __future__ import annotations
@@ -14,28 +13,19 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
 from .frames import join_null_safe
-
-BLOCKS_PER_E_FOLD = 64
-
-
-def value_block(value: Column) -> Column:
-    """Monotone block number of a double (logarithmic width, both signs)."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BLOCKS_PER_E_FOLD))
-
+from .ranges import ranged
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str | Column) -> DataFrame:
-    """Settled table (groups, __b, __v, __c) of the non-null values, the input of everything below."""
+    """Settled table (groups, __range, __v, __c) of the non-null values, the input of everything below."""
     v = F.col(value) if isinstance(value, str) else value
     counts = (
         df.select(*groups, v.cast("double").alias("__v"))
         .where(F.col("__v").isNotNull())
-        .withColumn("__b", value_block(F.col("__v")))
-        .groupBy(*groups, "__b", "__v")
+        .groupBy(*groups, "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    return settle(counts, "value-counts")
+    return ranged(counts, groups, "__v", "value-counts")
 
 
 def ranks_of_counts(counts: DataFrame, groups: Sequence[str], ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
@@ -43,17 +33,17 @@ def ranks_of_counts(counts: DataFrame, groups: Sequence[str], ranks: Mapping[str
     groups = list(groups)
     by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     blocks = (
-        counts.groupBy(*groups, "__b")
+        counts.groupBy(*groups, "__range")
         .agg(F.sum("__c").alias("__bc"))
-        .withColumn("__before", F.sum("__bc").over(by_group.orderBy("__b")) - F.col("__bc"))
+        .withColumn("__before", F.sum("__bc").over(by_group.orderBy("__range")) - F.col("__bc"))
         .withColumn("__n", F.sum("__bc").over(by_group))
     )
     wanted = F.lit(False)
     for rank in ranks.values():
         r = rank(F.col("__n"))
         wanted = wanted | ((r >= F.col("__before")) & (r < F.col("__before") + F.col("__bc")))
-    hit = join_null_safe(counts, blocks.where(wanted), [*groups, "__b"], filled=["__b"])
-    inside = Window.partitionBy(*groups, "__b").orderBy("__v")
+    hit = join_null_safe(counts, blocks.where(wanted), [*groups, "__range"], filled=["__range"])
+    inside = Window.partitionBy(*groups, "__range").orderBy("__v")
     hit = hit.withColumn("__hi", F.col("__before") + F.sum("__c").over(inside)).withColumn(
         "__lo", F.col("__hi") - F.col("__c")
     )

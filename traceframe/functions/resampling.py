@@ -1,49 +1,111 @@
 """Deterministic resampling: replicate weights are a pure function of (seed, replicate, cluster).
 
-No random state is kept, so lost tasks recompute the same replicates.  Indexed
-(multinomial) draws use integer arithmetic any engine can repeat and serve up to
-2^31 clusters per group; Poisson weights hash the cluster together with the
-replicate in 64 bits and have no such limit.
+No random state is kept, so lost tasks recompute the same replicates.
+
+Multinomial weights are split top down: the n draws of a replicate belong to the range of all n clusters; a range gives a
+binomial number of its draws to its lower half and the rest to the upper one, until a range is one cluster.  Every split is
+a pure function of (seed, replicate, range), so a task derives the weights of its own clusters from the number of draws of
+their block, and only sums leave it: neither slots nor weights are shuffled.  Poisson weights hash the cluster together
+with the replicate and need no order of the clusters at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import accumulate, takewhile
 from math import exp, factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import settle, spread
 from .frames import join_null_safe
 
 MODULUS = 2147483647  # prime, so x -> x^5 permutes the residues
+#: Bits of a residue that decide draws of a half each.
+DRAWS_PER_WORD = 30
+#: Clusters of one task (a power of two); larger groups first get the draws of each block.
+BLOCK = 1024
+#: Weight matrices of whole groups that a task keeps: groups of equal size share them.
+KEPT_WEIGHTS = 1 << 22
 # Cumulative Poisson(1) probabilities, as far as the 53 bits of a draw can tell them from 1.
 POISSON_CDF = tuple(takewhile(lambda p: p < 1 - 2.0**-53, accumulate(exp(-1) / factorial(k) for k in range(30))))
 
 
-def _fifth_power(x: Column) -> Column:
+def fifth_power(x):
+    """x^5 of residues; integers and arrays alike."""
     square = x * x % MODULUS
     return square * square % MODULUS * x % MODULUS
 
 
-def cluster_number(cluster: Column) -> Column:
-    """60-bit number of a cluster id, independent of the data around it."""
-    return F.conv(F.substring(F.md5(cluster.cast("string")), 1, 15), 16, 10).cast("bigint")
+class Splitter:
+    """Splits the draws of a range of clusters, for a run of replicates at once."""
 
+    def __init__(self, replicates: np.ndarray, seed: int):
+        self.base = replicates.astype(np.int64) * 7919 + (seed * 104729 + 12345)
+        self.words: list[np.ndarray] = []
 
-def _add_draw(df: DataFrame, number: str, seed: int, out: str) -> DataFrame:
-    """Uniform residue in [0, MODULUS) from a number and the replicate."""
-    df = df.withColumn("__fa", _fifth_power((F.col(number) + 1) % MODULUS))
-    df = df.withColumn("__fb", _fifth_power((F.col("replicate") * 7919 + F.lit(seed * 104729 + 12345)) % MODULUS))
-    df = df.withColumn("__fx", (F.col("__fa") * F.col("__fb") % MODULUS + F.col("__fa") + F.col("__fb") * 31) % MODULUS)
-    return df.withColumn(out, _fifth_power(F.col("__fx"))).drop("__fa", "__fb", "__fx")
+    def residues(self, low: int, level: int, turn: int) -> np.ndarray:
+        """Uniform residues of one turn at the range that begins at ``low`` and needs ``level`` halvings."""
+        while len(self.words) <= turn:
+            self.words.append(fifth_power((self.base + len(self.words) * 15485863) % MODULUS))
+        number = low * 64 + level
+        range_part = fifth_power((fifth_power(number % MODULUS + 1) + number // MODULUS) % MODULUS)
+        other = self.words[turn]
+        return fifth_power((range_part * other % MODULUS + range_part + other * 31) % MODULUS)
 
+    def lower(self, low: int, size: int, draws: np.ndarray) -> np.ndarray:
+        """Draws that fall into the lower part, the largest power of two below ``size``."""
+        level = (size - 1).bit_length()
+        half = 1 << (level - 1)
+        most, out = int(draws.max(initial=0)), np.zeros(len(draws), np.int64)
+        if size == 2 * half:  # each draw is one fair bit
+            for turn in range(-(-most // DRAWS_PER_WORD)):
+                bits = np.clip(draws - turn * DRAWS_PER_WORD, 0, DRAWS_PER_WORD)
+                out += np.bitwise_count(self.residues(low, level, turn) & ((1 << bits) - 1))
+        else:
+            for turn in range(most):
+                out += (turn < draws) & (self.residues(low, level, turn) % size < half)
+        return out
 
-def _explode_replicates(df: DataFrame, n_resamples: int) -> DataFrame:
-    return df.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_resamples - 1).cast("bigint")))
-                     .alias("replicate"))
+    def leaves(self, low: int, size: int, draws: np.ndarray, smallest: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+        """(begin, draws) of all parts of at most ``smallest`` clusters, in order."""
+        if size <= smallest:
+            yield low, draws
+            return
+        half = 1 << ((size - 1).bit_length() - 1)
+        first = self.lower(low, size, draws)
+        yield from self.leaves(low, half, first, smallest)
+        yield from self.leaves(low + half, size - half, draws - first, smallest)
+
+
+_kept: dict[tuple, np.ndarray] = {}
+
+
+def block_weights(n: int, block: int, block_size: int, draws: np.ndarray | None, n_resamples: int, seed: int) -> np.ndarray:
+    """``[clusters, replicates]`` of one block; ``draws`` are those of the block, n where it is the whole group."""
+    low = block * block_size
+    size = min(block_size, n - low)
+    key = (n, block, n_resamples, seed) if draws is None and size * n_resamples <= KEPT_WEIGHTS else None
+    if key not in _kept:
+        if draws is None:
+            draws = np.full(n_resamples, n, np.int64)
+        splitter = Splitter(np.arange(n_resamples), seed)
+        weights = np.empty((size, n_resamples), np.int32)
+        for at, part in splitter.leaves(low, size, draws):
+            weights[at - low] = part
+        if key is None:
+            return weights
+        _kept.clear()
+        _kept[key] = weights
+    return _kept[key]
+
+
+def cluster_number(cluster: Column) -> Column:
+    """60-bit number of a cluster id, independent of the data around it."""
+    return F.conv(F.substring(F.md5(cluster.cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
 def dense_index(df: DataFrame, groups: Sequence[str], number: str, tie: str) -> DataFrame:
@@ -68,6 +130,67 @@ def dense_index(df: DataFrame, groups: Sequence[str], number: str, tie: str) ->
     )
 
 
+def block_draws(clusters: DataFrame, groups: Sequence[str], n_resamples: int, seed: int, block_size: int) -> DataFrame:
+    """(groups, block, replicate, draws) of the groups that have more clusters than a block.
+
+    A task descends from the whole group to its blocks for one replicate at a time, so the work on ranges that hold many
+    draws is shared out by replicates and done once.
+    """
+    sizes = clusters.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_size)
+    rows = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_resamples - 1).cast("bigint"))))
+    rows = rows.repartition(*groups, "replicate") if groups else rows.repartition("replicate")
+    names = [*groups, "block", "replicate", "draws"]
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                n, replicate = (batch.column(k)[row].as_py() for k in (len(groups), len(groups) + 1))
+                parts = [int(d[0]) for _, d in Splitter(np.array([replicate]), seed).leaves(0, n, np.array([n], np.int64), block_size)]
+                here = pa.array([row] * len(parts), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(here) for k in range(len(groups))], pa.array(range(len(parts)), pa.int64()),
+                     pa.array([replicate] * len(parts), pa.int64()), pa.array(parts, pa.int64())], names=names)
+
+    schema = T.StructType([*[rows.schema[g] for g in groups], *[T.StructField(c, T.LongType()) for c in names[len(groups):]]])
+    return rows.mapInArrow(descend, schema)
+
+
+def with_weights(rows: DataFrame, clusters: DataFrame, groups: Sequence[str], n_resamples: int, seed: int, use, schema: T.StructType,
+                 block_size: int | None = None) -> DataFrame:
+    """Runs ``use(table, weights)`` on the rows of every block of clusters; its Arrow table (without the groups) is the result.
+
+    ``rows`` carry ``groups, idx, n`` (``dense_index``) and what ``use`` needs, ``clusters`` the distinct clusters of the groups;
+    ``weights`` is ``[clusters of the block, replicates]``, and a row's own are at ``idx % block_size``.
+    """
+    groups, block_size = list(groups), block_size or BLOCK
+    keys = [*groups, "__block"]
+    left = rows.withColumn("__block", F.shiftright("idx", block_size.bit_length() - 1))
+    right = block_draws(clusters, groups, n_resamples, seed, block_size).withColumnRenamed("block", "__block")
+    fields = [left.schema[g] for g in groups]
+
+    def weigh(key: tuple, mine: pa.Table, drawn: pa.Table) -> pa.Table:
+        if not mine.num_rows:
+            return pa.table({f.name: pa.array([], t) for f, t in zip(out.fields, types)})
+        draws = None
+        if drawn.num_rows:
+            draws = np.zeros(n_resamples, np.int64)
+            draws[drawn["replicate"].to_numpy()] = drawn["draws"].to_numpy()
+        weights = block_weights(mine["n"][0].as_py(), key[-1].as_py(), block_size, draws, n_resamples, seed)
+        result = use(mine, weights)
+        constant = {g: pa.array([key[k].as_py()] * result.num_rows, t) for k, (g, t) in enumerate(zip(groups, types))}
+        return pa.table(constant | {c: result[c] for c in result.column_names})
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out = T.StructType([*fields, *schema.fields])
+    types = [to_arrow_type(f.dataType) for f in out.fields]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(weigh, out)
+
+
+def _explode_replicates(df: DataFrame, n_resamples: int) -> DataFrame:
+    return df.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_resamples - 1).cast("bigint"))).alias("replicate"))
+
+
 def _poisson_weight(u: str) -> Column:
     weight = F.lit(len(POISSON_CDF))
     for k in range(len(POISSON_CDF) - 1, -1, -1):
@@ -75,26 +198,22 @@ def _poisson_weight(u: str) -> Column:
     return weight
 
 
-def _slots(placed: DataFrame, groups: Sequence[str], n_resamples: int, seed: int, n_rows: int) -> DataFrame:
-    """(groups, replicate, idx): the cluster index every slot of every replicate picked.
-
-    Indices are few rows that stand for n_resamples times as many slots, so they
-    are spread by that amount of work before they are exploded.
-    """
-    few = spread(placed.select(*groups, "idx", "n"), n_rows * n_resamples, *groups, "idx")
-    slots = _add_draw(_explode_replicates(few, n_resamples), "idx", seed, "__u")
-    pick = F.coalesce(F.col("__u") % F.col("n"), F.lit(0))  # never null: keeps the join free of null filters
-    return slots.select(*groups, "replicate", pick.alias("idx"))
-
-
-def _poisson(base: DataFrame, n_resamples: int, seed: int, cluster: str) -> DataFrame:
-    few = spread(base, base.count() * n_resamples, cluster)
+def _poisson(base: DataFrame, n_resamples: int, seed: int) -> DataFrame:
     mixed = F.shiftrightunsigned(F.xxhash64("__num", "replicate", F.lit(seed)), 11)
-    return _explode_replicates(few, n_resamples).withColumn("__u", mixed.cast("double") * 2.0**-53).withColumn(
+    return _explode_replicates(base, n_resamples).withColumn("__u", mixed.cast("double") * 2.0**-53).withColumn(
         "weight", _poisson_weight("__u")
     )
 
 
+def numbered(df: DataFrame, cluster: str) -> DataFrame:
+    return df.withColumn("__num", cluster_number(F.col(cluster)))
+
+
+def check_scheme(scheme: str) -> None:
+    if scheme not in ("multinomial", "poisson"):
+        raise ValueError(f"unknown resampling scheme {scheme!r}")
+
+
 def bootstrap_weights(clusters: DataFrame, groups: Sequence[str], cluster: str, n_resamples: int, seed: int,
                       scheme: str = "multinomial") -> DataFrame:
     """(groups, cluster, replicate, weight > 0) for distinct clusters per group.
@@ -103,41 +222,55 @@ def bootstrap_weights(clusters: DataFrame, groups: Sequence[str], cluster: str,
     gives every cluster an independent Poisson(1) weight: no index and no
     shuffle, for very many clusters.
     """
+    check_scheme(scheme)
     groups = list(groups)
-    base = clusters.select(*groups, cluster).withColumn("__num", cluster_number(F.col(cluster)))
+    base = numbered(clusters.select(*groups, cluster), cluster)
     if scheme == "poisson":
-        return _poisson(base, n_resamples, seed, cluster).select(*groups, cluster, "replicate", "weight").where("weight > 0")
-    if scheme != "multinomial":
-        raise ValueError(f"unknown resampling scheme {scheme!r}")
-    placed = settle(dense_index(base, groups, "__num", cluster), "cluster-index")
-    n_rows = placed.count()
-    picks = _slots(placed, groups, n_resamples, seed, n_rows).groupBy(*groups, "replicate", "idx").agg(
-        F.count(F.lit(1)).alias("weight")
-    )
-    names = placed.select(*groups, "idx", cluster)
-    return join_null_safe(picks, names, [*groups, "idx"], filled=["idx"]).drop("idx")
+        return _poisson(base, n_resamples, seed).select(*groups, cluster, "replicate", "weight").where("weight > 0")
+
+    def listed(mine: pa.Table, weights: np.ndarray) -> pa.Table:
+        at = mine["idx"].to_numpy() % BLOCK
+        row, replicate = np.nonzero(weights[at])
+        return pa.table({
+            cluster: mine[cluster].take(pa.array(row)), "replicate": pa.array(replicate, pa.int64()),
+            "weight": pa.array(weights[at[row], replicate].astype(np.int64)),
+        })
+
+    placed = dense_index(base, groups, "__num", cluster).drop("__num")
+    schema = T.StructType([placed.schema[cluster], T.StructField("replicate", T.LongType()), T.StructField("weight", T.LongType())])
+    return with_weights(placed, base, groups, n_resamples, seed, listed, schema)
 
 
 def replicate_means(values: DataFrame, groups: Sequence[str], cluster: str, value: str, n_resamples: int, seed: int,
                     scheme: str = "multinomial") -> DataFrame:
-    """(groups, replicate, estimate): mean of one value per cluster in every replicate."""
+    """(groups, replicate, estimate): mean of one value per cluster in every replicate.
+
+    A block of clusters sends one sum per replicate, whatever its number of clusters is.
+    """
+    check_scheme(scheme)
     groups = list(groups)
-    base = values.select(*groups, cluster, value).withColumn("__num", cluster_number(F.col(cluster)))
+    base = numbered(values.select(*groups, cluster, value), cluster)
     if scheme == "poisson":
-        drawn = _poisson(base, n_resamples, seed, cluster)
         return (
-            drawn.groupBy(*groups, "replicate")
+            _poisson(base, n_resamples, seed).groupBy(*groups, "replicate")
             .agg(F.sum(F.col("weight") * F.col(value)).alias("__s"), F.sum("weight").alias("__sw"))
             .select(*groups, "replicate", F.try_divide("__s", "__sw").alias("estimate"))
         )
-    if scheme != "multinomial":
-        raise ValueError(f"unknown resampling scheme {scheme!r}")
-    placed = settle(dense_index(base, groups, "__num", cluster), "cluster-index")
-    n_rows = placed.count()
-    slots = _slots(placed, groups, n_resamples, seed, n_rows)
-    values_of = placed.select(*groups, "idx", value)
-    picked = join_null_safe(slots, values_of, [*groups, "idx"], filled=["idx"])
-    return picked.groupBy(*groups, "replicate").agg(F.avg(value).alias("estimate"))
+
+    def summed(mine: pa.Table, weights: np.ndarray) -> pa.Table:
+        order = np.argsort(mine["idx"].to_numpy())
+        at, v = mine["idx"].to_numpy()[order] % BLOCK, mine["__value"].to_numpy()[order]
+        held = ~np.isnan(v)  # a value that is null or not a number takes no part, as in an average
+        return pa.table({
+            "replicate": pa.array(np.arange(weights.shape[1], dtype=np.int64)),
+            "__s": pa.array(v[held] @ weights[at[held]].astype(float)), "__sw": pa.array(weights[at[held]].sum(axis=0, dtype=np.int64)),
+        })
+
+    placed = dense_index(base, groups, "__num", cluster).select(*groups, "idx", "n", F.col(value).cast("double").alias("__value"))
+    schema = T.StructType([T.StructField("replicate", T.LongType()), T.StructField("__s", T.DoubleType()), T.StructField("__sw", T.LongType())])
+    sums = with_weights(placed, base, groups, n_resamples, seed, summed, schema)
+    return sums.groupBy(*groups, "replicate").agg(F.sum("__s").alias("__s"), F.sum("__sw").alias("__sw")).select(
+        *groups, "replicate", F.try_divide("__s", "__sw").alias("estimate"))
 
 
 def interval(replicates: DataFrame, groups: Sequence[str], value: str, alpha: float = 0.05,

@@ -2,22 +2,27 @@
 
 Observations are first reduced to a life table (one row per stratum and distinct
 time, a map-side combining aggregate).  The running products then work on
-blocks of the time axis, so a stratum that holds most of the data, or a time
-axis with very many distinct values, is never scanned by a single task.
+ranges of the time axis with bounds from the data, so a stratum that holds most
+of it, or very many distinct times however close, is never scanned by one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.frames import join_null_safe
-from ..session import settle, spread
-from ..functions.resampling import bootstrap_weights, interval
+from ..functions.ranges import ranged
+from ..functions.resampling import BLOCK, bootstrap_weights, check_scheme, dense_index, interval, numbered, with_weights
+from ..session import settle
 
-TIME_BLOCK = 4096.0
+#: Cells that are weighted at once, and replicates that share a row.
+SLICE, CHUNK = 4096, 125
 
 
 def life_table(df: DataFrame, strata: Sequence[str], time: str = "time", event: str = "event",
@@ -30,19 +35,22 @@ def life_table(df: DataFrame, strata: Sequence[str], time: str = "time", event:
     )
 
 
-def product_limit(life: DataFrame, strata: Sequence[str], block: float = TIME_BLOCK) -> DataFrame:
-    """Survival curve of a life table: at-risk counts include everyone with time >= t."""
-    keys = [*strata, "__blk"]
-    life = settle(life.withColumn("__blk", F.floor(F.col("time") / F.lit(block))), "life-table")
+def product_limit(life: DataFrame, strata: Sequence[str], per_range: int | None = None) -> DataFrame:
+    """Survival curve of a life table: at-risk counts include everyone with time >= t.
+
+    The times of a large stratum are cut into ranges; totals and products of whole ranges carry over from one to the next.
+    """
+    keys = [*strata, "__range"]
+    life = ranged(life, strata, "time", "life-table", per_range)
     per_block = life.groupBy(*keys).agg(F.sum("__n").alias("__bn"))
-    along = Window.partitionBy(*strata).orderBy("__blk") if strata else Window.orderBy("__blk")
+    along = (Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))).orderBy("__range")
     whole = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
     starts = per_block.select(
         *keys,
         (F.sum("__bn").over(whole) - F.sum("__bn").over(along) + F.col("__bn")).alias("__start"),
     )
     inside = Window.partitionBy(*keys).orderBy("time")
-    rows = join_null_safe(life, starts, keys, filled=["__blk"])
+    rows = join_null_safe(life, starts, keys, filled=["__range"])
     rows = rows.withColumn("at_risk", F.col("__start") - F.sum("__n").over(inside) + F.col("__n"))
     rows = rows.withColumn(
         "__factor",
@@ -53,7 +61,7 @@ def product_limit(life: DataFrame, strata: Sequence[str], block: float = TIME_BL
     entering = block_products.select(
         *keys, F.coalesce(F.product("__p").over(before), F.lit(1.0)).alias("__enter")
     )
-    rows = join_null_safe(rows, entering, keys, filled=["__blk"])
+    rows = join_null_safe(rows, entering, keys, filled=["__range"])
     earlier = F.coalesce(F.product("__factor").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
     survival = F.col("__enter") * F.col("__inner")
     return rows.withColumn("__earlier", F.col("__enter") * earlier).select(
@@ -158,6 +166,95 @@ def survival_endpoints(primary: DataFrame, tau: float, by: Sequence[str] = ("con
     return join_null_safe(summary, competing, strata)
 
 
+def replicate_steps(cells: DataFrame, shared: DataFrame, by: Sequence[str], arms: tuple[str, str], n_resamples: int, seed: int) -> DataFrame:
+    """(by, __chunk, __side, time, n, d): leaving and events at a time, as arrays over the replicates of a chunk.
+
+    Made where the clusters of a block are: their life tables times their weights, a bounded slice of cells at a time.  A
+    time may have several rows, one for each block and slice.
+    """
+    by = list(by)
+    placed = dense_index(numbered(shared, "__cl"), by, "__num", "__cl").drop("__num")
+    rows = join_null_safe(cells, placed, [*by, "__cl"], filled=["__cl"]).select(
+        *by, "idx", "n", F.when(F.col("__arm") == arms[0], 0).otherwise(1).alias("__side"), "time",
+        F.col("__n").cast("bigint").alias("__n"), F.col("__d").cast("bigint").alias("__d"))
+
+    def stepped(mine: pa.Table, weights: np.ndarray) -> pa.Table:
+        at, side, time, n, d = (mine[c].to_numpy() for c in ("idx", "__side", "time", "__n", "__d"))
+        order = np.lexsort((time, side))
+        pieces = []
+        for start in range(0, len(order), SLICE):
+            o = order[start:start + SLICE]
+            first = np.flatnonzero(np.concatenate(([True], (side[o][1:] != side[o][:-1]) | (time[o][1:] != time[o][:-1]))))
+            for chunk in range(0, n_resamples, CHUNK):
+                w = weights[at[o] % BLOCK, chunk:chunk + CHUNK].astype(np.int64)
+                sums = [np.add.reduceat(w * x[o][:, None], first, axis=0) for x in (n, d)]
+                ends = pa.array(np.arange(len(first) + 1) * w.shape[1], pa.int32())
+                pieces.append(pa.table({
+                    "__chunk": pa.array([chunk] * len(first), pa.int32()), "__side": pa.array(side[o][first], pa.int32()), "time": pa.array(time[o][first]),
+                    **{c: pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))) for c, x in zip("nd", sums)},
+                }))
+        return pa.concat_tables(pieces)
+
+    schema = T.StructType([T.StructField("__chunk", T.IntegerType()), T.StructField("__side", T.IntegerType()), T.StructField("time", T.DoubleType()),
+                           T.StructField("n", T.ArrayType(T.LongType())), T.StructField("d", T.ArrayType(T.LongType()))])
+    return with_weights(rows, shared, by, n_resamples, seed, stepped, schema)
+
+
+def replicate_areas(steps: DataFrame, by: Sequence[str], tau: float) -> DataFrame:
+    """(by, replicate, __side, rmst): restricted means of all replicates by one scan of the times, last first.
+
+    Going back in time, the subjects at risk are a running sum, and the area beyond a time, as a share of those that reach
+    it, follows from the area beyond the next one: nothing is held but one vector over the replicates of a chunk.
+    """
+    by = list(by)
+    keys = [*by, "__chunk", "__side"]
+    ordered = steps.repartition(*keys).sortWithinPartitions(*keys, F.desc("time")).select(*keys, "time", "n", "d")
+    schema = T.StructType([*[ordered.schema[k] for k in by], T.StructField("__side", T.IntegerType()), T.StructField("replicate", T.LongType()), T.StructField("rmst", T.DoubleType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = time = n = d = at_risk = beyond = later = kept = None
+
+        def step() -> None:
+            """Takes the finished time into the running values."""
+            nonlocal at_risk, beyond, later
+            at_risk = at_risk + n
+            if time <= tau:
+                left = np.where(at_risk > 0, 1.0 - d / np.maximum(at_risk, 1), 1.0)
+                beyond = left * (later - time + beyond)
+                later = time
+
+        def told() -> pa.RecordBatch:
+            step()
+            size = len(at_risk)
+            area = np.where(at_risk > 0, later + beyond, np.nan)
+            here = pa.array([0] * size, pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [*[c.take(here) for c in kept], pa.array([key[-1]] * size, pa.int32()), pa.array(key[-2] + np.arange(size), pa.int64()),
+                 pa.array(area, pa.float64(), from_pandas=True)], names=[*by, "__side", "replicate", "rmst"])
+
+        for batch in batches:
+            found = list(zip(*[batch.column(k).to_pylist() for k in range(len(keys))]))
+            times = batch.column(len(keys)).to_pylist()
+            for row, (new_key, new_time) in enumerate(zip(found, times)):
+                more, events = (batch.column(len(keys) + k)[row].values.to_numpy() for k in (1, 2))
+                if new_key == key and new_time == time:
+                    n, d = n + more, d + events
+                    continue
+                if new_key == key:
+                    step()
+                else:
+                    if key is not None:
+                        yield told()
+                    key, kept = new_key, [batch.column(k).slice(row, 1) for k in range(len(by))]
+                    at_risk, beyond, later = np.zeros(len(more), np.int64), np.zeros(len(more)), float(tau)
+                time, n, d = new_time, more, events
+        if key is not None:
+            yield told()
+
+    areas = ordered.mapInArrow(scan, schema)
+    return areas if tau > 0 else areas.where("false")
+
+
 def rmst_delta_bootstrap(df: DataFrame, tau: float, cluster: str = "task_id", arm: str = "arm",
                          arms: tuple[str, str] = ("A", "B"), time: str = "time", event: str = "event",
                          n_resamples: int = 2000, seed: int = 0, alpha: float = 0.05,
@@ -167,7 +264,8 @@ def rmst_delta_bootstrap(df: DataFrame, tau: float, cluster: str = "task_id", ar
     A group without a shared cluster has ``n_clusters`` 0 and no estimates.
 
     The same replicate weights apply to both arms.  Weights multiply the life
-    table of a cluster, not its raw observations.
+    table of a cluster, not its raw observations, and are reduced over the
+    clusters of a block before anything is sent.
     """
     by = list(by)
     obs = df.where(F.col(arm).isin(*arms)).select(
@@ -199,17 +297,20 @@ def rmst_delta_bootstrap(df: DataFrame, tau: float, cluster: str = "task_id", ar
 
     pooled = cells.groupBy(*by, "__arm", "time").agg(F.sum("__n").alias("__n"), F.sum("__d").alias("__d"))
     point = delta(pooled, by).withColumnRenamed("delta", "point")
-    weights = bootstrap_weights(shared, by, "__cl", n_resamples, seed, scheme)
-    # weights are few rows that each meet a whole cluster life table: spread them by replicate, which
-    # also is the grouping of everything that follows
-    n_cells = cells.count()
-    weights = spread(weights, n_cells * n_resamples, *by, "replicate")
-    weighted = (
-        join_null_safe(weights, cells, [*by, "__cl"], filled=["__cl"])
-        .groupBy(*by, "replicate", "__arm", "time")
-        .agg(F.sum(F.col("__n") * F.col("weight")).alias("__n"), F.sum(F.col("__d") * F.col("weight")).alias("__d"))
-    )
-    replicates = delta(weighted, [*by, "replicate"])
+    check_scheme(scheme)
+    if scheme == "poisson":
+        weights = bootstrap_weights(shared, by, "__cl", n_resamples, seed, scheme)
+        weighted = (
+            join_null_safe(weights, cells, [*by, "__cl"], filled=["__cl"])
+            .groupBy(*by, "replicate", "__arm", "time")
+            .agg(F.sum(F.col("__n") * F.col("weight")).alias("__n"), F.sum(F.col("__d") * F.col("weight")).alias("__d"))
+        )
+        replicates = delta(weighted, [*by, "replicate"])
+    else:
+        areas = replicate_areas(replicate_steps(cells, shared, by, arms, n_resamples, seed), by, tau)
+        replicates = areas.groupBy(*by, "replicate").agg(
+            F.max(F.when(F.col("__side") == 0, F.col("rmst"))).alias("__ra"), F.max(F.when(F.col("__side") == 1, F.col("rmst"))).alias("__rb"),
+        ).select(*by, "replicate", (F.col("__ra") - F.col("__rb")).alias("delta")).where("delta IS NOT NULL")
     ci = interval(replicates, by, "delta", alpha, mean_name="mean", used_name="n_resamples_used")
     if not by:
         return n_clusters.join(point, F.lit(True), "left").join(ci, F.lit(True), "left").withColumn("tau", F.lit(float(tau)))
