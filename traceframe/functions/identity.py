@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bind
+
 IDENTITY_SCHEMA = "traceframe-identity/1"
 DEFAULT_PRESENCE_SCOPE = "mlx_window"  # fixed value: the scope that leaves an id unchanged
 
@@ -18,53 +20,75 @@ def not_empty(value: Column) -> Column:
     return F.when(F.size(value) > 0, value)
 
 
-def _canonical_struct(tree: Tree) -> Column:
-    fields = {k: v if isinstance(v, Column) else _present(v) for k, v in sorted(tree.items())}
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+def ascii_json(text: Column) -> Column:
+    """JSON text with all but printable ASCII as ``\\uxxxx``, outside the basic plane as two of them."""
+    def escaped(c: Column) -> Column:
+        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        return F.when(c.rlike("[^ -~]"), F.regexp_replace(units, "(.{4})", "\\\\u$1")).otherwise(c)
 
+    def lower_hex(json: Column) -> Column:
+        """Escapes of control characters with small digits; a backslash before one makes it plain text."""
+        for letter in "ABCDEF":
+            json = F.regexp_replace(json, r"(?<!\\)((?:\\\\)*\\u00[01])" + letter, "$1" + letter.lower())
+        return json
 
-def _leaves(tree: Tree) -> list[Column]:
-    return [leaf for v in tree.values() for leaf in ([v] if isinstance(v, Column) else _leaves(v))]
+    places = F.sequence(F.lit(1), F.length(text))
+    every = F.array_join(F.transform(places, lambda i: escaped(F.substr(text, i, F.lit(1)))), "")
+    wide = F.when(text.rlike("[^ -~]"), every).otherwise(text)
+    return F.when(text.rlike(r"\\u00[01][A-F]"), lower_hex(wide)).otherwise(wide)
 
 
-def _present(tree: Tree) -> Column:
-    """A nested object, absent when all of its entries are."""
-    some = F.lit(False)
-    for leaf in _leaves(tree):
-        some = some | leaf.isNotNull()
-    return F.when(some, _canonical_struct(tree))
+def json_number(text: Column) -> Column:
+    """A number in Java's scientific notation (``1.25E-5``) as JSON writers print it: fixed from 1e-4 to 1e16, else ``1.25e-05``."""
+    def parts(p: Column) -> Column:
+        sign, exponent = F.when(text.startswith("-"), "-").otherwise(""), F.get(p, 1).cast("int")
+        digits = F.regexp_replace(F.get(p, 0), r"[-.]|\.?0*$", "")
+        return F.struct(sign.alias("sign"), digits.alias("digits"), exponent.alias("exponent"))
 
+    def written(x: Column) -> Column:
+        digits, e = x["digits"], x["exponent"]
+        size = F.length(digits)
+        point = F.when(size > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(digits)
+        scientific = F.concat(point, F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+        whole = F.when(size <= e + 1, F.concat(F.rpad(digits, e + 1, F.lit("0")), F.lit(".0"))).otherwise(
+            F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, size)))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        return F.concat(x["sign"], F.when((e >= 16) | (e < -4), scientific).when(e >= 0, whole).otherwise(small))
 
-def ascii_json(text: Column) -> Column:
-    """JSON text with every character beyond ASCII as ``\\uXXXX``, outside the basic plane as two of them."""
-    def escaped(c: Column) -> Column:
-        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
-        return F.when(c.rlike("[^\\x00-\\x7F]"), F.regexp_replace(units, "(.{4})", "\\\\u$1")).otherwise(c)
+    return F.when(text.contains("E"), bind(bind(F.split(text, "E"), parts), written)).otherwise(text)
 
-    places = F.sequence(F.lit(1), F.length(text))
-    every = F.transform(places, lambda i: escaped(F.substr(text, i, F.lit(1))))
-    return F.when(text.rlike("[^\\x00-\\x7F]"), F.array_join(every, "")).otherwise(text)
 
+def _leaf(value: Column) -> Column:
+    """Canonical JSON of a value of any type; null stays null."""
+    def told(json: Column) -> Column:
+        item = F.substring(json, F.lit(2), F.length(json) - 2)
+        numbers = F.concat(F.lit("["), F.array_join(F.transform(F.split(F.regexp_replace(item, r"[\[\]]", ""), ","), json_number), ","), F.lit("]"))
+        return F.when(item.rlike(r"^-?[0-9.]+E"), json_number(item)).when(item.rlike(r"^\[[-0-9.E,]*E[-0-9.E,]*\]$"), numbers).otherwise(ascii_json(item))
 
-def plain_floats(json: Column) -> Column:
-    """Small floats of an object as ``0.0001`` and ``2.5e-05`` where Java writes ``1.0E-4`` and ``2.5E-5``.
+    return F.when(value.isNotNull(), bind(F.to_json(F.array(value)), told))
 
-    A number is told from text by the unescaped quote and colon before it.  Floats from 10 million on keep Java's form.
-    """
-    key = r'(?<=(?<!\\)":)(-?)'
-    for pattern, text in ((r"(\d)\.0E-4\b", "0.000$2"), (r"(\d)\.(\d+)E-4\b", "0.000$2$3"), (r"(\d)\.0E-(\d)\b", "$2e-0$3"),
-                          (r"(\d\.\d+)E-(\d)\b", "$2e-0$3"), (r"(\d)\.0E-(\d\d)", "$2e-$3"), (r"(\d\.\d+)E-(\d\d)", "$2e-$3")):
-        json = F.regexp_replace(json, key + pattern, "$1" + text)
-    return json
+
+def _members(tree: Tree) -> Column:
+    """The ``"key":value`` members of an object that are not absent, sorted by key, joined by commas."""
+    return F.concat_ws(",", *[
+        F.concat(F.lit(f'"{k}":'), _leaf(v) if isinstance(v, Column) else _present(v)) for k, v in sorted(tree.items())
+    ])
+
+
+def _present(tree: Tree) -> Column:
+    """A nested object, absent when all of its entries are."""
+    return bind(_members(tree), lambda m: F.when(m != "", F.concat(F.lit("{"), m, F.lit("}"))))
 
 
 def canonical_json(tree: Tree) -> Column:
     """JSON object text with sorted keys, in ASCII; null entries and empty nested objects are left out.
 
-    Floating columns must be rounded (``canonical_float``) and array or map
-    columns wrapped in ``not_empty`` by the caller.
+    Each leaf is encoded once, while the text is put together: shortest decimal
+    form of floats, small hexadecimal escapes.  Floating columns must be rounded
+    (``canonical_float``) and array or map columns wrapped in ``not_empty`` by
+    the caller.
     """
-    return ascii_json(plain_floats(F.to_json(_canonical_struct(tree))))
+    return F.concat(F.lit("{"), _members(tree), F.lit("}"))
 
 
 def canonical_float(value: Column) -> Column:

@@ -115,21 +115,28 @@ def max_run(df: DataFrame, trace: str, tokens: str = "tokens") -> DataFrame:
 def top_motif(df: DataFrame, trace: str, tokens: str = "tokens", n: int = 4) -> DataFrame:
     """Most frequent n-gram with its count and span; the largest gram wins ties.
 
-    Tied grams compare element by element, as the token arrays themselves do.
+    Grams compare element by element, as the token arrays themselves do.  They
+    are sorted, so equal ones are neighbours: one walk counts each and keeps the
+    last of the most frequent, which is the largest.
     """
-    counted = df.select(trace, tokens, A.grams(F.col(tokens), n).alias("__grams"))
-    counted = with_counts(counted, F.col("__grams"), "__counts")
-    top = F.array_max(F.transform("__counts", lambda c: c["len"]))
-    counted = counted.withColumn("__top", top)
-    tied = F.transform(
-        F.filter("__counts", lambda c: c["len"] == F.col("__top")),
-        lambda c: F.slice(F.col(tokens), F.array_position("__grams", c["item"]).cast("int"), F.lit(n)),
-    )
-    return counted.select(
+    ids = F.col(tokens)
+    starts = F.sequence(F.lit(1), F.size(ids) - (n - 1))
+    ordered = F.array_sort(F.transform(starts, lambda i: F.slice(ids, i, F.lit(n))))
+    none = F.slice(ids, 1, 0)
+
+    def state(gram: Column, run: Column, motif: Column, top: Column) -> Column:
+        return F.struct(gram.alias("gram"), run.alias("run"), motif.alias("motif"), top.alias("top"))
+
+    def walk(seen: Column, gram: Column) -> Column:
+        run = F.when(gram == seen["gram"], seen["run"] + 1).otherwise(1)
+        return state(gram, run, F.when(run >= seen["top"], gram).otherwise(seen["motif"]), F.greatest(run, seen["top"]))
+
+    found = df.select(trace, F.when(F.size(ids) >= n, F.aggregate(ordered, state(none, F.lit(0), none, F.lit(0)), walk)).alias("__found"))
+    top = F.coalesce("__found.top", F.lit(0))
+    return found.select(
         trace,
-        F.coalesce(F.array_join(F.array_max(tied).cast("array<string>"), " "), F.lit("")).alias("motif"),
-        F.coalesce(F.col("__top"), F.lit(0)).alias("motif_count"),
-        (F.coalesce(F.col("__top"), F.lit(0)) * n).alias("motif_span_tokens"),
+        F.coalesce(F.array_join(F.col("__found.motif").cast("array<string>"), " "), F.lit("")).alias("motif"),
+        top.alias("motif_count"), (top * n).alias("motif_span_tokens"),
     )
 
 
