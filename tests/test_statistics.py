@@ -3,6 +3,7 @@ import pytest
 from conftest import one, rows
 from pyspark.sql import functions as F
 
+from traceframe.functions import ranges
 from traceframe.functions import resampling as R
 from traceframe.functions.quantiles import exact_quantiles, order_statistics, quantiles_of_counts, value_counts
 from traceframe.operators import aggregates as G
@@ -84,8 +85,9 @@ def test_no_slot_is_shuffled(spark):
         assert r["m"] == pytest.approx(1500, abs=60) and r["s"] == pytest.approx(866 / 1000**0.5, rel=0.3)
 
 
-def test_close_values_are_not_sorted_in_one_group(spark):
+def test_close_values_are_not_sorted_in_one_group(spark, monkeypatch):
     """A million different values between 0 and 0.01: exact, from ranges of bounded size."""
+    monkeypatch.setattr(ranges, "PER_RANGE", 50_000)
     n = 1_000_000
     df = spark.range(n).select((F.col("id") * 7919 % n / n * 0.01).alias("v"), F.lit("x").alias("g"))
     counts = value_counts(df, ["g"], "v")

@@ -4,6 +4,7 @@ from conftest import one, rows
 from pyspark.sql import functions as F
 
 from traceframe.functions import resampling as R
+from traceframe.functions import ranges
 from traceframe.functions.ranges import ranged
 from traceframe.plans import survival as S
 
@@ -49,8 +50,9 @@ def test_blocks_do_not_change_the_curve(spark):
     assert [r["survival"] for r in wide] == pytest.approx([r["survival"] for r in narrow], abs=1e-12)
 
 
-def test_close_times_of_one_stratum_are_spread(spark):
+def test_close_times_of_one_stratum_are_spread(spark, monkeypatch):
     """A million different times between 0 and 1 in one stratum: ranges are even, and the curve is that of the formula."""
+    monkeypatch.setattr(ranges, "PER_RANGE", 50_000)
     n = 1_000_000
     life = spark.range(n).select((F.col("id") / n).alias("time"), F.lit(1).cast("bigint").alias("__n"), (F.col("id") % 2).alias("__d"), F.lit("x").alias("g"))
     sizes = [r["n"] for r in rows(ranged(life, ["g"], "time", "times").groupBy("g", "__range").agg(F.count("*").alias("n")))]

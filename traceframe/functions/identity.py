@@ -58,37 +58,40 @@ def json_number(text: Column) -> Column:
     return F.when(text.contains("E"), bind(bind(F.split(text, "E"), parts), written)).otherwise(text)
 
 
-def _leaf(value: Column) -> Column:
-    """Canonical JSON of a value of any type; null stays null."""
-    def told(json: Column) -> Column:
-        item = F.substring(json, F.lit(2), F.length(json) - 2)
-        numbers = F.concat(F.lit("["), F.array_join(F.transform(F.split(F.regexp_replace(item, r"[\[\]]", ""), ","), json_number), ","), F.lit("]"))
-        return F.when(item.rlike(r"^-?[0-9.]+E"), json_number(item)).when(item.rlike(r"^\[[-0-9.E,]*E[-0-9.E,]*\]$"), numbers).otherwise(ascii_json(item))
+def _respelled(json: Column) -> Column:
+    """JSON text with its strings in ASCII and its numbers in their usual notation, token by token."""
+    def numbers(part: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(part, F.lit(r"[-0-9.E]+|[^-0-9.E]+"), F.lit(0)), json_number), "")
 
-    return F.when(value.isNotNull(), bind(F.to_json(F.array(value)), told))
+    def token(t: Column) -> Column:
+        return F.when(t.startswith('"'), ascii_json(t)).when(t.contains("E"), numbers(t)).otherwise(t)
 
+    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*+"|[^"]+'), F.lit(0))
+    return F.array_join(F.transform(tokens, token), "")
 
-def _members(tree: Tree) -> Column:
-    """The ``"key":value`` members of an object that are not absent, sorted by key, joined by commas."""
-    return F.concat_ws(",", *[
-        F.concat(F.lit(f'"{k}":'), _leaf(v) if isinstance(v, Column) else _present(v)) for k, v in sorted(tree.items())
-    ])
 
+def _struct(tree: Tree) -> Column:
+    """The tree as a struct with sorted fields, for one pass of the JSON writer; empty nested objects are null."""
+    def nested(sub: Tree) -> Column:
+        return F.when(F.coalesce(*_leaves(sub), F.lit(None)).isNotNull(), _struct(sub))
 
-def _present(tree: Tree) -> Column:
-    """A nested object, absent when all of its entries are."""
-    return bind(_members(tree), lambda m: F.when(m != "", F.concat(F.lit("{"), m, F.lit("}"))))
+    return F.struct(*[(v if isinstance(v, Column) else nested(v)).alias(k) for k, v in sorted(tree.items())])
+
+
+def _leaves(tree: Tree) -> list[Column]:
+    return [leaf for v in tree.values() for leaf in ([F.when(v.isNotNull(), True)] if isinstance(v, Column) else _leaves(v))]
 
 
 def canonical_json(tree: Tree) -> Column:
     """JSON object text with sorted keys, in ASCII; null entries and empty nested objects are left out.
 
-    Each leaf is encoded once, while the text is put together: shortest decimal
-    form of floats, small hexadecimal escapes.  Floating columns must be rounded
-    (``canonical_float``) and array or map columns wrapped in ``not_empty`` by
-    the caller.
+    The JSON writer's text is taken as it is where it can hold nothing that is
+    written differently: escapes, characters beyond ASCII, scientific notation.
+    Else it is respelled, floats in their shortest decimal form.  Floating
+    columns must be rounded (``canonical_float``) and array or map columns
+    wrapped in ``not_empty`` by the caller.
     """
-    return F.concat(F.lit("{"), _members(tree), F.lit("}"))
+    return bind(F.to_json(_struct(tree)), lambda j: F.when(j.rlike(r"[^ -~]|\\|[0-9]E"), _respelled(j)).otherwise(j))
 
 
 def canonical_float(value: Column) -> Column:

@@ -15,7 +15,7 @@ from ..session import settle
 from .frames import join_null_safe
 
 #: Rows of a range, and ranges of a group.
-PER_RANGE, MOST_RANGES = 50_000, 1000
+PER_RANGE, MOST_RANGES = 500_000, 1000
 
 
 def below(bounds: Column, value: Column, steps: int = 10) -> Column:
