@@ -61,7 +61,19 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled._settled_path = path
+    return settled
+
+
+def discard(*settled: DataFrame | None) -> None:
+    """Delete tables of ``settle`` that nothing reads any more; what was derived from them must be settled itself."""
+    for df in settled:
+        path = getattr(df, "_settled_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def widen(scan: DataFrame) -> DataFrame:
