@@ -154,15 +154,8 @@ lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS li
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
 norm AS (SELECT *, len(string_split(line, ' ')) AS nw FROM (SELECT DISTINCT coalesce(source, chr(0)) AS source, text, no,
   trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS line FROM lines) x WHERE line <> ''),
-texts AS (SELECT source, count(DISTINCT text) AS texts FROM norm GROUP BY 1),
-frequent AS (SELECT * FROM (SELECT source, line, count(DISTINCT text) AS spread FROM norm GROUP BY 1, 2) x JOIN texts USING (source)
-  WHERE spread > 5 AND spread > texts * 0.01),
-held AS (SELECT norm.*, spread FROM norm JOIN frequent USING (source, line)),
-mostly AS (SELECT source, text, fw > nw * 0.5 AS mostly FROM (SELECT source, text, sum(nw) AS fw FROM held GROUP BY 1, 2) a
-  JOIN (SELECT source, text, sum(nw) AS nw FROM norm GROUP BY 1, 2) b USING (source, text)),
-boilerplate AS (SELECT source, line FROM held JOIN mostly USING (source, text) GROUP BY source, line, spread
-  HAVING 2 * count(DISTINCT text) FILTER (mostly) <= spread),
-removed AS (SELECT source, text, sum(nw) AS n FROM held JOIN boilerplate USING (source, line) GROUP BY 1, 2),
+frequent AS (SELECT source, line FROM norm GROUP BY 1, 2 HAVING count(DISTINCT text) > 10),
+removed AS (SELECT source, text, sum(nw) AS n FROM norm JOIN frequent USING (source, line) GROUP BY 1, 2),
 m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, length(array_to_string(words, '')) AS word_chars,
   length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
   CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed.n, 0) AS BIGINT) AS removed_words
