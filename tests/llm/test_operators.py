@@ -285,14 +285,10 @@ def test_quality_rules(traces, records):
     def lines(t):
         return [x for x in (" ".join(words(x.lower())) for x in t.split("\n")) if x]
 
-    limit, share = 3, 0.05
-    over, held = {}, {}
+    limit, over = 3, {}
     for c, group in texts.items():
         spread = Counter(x for t in group for x in set(lines(t)))
-        with_words = sum(bool(lines(t)) for t in group)
-        frequent = {x for x, n in spread.items() if n > limit and n > share * with_words}
-        mostly = {t for t in group if sum(len(x.split()) for x in lines(t) if x in frequent) > 0.5 * sum(len(x.split()) for x in lines(t))}
-        over[c] = {x for x in frequent if 2 * sum(x in lines(t) for t in mostly) <= spread[x]}
+        over[c] = {x for x, n in spread.items() if n > limit}
     assert any(over.values())
     want = []
     for r in records:
@@ -304,10 +300,22 @@ def test_quality_rules(traces, records):
         failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
         want.append((r[0], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(with_word) - len(set(with_word)), len(covered), failed,
                      not failed and len(w) - removed >= 10, removed))
-    rows = quality_rules(traces, max_traces=limit, max_share=share)
+    rows = quality_rules(traces, max_traces=limit)
     assert got(rows, "trial_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words") == bag(want)
 
 
+def test_line_limit_does_not_grow_with_the_host(spark):
+    """Stub pages of four shared lines are rejected, a notice is removed, in a small and in a large host alike."""
+    notice = " ".join(f"n{i}" for i in range(12))
+    shared = [" ".join(f"s{k}x{i}" for i in range(10)) for k in range(4)]
+    for ordinary in (500, 9000):
+        pages = [(i, "\n".join([*shared, " ".join(f"own{i}x{k}" for k in range(8))]), "h") for i in range(1000)]
+        pages += [(10_000 + i, " ".join(f"t{i}x{k}" for k in range(30)) + ("\n" + notice if i < 90 else ""), "h") for i in range(ordinary)]
+        out = {r.trial_id: r for r in quality_rules(spark.createDataFrame(pages, "trial_id int, text string, condition_id string")).collect()}
+        assert not any(out[i].kept for i in range(1000)) and all(out[10_000 + i].kept for i in range(ordinary))
+        assert {out[i].removed_words for i in range(1000)} == {40} and sum(out[10_000 + i].removed_words == 12 for i in range(ordinary)) == 90
+
+
 def test_remove_spread_lines(traces, records):
     spread = defaultdict(set)
     for r in records:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import discard, settle
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -22,8 +22,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         lower = settle(labels.join(near, F.col("node") == F.col("a")).select(
             "node", F.col("component").alias("old"), F.least("component", "seen").alias("component")), "labels")
         jump = lower.select(F.col("node").alias("at"), F.col("component").alias("beyond"))
-        labels = settle(lower.join(jump, F.col("component") == F.col("at"), "left").select(
+        found = settle(lower.join(jump, F.col("component") == F.col("at"), "left").select(
             "node", "old", F.least("component", "beyond").alias("component")), "labels")
-        if not labels.where("component <> old").limit(1).count():
+        discard(labels, lower)
+        labels = found
+        if labels.where("component <> old").isEmpty():
+            discard(edges)
             return labels.select("node", "component")
-        labels = labels.select("node", "component")
