@@ -434,7 +434,9 @@ def test_shard_traces(traces, records, spark):
 def test_score_cross_entropy(traces, records, spark):
     target = spark.createDataFrame([(1, "w1 w2 w1 w2 w1 w2 w3"), (2, None), (3, "W1 w2")], "trial_id bigint, text string")
     rows = score_cross_entropy(traces, target, word_share=1e-3, bigram_share=1e-3).collect()
-    vocabulary = {"w1", "w2"}  # twice in the target
+    corpora = [Counter(w for t in c for w in words((t or "").lower())) for c in (["w1 w2 w1 w2 w1 w2 w3", "W1 w2"], [r[1] for r in records])]
+    vocabulary = {w for c in corpora for w, n in c.items() if n >= max(2, 1e-3 * sum(c.values()))}
+    assert {"w1", "w2"} < vocabulary and len(vocabulary) > 100
 
     def model(texts):
         ids = [["<s>"] + [w if w in vocabulary else "?" for w in words((t or "").lower())] for t in texts]
@@ -452,7 +454,7 @@ def test_score_cross_entropy(traces, records, spark):
         for h, w in zip(x, x[1:]):
             weight = max(sum(c for p, c in pairs.items() if p[0] == h) + sum(p[0] == h for p in pairs), 1)
             share = {p: pairs[p] / weight for p in kept if p[0] == h}
-            total -= np.log2(share.get((h, w), 0) + max(1 - sum(share.values()), 1e-12) * (single[w] + types / 3) / (n + types))
+            total -= np.log2(share.get((h, w), 0) + max(1 - sum(share.values()), 1e-12) * (single[w] + types / (len(vocabulary) + 1)) / (n + types))
         return total / (len(x) - 1) if len(x) > 1 else 0.0
 
     want = {r[1]: (loss(models[0], r[1]), loss(models[1], r[1])) for r in records if len(r[1] or "") < 2000}

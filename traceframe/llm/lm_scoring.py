@@ -125,7 +125,7 @@ def fit_models(target: DataFrame, traces: DataFrame, word_share: float, bigram_s
     context = traces.sparkSession.sparkContext
     words = settle(both_counts(word_counts(target), word_counts(traces), "word"), "words")
     totals = words.agg(F.sum("target").alias("target"), F.sum("background").alias("background")).first()
-    listed = sorted((bytes(r["word"]), r["target"], r["background"]) for r in frequent(words, totals, word_share, ("target",)).collect())
+    listed = sorted((bytes(r["word"]), r["target"], r["background"]) for r in frequent(words, totals, word_share, ("target", "background")).collect())
     ids = {w: i + 2 for i, (w, _, _) in enumerate(listed)}
     shared = context.broadcast(ids)
     pairs = settle(both_counts(bigram_counts(target, shared), bigram_counts(traces, shared), "code"), "bigrams")
@@ -145,8 +145,8 @@ def score_cross_entropy(traces: DataFrame, target: DataFrame, word_share: float
     """Scores every whole text by how much better a target model predicts it than a background model.
 
     The target model is learned from the texts of ``target``, the background model from all ``traces``; both are
-    interpolated bigram models with the same smoothing over one vocabulary: the words that make up ``word_share`` of the
-    target or more (and occur twice there), all others being one unknown word to both.  Bigrams of ``bigram_share`` or more have counts of
+    interpolated bigram models with the same smoothing over one vocabulary: the words that make up ``word_share`` of either
+    corpus or more (and occur twice there), all others being one unknown word to both.  Bigrams of ``bigram_share`` or more have counts of
     their own, the rest back off.  Since at most 1 / share entries can have that share, models are bounded whatever the
     size of the corpora, and are broadcast; the counts they are made from are not, and follow the input.
 
