@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 
 import pytest
 from conftest import one, rows
@@ -25,6 +26,27 @@ def test_files_against_a_seal(spark, tmp_path):
         "traces.jsonl": "ok", "tasks.jsonl": "mismatch", "probes.jsonl": "missing", "extra.jsonl": "undeclared"}
 
 
+def test_seal_change_verify(spark):
+    """Every way a run can fail: units changed, lost or added, seals lost, cut off, altered or of other entries, other manifests."""
+    runs = ["good", "changed", "lost", "added", "no_seal", "cut", "altered", "foreign", "manifest", "no_manifest"]
+    units = spark.createDataFrame([(r, f"u{i}", hashlib.sha256(f"{r}{i}".encode()).hexdigest()) for r in runs for i in range(40)], "run_id string, name string, actual string")
+    manifests = spark.createDataFrame([(r, f"m-{r}") for r in runs], "run_id string, manifest_sha256 string")
+    entries = units.withColumnRenamed("actual", "expected")
+    run, name = F.col("run_id"), F.col("name")
+    seals = N.seal_table(units, manifests, leaf=4).where(run != "no_seal")
+    seals = seals.withColumn("entries_sha256", F.when(run == "foreign", F.lit("f" * 64)).when(run != "cut", F.col("entries_sha256")))
+    seals = seals.withColumn("seal_sha256", F.when(run == "foreign", N.seal_digest("run_id")).otherwise(F.col("seal_sha256")))
+    seals = seals.withColumn("n_units", F.when(run == "altered", 41).otherwise(F.col("n_units")))
+    now = units.where(~((run == "lost") & (name == "u7"))).withColumn("actual", F.when((run == "changed") & (name == "u3"), "0").otherwise(F.col("actual")))
+    now = now.unionByName(spark.createDataFrame([("added", "extra", "1")], now.schema))
+    current = manifests.where(run != "no_manifest").withColumn("manifest_sha256", F.when(run == "manifest", "other").otherwise(F.col("manifest_sha256")))
+    out = {r["run_id"]: r for r in rows(N.verify_runs(seals, entries, now, current, leaf=4))}
+    assert {r for r in runs if out[r]["passed"]} == {"good"}
+    assert {r: out[r]["seal"] for r in runs if out[r]["seal"] != "ok"} == {"no_seal": "missing", "cut": "corrupt", "altered": "corrupt", "foreign": "mismatching"}
+    assert (out["changed"]["n_mismatch"], out["lost"]["n_missing"], out["added"]["n_undeclared"]) == (1, 1, 1)
+    assert not out["manifest"]["manifest_ok"] and not out["no_manifest"]["manifest_ok"] and out["changed"]["manifest_ok"]
+
+
 def test_create_once(spark, tmp_path):
     E.write_once(spark.range(3).toDF("x"), f"{tmp_path}/t")
     with pytest.raises(AnalysisException):
@@ -93,3 +115,24 @@ def test_stream_ingest_is_exactly_once_and_picks_up_new_files(spark, tmp_path):
     assert run("all", keep) == ["1", "1"] and run("unique", first) == ["1"]
     (source / "b.json").write_text('{"trial_id": "1", "ts": "2024-01-01 00:20:00"}\n{"trial_id": "2", "ts": "2024-01-01 00:20:00"}\n')
     assert run("all", keep) == ["1", "1", "1", "2"] and run("unique", first) == ["1", "2"]
+
+
+def test_streams_forget_what_the_watermark_has_passed(spark, tmp_path):
+    """A file an hour: sessions are told once they are over, keys leave the state, late rows are dropped and counted."""
+    source = tmp_path / "in"
+    source.mkdir()
+    lines = lambda hour, extra=(): "\n".join(json.dumps({"trial_id": f"{hour}-{i}", "run": "r", "ts": f"2024-01-01 {hour:02}:{i // 2:02}:00"}) for i in range(20)) + "".join("\n" + x for x in extra)
+    late = json.dumps({"trial_id": "0-0", "run": "r", "ts": "2024-01-01 00:00:00"})
+    for hour in range(8):
+        (source / f"{hour}.json").write_text(lines(hour, [late] if hour == 5 else []))
+        os.utime(source / f"{hour}.json", (1_700_000_000 + hour, 1_700_000_000 + hour))
+    stream = lambda: S.file_stream(spark, str(source), "trial_id string, run string, ts timestamp", files_per_trigger=1)
+    unique = S.stream_ingest(S.first_arrivals(stream(), F.col("ts"), ["trial_id"], "30 minutes"), f"{tmp_path}/u", f"{tmp_path}/um")
+    unique.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/u").count() == 160 and S.late_rows(unique) == 1
+    assert max(S.state_rows(unique)) <= 60
+    sessions = S.stream_ingest(S.activity_sessions(stream(), F.col("ts"), "run", "10 minutes", "30 minutes"), f"{tmp_path}/s", f"{tmp_path}/sm")
+    sessions.awaitTermination()
+    told = rows(spark.read.parquet(f"{tmp_path}/s"), "active_from")
+    assert [(r["active_from"].hour, r["n_events"]) for r in told] == [(h, 20) for h in range(7)] and S.late_rows(sessions) == 1
+    assert max(S.state_rows(sessions)) <= 3

@@ -1,3 +1,6 @@
+import hashlib
+from collections import Counter, defaultdict
+
 import pytest
 from conftest import one, rows
 from pyspark.sql import functions as F
@@ -96,14 +99,53 @@ def test_compact_refuses_raw_columns(spark):
         D.compact_draws(records(spark, trial("A", 0, 0)), ["presentation_id"], ["tokens"])
 
 
-def test_set_digest_ignores_order_and_matches_the_flat_form(spark):
-    import hashlib
-
-    df = spark.createDataFrame([("g", x) for x in ("b", "a", "c")], "g string, x string")
-    flat = one(P.set_digest(df, ["g"], F.col("x"), hex_digits=0))["digest"]
-    assert flat == hashlib.sha256(b"a\nb\nc").hexdigest()
-    a = one(P.set_digest(df, ["g"], F.col("x")))["digest"]
-    assert a == one(P.set_digest(df.orderBy("x").repartition(3), ["g"], F.col("x")))["digest"] != flat
+def plain_tree(items, leaf, digits=None):
+    """The digest tree by its definition."""
+    counts = Counter(items)
+    if digits is None:
+        digits = next(d for d in (0, 2, 4, 6, 8) if len(counts) <= leaf * 16**d)
+    level = defaultdict(list)
+    for i, n in counts.items():
+        level[hashlib.md5(i.encode()).hexdigest()[:digits]].append(i if n == 1 else f"{i}\t{n}")
+    folded = {p: hashlib.sha256("\n".join(sorted(x)).encode()).hexdigest() for p, x in level.items()}
+    while digits:
+        digits -= 2
+        level = defaultdict(list)
+        for p, d in folded.items():
+            level[p[:digits]].append(f"{p}:{d}")
+        folded = {p: hashlib.sha256("\n".join(sorted(x)).encode()).hexdigest() for p, x in level.items()}
+    return folded[""]
+
+
+@pytest.mark.parametrize("leaf", [256, 20, 1])
+def test_set_digest_is_a_tree_of_bounded_digests(spark, leaf):
+    """Small sets have the plain digest; order and partitions do not matter; repeats do; a group may be much larger than others."""
+    groups = {"g": ["b", "a", "c"], "h": [f"x{i}" for i in range(900)], None: ["only"], "twice": ["a", "a", "b"], "hot": ["same"] * 3000 + ["other"]}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs] + [("g", None), ("void", None)], "g string, x string")
+    got = {r["g"]: r["digest"] for r in rows(P.set_digest(df, ["g"], F.col("x"), leaf=leaf))}
+    assert got == {g: plain_tree(xs, leaf) for g, xs in groups.items()}
+    assert got == {r["g"]: r["digest"] for r in rows(P.set_digest(df.orderBy("x").repartition(3), ["g"], F.col("x"), leaf=leaf))}
+    if leaf == 256:
+        assert got["g"] == hashlib.sha256(b"a\nb\nc").hexdigest()
+
+
+def test_every_lock_field_is_compared(spark):
+    """One population for each way a lock can differ, one that fits, one without a lock, one that only expects other executions."""
+    fields = [*P.LOCK_FIELDS, *P.SPEC_FIELDS, "population_key"]
+    names = [f"p{i}" for i in range(len(fields))] + ["same", "fresh", "design"]
+    tasks = spark.createDataFrame([(p, f"{p}-t{i}", f"{p}-q{i}", f"s{i}", "fam", "easy") for p in names for i in range(3)],
+                                  "population string, task_id string, presentation_id string, signature string, family string, level string")
+    specs = spark.createDataFrame([(p, "pop-1", "pack", "gen", "main", 1, "plain", 3, 9) for p in names],
+                                  "population string, population_key string, task_pack string, generator_version string, split string, task_seed int, prompt_policy string, n_per_family int, expected_executions int")
+    fresh = P.population_lock(tasks, specs)
+    stored = fresh.where("population <> 'fresh'")
+    for p, f in zip(names, fields):
+        kind = stored.schema[f].dataType
+        stored = stored.withColumn(f, F.when(F.col("population") == p, F.lit("0").cast(kind)).otherwise(F.col(f)))
+    stored = stored.withColumn("expected_executions", F.when(F.col("population") == "design", 1).otherwise(F.col("expected_executions")))
+    out = {r["population"]: r for r in rows(P.lock_verify(fresh, stored))}
+    assert {p: out[p]["mismatches"] for p in names} == {**{p: [f] for p, f in zip(names, fields)}, "same": [], "fresh": [], "design": []}
+    assert len(fields) == 13 and not out["fresh"]["locked"] and out["design"]["ok"]
 
 
 def test_gold_must_exist(spark):

@@ -6,6 +6,7 @@ from ..operators import transitions as T
 from ..session import scratch_path
 from ..sources import evidence as E
 from ..sources import integrity as N
+from .population import digest_sql
 from .registry import query
 from .scalars import STATUS_SQL
 from .transitions import OUTCOME, flag
@@ -146,12 +147,42 @@ def _(t):
     return N.file_integrity(t("sealed"), t("actual"))
 
 
-@query("seal_table", """SELECT run_id, n AS n_units, sha256(string_agg(p, chr(10) ORDER BY p)) AS seal_sha256 FROM (
-  SELECT run_id, sum(count(*)) OVER (PARTITION BY run_id) AS n, substr(md5(i), 1, 3) || ':' || sha256(string_agg(i, chr(10) ORDER BY i)) AS p
-  FROM (SELECT run_id, name || ':' || actual AS i FROM actual) x GROUP BY run_id, substr(md5(i), 1, 3)) y GROUP BY run_id, n""".replace(
-    "SELECT run_id, n AS n_units", "SELECT run_id, CAST(n AS BIGINT) AS n_units"))
+ENTRIES = digest_sql("name || ':' || actual", "actual", "entries_sha256", "run_id")
+SEALED = digest_sql("name || ':' || expected", "sealed", "root", "run_id")
+MANIFESTS = "SELECT run_id, sha256(run_id) AS manifest_sha256 FROM (SELECT DISTINCT run_id FROM actual) r"
+SEAL = "sha256(run_id || chr(10) || n_units || chr(10) || entries_sha256 || chr(10) || coalesce(manifest_sha256, ''))"
+
+
+@query("seal_table", f"""SELECT *, {SEAL} AS seal_sha256 FROM (SELECT run_id, count(*) AS n_units FROM actual GROUP BY 1) n JOIN {ENTRIES} e USING (run_id)
+JOIN ({MANIFESTS}) m USING (run_id)""")
+def _(t):
+    return N.seal_table(t("actual"), manifests(t))
+
+
+def manifests(t):
+    return t("actual").select("run_id").distinct().withColumn("manifest_sha256", F.sha2("run_id", 256))
+
+
+# Seals over the sealed entries; some are lost, cut off or of other entries, and one manifest was changed since.
+@query("run_verification", f"""WITH made AS (SELECT *, {SEAL} AS seal_sha256 FROM (
+    SELECT run_id, n_units, CASE WHEN run_id = 'src3' THEN sha256('other') ELSE root END AS entries_sha256, manifest_sha256
+    FROM (SELECT run_id, count(*) AS n_units FROM sealed GROUP BY 1) n JOIN {SEALED} e USING (run_id) JOIN ({MANIFESTS}) m USING (run_id)) x),
+seals AS (SELECT * REPLACE (CASE WHEN run_id = 'src2' THEN NULL ELSE seal_sha256 END AS seal_sha256) FROM made WHERE run_id <> 'src1'),
+units AS (SELECT run_id, count(*) FILTER (expected = actual) AS n_ok, count(*) FILTER (expected <> actual) AS n_mismatch, count(*) FILTER (expected IS NULL) AS n_undeclared,
+  count(*) FILTER (actual IS NULL) AS n_missing FROM (SELECT * FROM sealed WHERE run_id <> 'src5') s FULL JOIN (SELECT * FROM actual WHERE run_id <> 'src5' UNION ALL
+    SELECT run_id, name, expected FROM sealed WHERE run_id = 'src5') a USING (run_id, name) GROUP BY 1),
+u AS (SELECT run_id, CASE WHEN run_id = 'src5' THEN n_undeclared ELSE n_ok END AS n_ok, n_mismatch, CASE WHEN run_id = 'src5' THEN 0 ELSE n_undeclared END AS n_undeclared, n_missing FROM units),
+v AS (SELECT run_id, CASE WHEN s.n_units IS NULL THEN 'missing' WHEN seal_sha256 IS NULL THEN 'corrupt' WHEN run_id = 'src3' THEN 'mismatching' ELSE 'ok' END AS seal,
+  s.n_units IS NOT NULL AND run_id <> 'src4' AS manifest_ok, n_ok, n_mismatch, n_undeclared, n_missing FROM u LEFT JOIN seals s USING (run_id))
+SELECT *, seal = 'ok' AND manifest_ok AND n_mismatch + n_undeclared + n_missing = 0 AS passed FROM v""")
 def _(t):
-    return N.seal_table(t("actual"))
+    sealed, src = t("sealed"), F.col("run_id")
+    actual = t("actual").where(src != "src5").unionByName(sealed.where(src == "src5").withColumnRenamed("expected", "actual"))
+    made = N.seal_table(sealed, manifests(t), digest="expected")
+    made = made.withColumn("entries_sha256", F.when(src == "src3", F.sha2(F.lit("other"), 256)).otherwise(F.col("entries_sha256")))
+    seals = made.withColumn("seal_sha256", F.when(src != "src2", N.seal_digest("run_id"))).where(src != "src1")
+    changed = manifests(t).withColumn("manifest_sha256", F.when(src == "src4", F.lit("0")).otherwise(F.col("manifest_sha256")))
+    return N.verify_runs(seals, sealed, actual, changed)
 
 
 FAULTY = """w AS (SELECT *, wall_ms > 100000 AS cut, wall_ms < 950 AS no_term, wall_ms BETWEEN 2000 AND 2100 AS no_mode, wall_ms BETWEEN 3000 AND 3050 AS odd_cond,

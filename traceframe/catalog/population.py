@@ -326,47 +326,76 @@ def _(t):
     return P.disjointness(t("tasks"), "family", ("en", "fr"), ["signature", "population"])
 
 
-def digest_sql(item, source, name):
-    return f"""(SELECT population, sha256(string_agg(p, chr(10) ORDER BY p)) AS {name} FROM (
-      SELECT population, substr(md5(i), 1, 3) || ':' || sha256(string_agg(i, chr(10) ORDER BY i)) AS p
-      FROM (SELECT population, {item} AS i FROM {source}) x GROUP BY population, substr(md5(i), 1, 3)) y GROUP BY 1)"""
-
-
-@query("set_digest", f"""SELECT population AS name, 'bucketed' AS form, bucketed AS digest FROM {digest_sql('task_id', 'tasks', 'bucketed')} d
-UNION ALL SELECT family, 'flat', sha256(string_agg(population, chr(10) ORDER BY population)) FROM (SELECT DISTINCT family, population FROM tasks) z GROUP BY 1""")
+def digest_sql(item, source, name, group="population"):
+    """Root of the digest tree of each group, for up to 256 x 256 items: one digest, or 256 buckets and their fold."""
+    return f"""(SELECT {group}, CASE WHEN max(d) = 0 THEN max(dg) ELSE sha256(string_agg(p || ':' || dg, chr(10) ORDER BY p)) END AS {name} FROM (
+      SELECT {group}, d, substr(md5(i), 1, d) AS p, sha256(string_agg(leaf, chr(10) ORDER BY leaf)) AS dg FROM (
+        SELECT *, CASE WHEN count(*) OVER (PARTITION BY {group}) <= 256 THEN 0 ELSE 2 END AS d FROM (
+          SELECT {group}, i, CASE WHEN count(*) = 1 THEN i ELSE i || chr(9) || count(*) END AS leaf
+          FROM (SELECT {group}, {item} AS i FROM {source}) x GROUP BY {group}, i) y) z GROUP BY {group}, d, substr(md5(i), 1, d)) w GROUP BY {group})"""
+
+
+@query("set_digest", f"""SELECT population AS name, 'ids' AS form, ids AS digest FROM {digest_sql('task_id', 'tasks', 'ids')} d
+UNION ALL SELECT family, 'members', members FROM {digest_sql('task_id', 'tasks', 'members', 'family')} e
+UNION ALL SELECT family, 'populations', populations FROM {digest_sql('population', 'tasks', 'populations', 'family')} f""")
 def _(t):
     tasks = t("tasks")
-    bucketed = P.set_digest(tasks, ["population"], F.col("task_id"), name="digest")
-    pools = tasks.select("family", "population").distinct()
-    flat = P.set_digest(pools, ["family"], F.col("population"), hex_digits=0, name="digest")
-    return bucketed.select(F.col("population").alias("name"), F.lit("bucketed").alias("form"), "digest").unionByName(
-        flat.select(F.col("family").alias("name"), F.lit("flat").alias("form"), "digest"))
+    forms = [("population", "ids", "task_id"), ("family", "members", "task_id"), ("family", "populations", "population")]
+    out = [P.set_digest(tasks, [g], F.col(c)).select(F.col(g).alias("name"), F.lit(form).alias("form"), "digest") for g, form, c in forms]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def lock_sql(source):
+def lock_sql(source, specs):
     return f"""(SELECT population, (SELECT count(*) FROM {source} s WHERE s.population = p.population) AS n_tasks, a.task_ids_sha256, b.presentation_ids_sha256,
   c.structural_signature_sha256, (SELECT string_agg(l || '=' || n, ',' ORDER BY l) FROM (SELECT family AS l, count(*) AS n FROM {source} s WHERE s.population = p.population GROUP BY 1)) AS family_counts,
-  (SELECT string_agg(l || '=' || n, ',' ORDER BY l) FROM (SELECT level AS l, count(*) AS n FROM {source} s WHERE s.population = p.population GROUP BY 1)) AS difficulty_counts
+  (SELECT string_agg(l || '=' || n, ',' ORDER BY l) FROM (SELECT level AS l, count(*) AS n FROM {source} s WHERE s.population = p.population GROUP BY 1)) AS difficulty_counts, sp.* EXCLUDE (population)
 FROM (SELECT DISTINCT population FROM {source}) p JOIN {digest_sql('task_id', source, 'task_ids_sha256')} a USING (population)
 JOIN {digest_sql('presentation_id', source, 'presentation_ids_sha256')} b USING (population)
-JOIN {digest_sql("task_id || ':' || signature", source, 'structural_signature_sha256')} c USING (population))"""
+JOIN {digest_sql("task_id || ':' || signature", source, 'structural_signature_sha256')} c USING (population) JOIN ({specs}) sp USING (population))"""
+
+
+# Specifications of the populations; the stored locks hold another value of one field each, and one another key.
+LOCKED = {"task_pack": ("src8", "'pack-1'", "'pack-0'"), "generator_version": ("src9", "'gen-2'", "'gen-1'"), "split": ("src10", "'main'", "'pilot'"),
+          "task_seed": ("src11", "CAST(substr(population, 4) AS BIGINT)", "CAST(-1 AS BIGINT)"), "prompt_policy": ("src12", "'plain'", "'terse'"),
+          "n_per_family": ("src13", "CAST(20 AS BIGINT)", "CAST(10 AS BIGINT)")}
+SPEC_KEY = sql_id("pop", """('{"families":["arith","path"],"n_per_family":20,"prompt_policy":"plain","split":"main","task_pack":"pack-1","task_seed":' || substr(population, 4) || '}')""")
+
+
+def specs_sql(stored):
+    fields = ", ".join(f"CASE WHEN {stored} AND population = '{p}' THEN {old} ELSE {new} END AS {f}" for f, (p, new, old) in LOCKED.items())
+    return f"""SELECT population, CASE WHEN {stored} AND population = 'src14' THEN 'pop-other' ELSE {SPEC_KEY} END AS population_key, {fields},
+  CAST({'30' if stored == 'true' else '40'} AS BIGINT) AS expected_executions FROM (SELECT DISTINCT source AS population FROM documents) q"""
+
+
+def lock_specs(t, stored):
+    """The same by the library: keys are hashed from the fields."""
+    populations = t("tasks").select("population").distinct()
+    seed = F.substring("population", 4, 9).cast("bigint")
+    spec = {"task_pack": F.lit("pack-1"), "split": F.lit("main"), "task_seed": seed, "prompt_policy": F.lit("plain"), "n_per_family": F.lit(20)}
+    families = F.array(F.lit("path"), F.lit("arith"))
+    key = I.population_key(spec, families, families)
+    cases = {f: (F.lit(stored) & (F.col("population") == p), F.expr(new), F.expr(old)) for f, (p, new, old) in LOCKED.items()}
+    return populations.select(
+        "population", F.when(F.lit(stored) & (F.col("population") == "src14"), "pop-other").otherwise(key).alias("population_key"),
+        *[F.when(changed, old).otherwise(new).alias(f) for f, (changed, new, old) in cases.items()],
+        F.lit(30 if stored else 40).cast("bigint").alias("expected_executions"))
 
 
-@query("population_lock", f"SELECT * FROM {lock_sql('tasks')} x")
+@query("population_lock", f"SELECT * FROM {lock_sql('tasks', specs_sql('false'))} x")
 def _(t):
-    return P.population_lock(t("tasks"))
+    return P.population_lock(t("tasks"), lock_specs(t, False))
 
 
-LOCK_CASES = ", ".join(f"CASE WHEN f.{c} <> o.{c} THEN '{c}' END" for c in P.LOCK_FIELDS)
+COMPARED = [*P.LOCK_FIELDS, *P.SPEC_FIELDS]
+LOCK_CASES = ", ".join(f"CASE WHEN f.population_key = o.population_key AND f.{c} <> o.{c} THEN '{c}' END" for c in COMPARED)
 
 
 @query("lock_verify", f"""SELECT population, o.n_tasks IS NOT NULL AS locked, coalesce(m, '') = '' AS ok, coalesce(m, '') AS mismatches FROM (
-SELECT population, o, array_to_string(list_filter([
-{LOCK_CASES}], lambda x: x IS NOT NULL), '; ') AS m
-FROM {lock_sql('tasks')} f LEFT JOIN (SELECT * FROM {lock_sql('old_tasks')} z WHERE population <> 'src7') o USING (population)) v""")
+SELECT population, o, array_to_string(list_filter([CASE WHEN f.population_key <> o.population_key THEN 'population_key' END, {LOCK_CASES}], lambda x: x IS NOT NULL), '; ') AS m
+FROM {lock_sql('tasks', specs_sql('false'))} f LEFT JOIN (SELECT * FROM {lock_sql('old_tasks', specs_sql('true'))} z WHERE population <> 'src7') o USING (population)) v""")
 def _(t):
-    old = P.population_lock(t("old_tasks")).where(F.col("population") != "src7")
-    out = P.lock_verify(P.population_lock(t("tasks")), old)
+    old = P.population_lock(t("old_tasks"), lock_specs(t, True)).where(F.col("population") != "src7")
+    out = P.lock_verify(P.population_lock(t("tasks"), lock_specs(t, False)), old)
     return out.withColumn("mismatches", F.array_join("mismatches", "; "))
 
 

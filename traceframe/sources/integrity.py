@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import join_null_safe
-from ..operators.population import set_digest
+from ..operators.population import LEAF, set_digest
 from ..session import settle
 from .schemas import CORRUPT
 
@@ -49,12 +49,59 @@ def file_integrity(sealed: DataFrame, actual: DataFrame, run: str = "run_id", na
     return merged.withColumn("status", status)
 
 
-def seal_table(units: DataFrame, run: str = "run_id", name: str = "name", digest: str = "actual",
-               hex_digits: int = 3) -> DataFrame:
-    """Seal row per run: number of units and one digest over all ``name:sha256`` entries."""
+def seal_table(units: DataFrame, manifests: DataFrame | None = None, run: str = "run_id", name: str = "name", digest: str = "actual",
+               leaf: int = LEAF) -> DataFrame:
+    """Seal row per run: number of units, the root of the digest tree over its ``name:sha256`` entries, the digest of its manifest
+    (``manifests``: run, ``manifest_sha256``), and the seal's own digest over them.
+
+    The entries are the units themselves: what a run had when it was sealed is kept as a table beside its seal.
+    """
     counts = units.groupBy(run).agg(F.count(F.lit(1)).alias("n_units"))
-    sealed = set_digest(units, [run], F.concat_ws(":", name, digest), hex_digits, "seal_sha256")
-    return join_null_safe(counts, sealed, [run])
+    sealed = join_null_safe(counts, set_digest(units, [run], F.concat_ws(":", name, digest), "entries_sha256", leaf), [run])
+    if manifests is None:
+        sealed = sealed.withColumn("manifest_sha256", F.lit(None).cast("string"))
+    else:
+        sealed = join_null_safe(sealed, manifests.select(run, "manifest_sha256"), [run], "left")
+    return sealed.withColumn("seal_sha256", seal_digest(run))
+
+
+def seal_digest(run: str) -> Column:
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (run, "n_units", "entries_sha256", "manifest_sha256")]
+    return F.sha2(F.concat_ws("\n", *parts), 256)
+
+
+def verify_runs(seals: DataFrame, sealed: DataFrame, actual: DataFrame, manifests: DataFrame, run: str = "run_id", name: str = "name",
+                leaf: int = LEAF) -> DataFrame:
+    """Verdict per run that is sealed or present, from seals, sealed entries (``expected``), units (``actual``) and manifests.
+
+    ``seal`` is ``missing`` without a seal, ``corrupt`` when a field is absent or its own digest does not fit, ``mismatching`` when
+    the sealed entries are not those it was made over, else ``ok``.  A run passes with an intact seal, the sealed manifest
+    and every unit as sealed.
+    """
+    found = file_integrity(sealed, actual, run, name).groupBy(run).agg(*[
+        F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "mismatch", "undeclared", "missing")])
+    # the fields of a seal, what its entries give now, and the manifest: one row per run and source, met in an aggregate
+    kinds = {"n_units": "bigint", "entries_sha256": "string", "manifest_sha256": "string", "seal_sha256": "string", "__fits": "boolean",
+             "__entries": "string", "__manifest": "string", **{f"n_{s}": "bigint" for s in ("ok", "mismatch", "undeclared", "missing")}}
+
+    def part(df: DataFrame, **columns: Column) -> DataFrame:
+        return df.select(run, *[columns.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+    fields = {c: F.col(c) for c in ("n_units", "entries_sha256", "manifest_sha256", "seal_sha256")}
+    roots = set_digest(sealed, [run], F.concat_ws(":", name, "expected"), "root", leaf)
+    rows = part(seals, **fields, __fits=F.coalesce(seal_digest(run) == F.col("seal_sha256"), F.lit(False)))
+    rows = rows.unionByName(part(roots, __entries=F.col("root"))).unionByName(part(manifests, __manifest=F.col("manifest_sha256")))
+    rows = rows.unionByName(part(found, **{c: F.col(c) for c in kinds if c.startswith("n_") and c != "n_units"}))
+    merged = rows.groupBy(run).agg(*[F.max(c).alias(c) for c in kinds])
+    absent = F.col("entries_sha256").isNull() | F.col("seal_sha256").isNull() | ~F.col("__fits")
+    state = (
+        F.when(F.col("__fits").isNull(), "missing").when(absent, "corrupt")
+        .when(~F.col("entries_sha256").eqNullSafe(F.col("__entries")), "mismatching").otherwise("ok")
+    )
+    manifest_ok = F.coalesce(F.col("manifest_sha256") == F.col("__manifest"), F.lit(False))
+    counts = [F.coalesce(f"n_{s}", F.lit(0).cast("bigint")).alias(f"n_{s}") for s in ("ok", "mismatch", "undeclared", "missing")]
+    out = merged.select(run, state.alias("seal"), manifest_ok.alias("manifest_ok"), *counts)
+    return out.withColumn("passed", (F.col("seal") == "ok") & F.col("manifest_ok") & (F.col("n_mismatch") + F.col("n_undeclared") + F.col("n_missing") == 0))
 
 
 # Identity fields of a record that must agree with its run's declaration.
