@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
+from ..operators.pairing import pair_records, paired_draws, paired_population
+from ..operators.population import PROJECTION, population_audit
 from ..plans import comparison as C
-from .population import PAIRS
+from .population import KEYS, PAIRS
 from .registry import query
 from .scalars import STATUS_SQL
 from .shared_sql import resample_means
@@ -129,17 +131,68 @@ def _(t):
     return C.paired_precision(t("records"), ["condition_id"], "task_id", "wall_ms")
 
 
-def study_sql(label, where):
-    body = PANEL.replace("FROM records WHERE arm", f"FROM records WHERE {where} AND arm").replace("FROM records r WHERE", f"FROM records r WHERE {where} AND").replace(
-        "AS st FROM records)", f"AS st FROM records WHERE {where})")
-    return f"""SELECT '{label}' AS label, n_clusters, n_obs, mean AS closure_rate_delta, lo AS closure_rate_lo, hi AS closure_rate_hi,
-      CAST(NULL AS DOUBLE) AS pooled FROM (WITH {body}) p WHERE metric = 'reasoning_closure_rate'"""
+# ---- several pairs in one job ---------------------------------------------------------------------------------
+# (label, run of arm A, run of arm B, mode); a run is an arm at a difficulty
+STUDIES = [("calibration", "A-easy", "B-easy", None), ("extension", "A-medium", "B-medium", None), ("replication", "A-hard", "B-hard", None)]
+COMPARED = [("sampled", "A-easy", "B-easy", "sampled"), ("greedy", "A-easy", "B-easy", "greedy"), ("swapped", "B-hard", "A-hard", "sampled"),
+            ("all", "A-medium", "B-medium", None), ("alone", "A-easy", "B-none", None)]
 
 
-@query("cross_study", f"{study_sql('calibration', chr(39) + 'easy' + chr(39) + ' = difficulty')} UNION ALL {study_sql('extension', chr(39) + 'medium' + chr(39) + ' = difficulty')} UNION ALL {study_sql('replication', chr(39) + 'hard' + chr(39) + ' = difficulty')}")
+def pair_sql(body, pairs=COMPARED, label="pair_id", more=""):
+    """The query `body` over `records`, once for every pair, with the pair's records in its place."""
+    parts = []
+    for name, run_a, run_b, mode in pairs:
+        rows = " UNION ALL ".join(
+            f"SELECT * REPLACE ('{arm}' AS arm) FROM records WHERE arm || '-' || difficulty = '{run}'" + (f" AND mode = '{mode}'" if mode else "")
+            for arm, run in (("A", run_a), ("B", run_b)))
+        parts.append(f"SELECT '{name}' AS {label}, * FROM (WITH records AS (SELECT * FROM ({rows}) r) {body}) p {more}")
+    return " UNION ALL ".join(parts)
+
+
+def of_pairs(t, pairs=COMPARED):
+    records = t("records").withColumn("run_id", F.concat_ws("-", "arm", "difficulty"))
+    return pair_records(records, t.spark.createDataFrame(pairs, "pair_id string, run_a string, run_b string, mode string"))
+
+
+STUDY = pair_sql(f", {PANEL}", STUDIES, "label", "WHERE metric = 'reasoning_closure_rate'")
+
+
+@query("cross_study", f"""SELECT label, n_clusters, n_obs, mean AS closure_rate_delta, lo AS closure_rate_lo, hi AS closure_rate_hi, CAST(NULL AS DOUBLE) AS pooled
+FROM ({STUDY}) s""")
+def _(t):
+    return C.cross_study(C.metric_panel(of_pairs(t, STUDIES), n_resamples=PANEL_R, by=["pair_id"]))
+
+
+@query("pair_panels", pair_sql(f", {PANEL}", [c for c in COMPARED if c[0] != "alone"]) + f""" UNION ALL SELECT 'alone', metric, 0, 0, NULL, NULL, NULL, NULL,
+  round(ns, 6), NULL, round(ns, 6), 'insufficient_data', 0, NULL, NULL, 0, NULL, NULL, false FROM (SELECT m.metric, n.ns FROM (SELECT DISTINCT metric FROM (
+    {long_sql('(SELECT *, ' + STATUS_SQL + ' AS st FROM records)')}) x) m LEFT JOIN (
+  SELECT metric, avg(sd) AS ns FROM (SELECT metric, task_id, seed, stddev_samp(value) AS sd FROM ({long_sql("(SELECT *, " + STATUS_SQL + " AS st FROM records WHERE arm = 'A' AND difficulty = 'easy')")}) y
+    WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) > 1) z GROUP BY 1) n USING (metric)) q""")
+def _(t):
+    return C.metric_panel(of_pairs(t), n_resamples=PANEL_R, by=["pair_id"])
+
+
+@query("pair_populations", pair_sql(f""", {PAIRS} SELECT count(*) AS n_draws_a, count(*) AS n_draws_b,
+  count(*) FILTER (NOT ambiguous_a) AS n_usable_draws_a, count(*) FILTER (NOT ambiguous_b) AS n_usable_draws_b,
+  count(*) FILTER (NOT ambiguous_a AND NOT ambiguous_b) AS n_paired_draws, count(*) FILTER (ambiguous_a) AS n_ambiguous_a,
+  count(*) FILTER (ambiguous_b) AS n_ambiguous_b, count(*) FILTER (NOT ambiguous_a AND ambiguous_b) AS n_unpaired_a,
+  count(*) FILTER (NOT ambiguous_b AND ambiguous_a) AS n_unpaired_b FROM pairs HAVING count(*) > 0"""))
+def _(t):
+    return paired_population(paired_draws(of_pairs(t), ["trial_id"], by=["pair_id"]), ["pair_id"])
+
+
+@query("pair_audits", pair_sql(f""", sides AS (SELECT presentation_id, condition_id, mode, seed, repeat, bool_or(arm = 'A') AS a, bool_or(arm = 'B') AS b,
+    count(*) FILTER (arm = 'A') AS na, count(*) FILTER (arm = 'B') AS nb FROM records GROUP BY ALL),
+  wanted AS (SELECT DISTINCT presentation_id, condition_id, mode, seed, repeat FROM records),
+  trials AS (SELECT {KEYS}, bool_or(arm = 'A') AS a, bool_or(arm = 'B') AS b FROM records GROUP BY ALL)
+SELECT (SELECT count(*) FROM records WHERE arm = 'A') AS observed_executions_a, (SELECT count(*) FROM records WHERE arm = 'B') AS observed_executions_b,
+  (SELECT count(*) FROM trials WHERE a AND b) AS matched_pairs, (SELECT count(*) FROM wanted) AS expected_trials_a, (SELECT count(*) FROM wanted) AS expected_trials_b,
+  count(*) FILTER (NOT a) AS missing_trials_a, count(*) FILTER (NOT b) AS missing_trials_b, CAST(0 AS BIGINT) AS unexpected_trials_a, CAST(0 AS BIGINT) AS unexpected_trials_b
+FROM sides"""))
 def _(t):
-    records = t("records")
-    return C.cross_study({
-        label: C.metric_panel(records.where(F.col("difficulty") == level), n_resamples=PANEL_R)
-        for label, level in (("calibration", "easy"), ("extension", "medium"), ("replication", "hard"))
-    })
+    # both arms declare what either of them holds
+    records = of_pairs(t)
+    wanted = records.select("pair_id", *PROJECTION).distinct().withColumn("arm", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    audit = population_audit(records, wanted, wanted.select("pair_id", "arm", "presentation_id").distinct(), by=["pair_id"])
+    return audit.select("pair_id", "observed_executions_a", "observed_executions_b", "matched_pairs", *[
+        f"{k}_trials_{s}" for k in ("expected", "missing", "unexpected") for s in "ab"])

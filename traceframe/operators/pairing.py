@@ -37,8 +37,21 @@ def dedupe_last(records: DataFrame, key: Sequence[str], order: Sequence[str], ke
     return last.select(*key, *[F.col(f"__l.__k_{c}").alias(c) for c in keep])
 
 
+def pair_records(records: DataFrame, pairs: DataFrame, run: str = "run_id") -> DataFrame:
+    """Executions of every compared pair: the records with ``pair_id`` and their ``arm`` (A or B) in it.
+
+    ``pairs`` has a row per comparison: ``pair_id, run_a, run_b, mode``; a null mode takes executions of all modes.  A run
+    may be in any number of pairs and in both arms.  The records meet the list of pairs once, in one join on the run;
+    operators then take ``by=["pair_id"]`` and handle all pairs in one job.
+    """
+    sides = F.array(*[F.struct(F.col(f"run_{t}").alias("__run"), F.lit(a).alias("arm")) for t, a in (("a", "A"), ("b", "B"))])
+    listed = pairs.select("pair_id", F.col("mode").alias("__mode"), F.inline(sides))
+    met = records.drop("arm", "pair_id").join(listed, F.col(run) == F.col("__run"))
+    return met.where(F.col("__mode").isNull() | (F.col("mode") == F.col("__mode"))).drop("__run", "__mode")
+
+
 def paired_draws(records: DataFrame, keep: Sequence[str], arm: str = "arm", arms: tuple[str, str] = ("A", "B"),
-                 order: Sequence[str] = ORDER, tokens: str = "tokens") -> DataFrame:
+                 order: Sequence[str] = ORDER, tokens: str = "tokens", by: Sequence[str] = ()) -> DataFrame:
     """One row per draw over the matched trials with the state of both arms.
 
     ``a`` and ``b`` hold the representative's ``keep`` columns and are null when
@@ -52,19 +65,19 @@ def paired_draws(records: DataFrame, keep: Sequence[str], arm: str = "arm", arms
             out += make(tag, value)
         return out
 
-    trials = with_digest(records, tokens).groupBy(*TRIAL_KEY).agg(*per_arm(lambda t, v: [
+    trials = with_digest(records, tokens).groupBy(*by, *TRIAL_KEY).agg(*per_arm(lambda t, v: [
         F.count(side(arm, v, F.lit(1))).alias(f"n_{t}"),
         F.min(side(arm, v, F.col("__dig"))).alias(f"lo_{t}"),
         F.max(side(arm, v, F.col("__dig"))).alias(f"hi_{t}"),
         F.min(side(arm, v, state)).alias(f"first_{t}"),
     ]))
-    draws = trials.where("n_a > 0 AND n_b > 0").groupBy(*PAIR_KEY).agg(*per_arm(lambda t, v: [
+    draws = trials.where("n_a > 0 AND n_b > 0").groupBy(*by, *PAIR_KEY).agg(*per_arm(lambda t, v: [
         F.sum(f"n_{t}").alias(f"n_executions_{t}"),
         (F.min(f"lo_{t}") != F.max(f"hi_{t}")).alias(f"ambiguous_{t}"),
         F.min(f"first_{t}").alias(f"first_{t}"),
     ]))
     return draws.select(
-        *PAIR_KEY,
+        *by, *PAIR_KEY,
         *per_arm(lambda t, v: [F.col(f"n_executions_{t}"), F.col(f"ambiguous_{t}")]),
         *per_arm(lambda t, v: [
             F.when(~F.col(f"ambiguous_{t}"), F.struct(*[F.col(f"first_{t}.__k_{c}").alias(c) for c in keep])).alias(t)
@@ -88,12 +101,12 @@ def paired_population(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def unpaired_examples(pairs: DataFrame, limit: int = 3) -> DataFrame:
+def unpaired_examples(pairs: DataFrame, limit: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """First ``limit`` unpaired draws of each arm in key order (the limit is what the report shows)."""
     lone = pairs.where(F.col("ambiguous_a") != F.col("ambiguous_b")).select(
-        F.when(F.col("ambiguous_b"), "A").otherwise("B").alias("arm"), *PAIR_KEY
+        *by, F.when(F.col("ambiguous_b"), "A").otherwise("B").alias("arm"), *PAIR_KEY
     )
-    rank = F.row_number().over(Window.partitionBy("arm").orderBy(*PAIR_KEY))
+    rank = F.row_number().over(Window.partitionBy(*by, "arm").orderBy(*PAIR_KEY))
     return lone.withColumn("example", rank).where(F.col("example") <= limit)
 
 

@@ -272,8 +272,8 @@ def with_pair_columns(records: DataFrame) -> DataFrame:
     return records.withColumn("status", record_status()).withColumn("scorable", F.col("answer_normalized").isNotNull())
 
 
-def paired_outcomes(pairs: DataFrame) -> DataFrame:
-    """Long contingency table (dimension, level, kind, label, n) over every matched draw.
+def paired_outcomes(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Long contingency table (``by``, dimension, level, kind, label, n) over every matched draw.
 
     A draw that is ambiguous in an arm is labelled, not dropped.  ``neither`` in
     success_at_budget does not mean both answered incorrectly.
@@ -292,31 +292,33 @@ def paired_outcomes(pairs: DataFrame) -> DataFrame:
     rows += [("family", family, "closure"), ("family", family, "success_at_budget"), ("difficulty", level, "closure")]
     structs = [F.struct(F.lit(d).alias("dimension"), lv.alias("level"), F.lit(k).alias("kind"), label[k].alias("label"))
                for d, lv, k in rows]
-    long = pairs.select(F.inline(F.array(*structs)))
-    return long.groupBy("dimension", "level", "kind", "label").agg(F.count(F.lit(1)).alias("n"))
+    long = pairs.select(*by, F.inline(F.array(*structs)))
+    return long.groupBy(*by, "dimension", "level", "kind", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def repetition_strata(pairs: DataFrame) -> DataFrame:
+def repetition_strata(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean paired difference (second arm - first) of the repeated-4-gram share, overall and in strata.
 
     Length buckets use the index picks n//4 and 3n//4 of the sorted pair lengths.
     """
     a, b = F.col("a"), F.col("b")
-    usable = settle(pairs.where(a.isNotNull() & b.isNotNull()).select(
+    keys = [*by] or ["__k"]
+    usable = settle(pairs.where(a.isNotNull() & b.isNotNull()).withColumn("__k", F.lit(1)).select(
+        *keys,
         (b["repeated_ngram_fraction_4"] - a["repeated_ngram_fraction_4"]).alias("delta"),
         F.coalesce(a["family"], F.lit("?")).alias("family"),
         F.when(a["think_end_reached"] & b["think_end_reached"], "both_closed").otherwise("other").alias("closure"),
         ((a["reasoning_tokens"] + b["reasoning_tokens"]) / 2).alias("length"),
     ), "usable-pairs")
-    bounds = order_statistics(usable.withColumn("__k", F.lit(1)), ["__k"], "length", {
-        "q1": lambda n: F.floor(n / 4), "q3": lambda n: F.floor(n * 3 / 4)}).select("__k", "q1", "q3")
-    rows = usable.withColumn("__k", F.lit(1)).join(F.broadcast(bounds), "__k")  # one row by construction
+    bounds = order_statistics(usable, keys, "length", {
+        "q1": lambda n: F.floor(n / 4), "q3": lambda n: F.floor(n * 3 / 4)}).select(*keys, "q1", "q3")
+    rows = join_null_safe(usable, bounds, keys)
     bucket = F.when(F.col("length") <= F.col("q1"), "short").when(F.col("length") >= F.col("q3"), "long").otherwise("mid")
     strata = [("overall", F.lit("ALL")), ("family", F.col("family")), ("closure_state", F.col("closure")),
               ("length_bucket", bucket)]
-    long = rows.select("delta", "q1", "q3", F.inline(F.array(*[
+    long = rows.select(*keys, "delta", "q1", "q3", F.inline(F.array(*[
         F.struct(F.lit(k).alias("stratum_kind"), v.alias("stratum")) for k, v in strata])))
-    return long.groupBy("stratum_kind", "stratum").agg(
+    return long.groupBy(*keys, "stratum_kind", "stratum").agg(
         F.count(F.lit(1)).alias("n_paired_draws"), F.avg("delta").alias("mean_delta"),
         F.max("q1").alias("q1"), F.max("q3").alias("q3"),
-    )
+    ).drop("__k")

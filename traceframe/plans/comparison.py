@@ -138,34 +138,37 @@ def degenerate_guard(stats: DataFrame, degenerate: Column) -> DataFrame:
     return out
 
 
-def long_pairs(pairs: DataFrame, metrics: Mapping[str, Column] | Sequence[str]) -> DataFrame:
-    """(metric, task_id, arm, value) of usable pairs whose arm structs carry the metric columns."""
+def long_pairs(pairs: DataFrame, metrics: Mapping[str, Column] | Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, metric, task_id, arm, value) of usable pairs whose arm structs carry the metric columns."""
     names = list(metrics)
     rows = []
     for tag, arm in (("a", "A"), ("b", "B")):
         rows += [F.struct(F.lit(m).alias("metric"), F.lit(arm).alias("arm"),
                           F.col(f"{tag}.m_{m}").alias("value")) for m in names]
-    return pairs.select("task_id", F.inline(F.array(*rows)))
+    return pairs.select(*by, "task_id", F.inline(F.array(*rows)))
 
 
 def metric_panel(records: DataFrame, n_resamples: int = 2000, seed: int = 0, arm: str = "arm",
-                 arms: tuple[str, str] = ("A", "B"), scheme: str = "multinomial") -> DataFrame:
+                 arms: tuple[str, str] = ("A", "B"), scheme: str = "multinomial", by: Sequence[str] = ()) -> DataFrame:
     """Per metric: paired clustered delta with interval, noise of both arms, label and short summaries.
 
-    Draws are collapsed and paired once; all metrics run through one resampling.
+    Draws are collapsed and paired once; all metrics, and all groups of ``by`` (the pairs of ``pair_records``), run through
+    one resampling.  A metric without values has its row, with counts of zero and no estimates.
     """
+    by = list(by)
+    keys = [*by, "metric"]
     metrics = metric_columns()
     wide = records.where(F.col(arm).isin(*arms)).select("*", *[c.alias(f"m_{m}") for m, c in metrics.items()])
-    pairs = usable_pairs(paired_draws(wide, [f"m_{m}" for m in metrics], arm, arms))
-    values = long_pairs(pairs, metrics).where(F.col("value").isNotNull())
+    pairs = usable_pairs(paired_draws(wide, [f"m_{m}" for m in metrics], arm, arms, by=by))
+    values = long_pairs(pairs, metrics, by).where(F.col("value").isNotNull())
     # summaries and cluster cells from one pass over the paired values
-    cells = settle(values.groupBy("metric", "task_id").agg(*[
+    cells = settle(values.groupBy(*keys, "task_id").agg(*[
         agg for tag, a in (("a", "A"), ("b", "B")) for agg in (
             F.avg(F.when(F.col("arm") == a, F.col("value"))).alias(f"m_{tag}"),
             F.count(F.when(F.col("arm") == a, 1)).alias(f"n_{tag}"),
             F.coalesce(F.var_pop(F.when(F.col("arm") == a, F.col("value"))), F.lit(0.0)).alias(f"v_{tag}"),
         )]), "panel-cells")
-    stats = cells.groupBy("metric").agg(
+    stats = cells.groupBy(*keys).agg(
         F.count(F.col("m_a") - F.col("m_b")).alias("n_clusters"),
         (F.sum("n_a") + F.sum("n_b")).alias("n_obs"),
         F.avg(F.col("m_a") - F.col("m_b")).alias("mean"),
@@ -174,19 +177,24 @@ def metric_panel(records: DataFrame, n_resamples: int = 2000, seed: int = 0, arm
             F.try_divide(F.sum(F.col(f"n_{t}") * F.col(f"m_{t}")), F.sum(f"n_{t}")).alias(f"mean_{t}"))],
     )
     # pooled sample variance from cluster means and variances, centred on the overall mean
-    spread = join_null_safe(cells.select("metric", *[f"{c}_{t}" for t in "ab" for c in "mnv"]),
-                            stats.select("metric", "mean_a", "mean_b"), ["metric"], filled=["metric"])
-    spread = spread.groupBy("metric").agg(*[
+    spread = join_null_safe(cells.select(*keys, *[f"{c}_{t}" for t in "ab" for c in "mnv"]),
+                            stats.select(*keys, "mean_a", "mean_b"), keys, filled=["metric"])
+    spread = spread.groupBy(*keys).agg(*[
         F.sum(F.col(f"n_{t}") * (F.col(f"v_{t}") + F.pow(F.col(f"m_{t}") - F.col(f"mean_{t}"), 2.0))).alias(f"ss_{t}")
         for t in "ab"])
-    deltas = cells.select("metric", F.col("task_id").alias("__cl"), (F.col("m_a") - F.col("m_b")).alias("__v")).where(
+    deltas = cells.select(*keys, F.col("task_id").alias("__cl"), (F.col("m_a") - F.col("m_b")).alias("__v")).where(
         "__v IS NOT NULL")
-    out = _with_ci(stats, replicate_means(deltas, ["metric"], "__cl", "__v", n_resamples, seed, scheme), ["metric"], 0.05)
-    out = join_null_safe(out, spread, ["metric"], filled=["metric"])
-    noise = noise_scale(wide, [arm], [f"m_{m}" for m in metrics]).groupBy("metric").agg(
+    out = _with_ci(stats, replicate_means(deltas, keys, "__cl", "__v", n_resamples, seed, scheme), keys, 0.05)
+    out = join_null_safe(out, spread, keys, filled=["metric"])
+    noise = noise_scale(wide, [*by, arm], [f"m_{m}" for m in metrics]).groupBy(*keys).agg(
         *[F.max(F.when(F.col(arm) == a, F.col("noise_scale"))).alias(f"noise_scale_{t}") for t, a in zip("ab", arms)]
     ).withColumn("metric", F.expr("substring(metric, 3)"))
-    out = join_null_safe(out, noise, ["metric"], "left", filled=["metric"])
+    every = F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric")
+    groups = wide.select(*by).distinct() if by else wide.sparkSession.range(1)
+    out = join_null_safe(groups.select(*by, every), out, keys, "left", filled=["metric"])
+    out = join_null_safe(out, noise, keys, "left", filled=["metric"])
+    for c in ("n_clusters", "n_obs", "n_a", "n_b"):
+        out = out.withColumn(c, F.coalesce(c, F.lit(0).cast("bigint")))
     combined = combine_noise(F.col("noise_scale_a"), F.col("noise_scale_b"))
 
     def std(t: str) -> Column:
@@ -194,7 +202,7 @@ def metric_panel(records: DataFrame, n_resamples: int = 2000, seed: int = 0, arm
         return F.when(n > 1, F.sqrt(F.col(f"ss_{t}") / (n - 1))).when(n == 1, F.lit(0.0)).alias(f"std_{t}")
 
     return out.select(
-        "metric", "n_clusters", "n_obs", "mean", "lo", "hi", "excludes_zero", "noise_scale_a", "noise_scale_b",
+        *keys, "n_clusters", "n_obs", "mean", "lo", "hi", "excludes_zero", "noise_scale_a", "noise_scale_b",
         combined.alias("noise_scale"),
         classify_effect(F.col("mean"), F.col("excludes_zero"), combined).alias("classification"),
         "n_a", "mean_a", std("a"), "n_b", "mean_b", std("b"),
@@ -212,15 +220,9 @@ def paired_precision(df: DataFrame, groups: Sequence[str], cluster: str, value:
     return out.withColumn("se", se).withColumn("ci_half_width", se * F.lit(z))
 
 
-def cross_study(panels: Mapping[str, DataFrame], metric: str = "reasoning_closure_rate") -> DataFrame:
-    """Studies side by side; pooling is withheld on purpose."""
-    out = None
-    for label, panel in panels.items():
-        row = panel.where(F.col("metric") == metric).select(
-            F.lit(label).alias("label"), "n_clusters", "n_obs", F.col("mean").alias("closure_rate_delta"),
-            F.col("lo").alias("closure_rate_lo"), F.col("hi").alias("closure_rate_hi"),
-            F.lit(None).cast("double").alias("pooled"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
-
+def cross_study(panel: DataFrame, label: str = "pair_id", metric: str = "reasoning_closure_rate") -> DataFrame:
+    """Studies of one ``metric_panel`` by ``label`` side by side; pooling is withheld on purpose."""
+    return panel.where(F.col("metric") == metric).select(
+        F.col(label).alias("label"), "n_clusters", "n_obs", F.col("mean").alias("closure_rate_delta"),
+        F.col("lo").alias("closure_rate_lo"), F.col("hi").alias("closure_rate_hi"), F.lit(None).cast("double").alias("pooled"),
+    )
