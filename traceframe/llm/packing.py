@@ -16,7 +16,7 @@ from ..session import settle
 from .records import whole_text
 
 #: Words whose ids one Python task keeps; when full, the memory starts anew.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 250_000
 #: Texts with other characters go to the tokenizer as a whole: libraries may differ in the Unicode version of their letters.
 PLAIN = "\0-\u04ff"
 #: A blank beside another blank or at the end: the splitter then cuts elsewhere than before a blank.
@@ -104,8 +104,8 @@ def cut_pieces(traces: DataFrame, tokenizer: str, end_id: int, capacity: int, ma
         tokens = TokenBytes(tokenizer)
         for batch in batches:
             take, start, length, cls, crc, total = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = memoryview(tokens(text) + end)
+            for row, text in enumerate(batch.column(1)):
+                ids = memoryview(tokens(text.as_py()) + end)
                 at, n = 0, len(ids) // 4
                 for size, k in harmonic_cuts(n, capacity, max_waste):
                     take.append(row)
