@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("survival", "scalars", "sequences", "draws", "population", "aggregates", "comparison", "transitions", "evidence",
+AREAS = ("survival", "scalars", "sequences", "draws", "population", "aggregates", "comparison", "compare", "transitions", "evidence",
          "streams")
 
 
