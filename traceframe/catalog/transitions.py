@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as G
 from ..operators import pairing as M
 from ..operators import transitions as T
+from ..functions.status import FORCED_OUTCOMES
 from ..plans.recoverability import paired_recoverability
 from .population import JOINT, PAIRS
 from .registry import query
@@ -157,26 +158,35 @@ def ci_part(kind):
     return f"SELECT checkpoint_label, '{kind}' AS kind, cl, v FROM c_{kind}"
 
 
+N_JOINT = "count(*) FILTER (a IS NOT NULL AND b IS NOT NULL)"
+
+
 @query("paired_recoverability", f"""WITH {JOINT}, {delta_ctes('correct')}, {delta_ctes('scorable_incorrect')},
 vals AS ({ci_part('correct')} UNION ALL {ci_part('scorable_incorrect')}), {resample_means('checkpoint_label, kind', REC_R)},
 ci AS (SELECT checkpoint_label, kind, quantile_cont(estimate, 0.025) AS lo, quantile_cont(estimate, 0.975) AS hi FROM reps GROUP BY 1, 2),
 s AS (SELECT checkpoint_label, kind, avg(v) AS mean, count(DISTINCT round(v, 9)) < 2 AS degenerate FROM vals GROUP BY 1, 2),
 d AS (SELECT checkpoint_label, kind, round(mean, 6) + 0.0 AS mean, degenerate, CASE WHEN NOT degenerate THEN round(lo, 6) + 0.0 END AS lo, CASE WHEN NOT degenerate THEN round(hi, 6) + 0.0 END AS hi
   FROM s JOIN ci USING (checkpoint_label, kind)),
-tb AS (SELECT checkpoint_label, count(*) AS n_jointly_eligible, count(DISTINCT task_id) AS n_tasks,
-  round(count(*) FILTER (outcome_a = 'correct') / count(*), 6) AS a_recoverable_rate, round(count(*) FILTER (outcome_b = 'correct') / count(*), 6) AS b_recoverable_rate,
-  round(count(*) FILTER (outcome_a IN ('correct', 'scorable_incorrect')) / count(*), 6) AS a_scorable_rate,
-  round(count(*) FILTER (outcome_b IN ('correct', 'scorable_incorrect')) / count(*), 6) AS b_scorable_rate,
-  count(*) FILTER (outcome_a = 'correct' AND outcome_b = 'correct') AS correct_both, count(*) FILTER (outcome_a = 'correct' AND outcome_b <> 'correct') AS correct_only_a,
-  count(*) FILTER (outcome_a <> 'correct' AND outcome_b = 'correct') AS correct_only_b, count(*) FILTER (outcome_a <> 'correct' AND outcome_b <> 'correct') AS correct_neither,
+declared AS (SELECT DISTINCT checkpoint_label FROM selected UNION SELECT 'never_reached'),
+sides AS (SELECT checkpoint_label, task_id, seed, arg_max(outcome, checkpoint) FILTER (arm = 'A') AS a, arg_max(outcome, checkpoint) FILTER (arm = 'B') AS b FROM selected GROUP BY ALL),
+tb AS (SELECT checkpoint_label, {N_JOINT} AS n_jointly_eligible, count(DISTINCT task_id) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_tasks, count(a) AS a_eligible, count(b) AS b_eligible,
+  {', '.join(f"count(*) FILTER ({t} = '{o}' AND {u} IS NOT NULL) AS {t}_{o}" for t, u in ('ab', 'ba') for o in FORCED_OUTCOMES)},
+  {', '.join(f"round(count(*) FILTER ({t} = 'correct' AND {u} IS NOT NULL) / nullif({N_JOINT}, 0), 6) AS {t}_recoverable_rate" for t, u in ('ab', 'ba'))},
+  {', '.join(f"round(count(*) FILTER ({t} IN ('correct', 'scorable_incorrect') AND {u} IS NOT NULL) / nullif({N_JOINT}, 0), 6) AS {t}_scorable_rate" for t, u in ('ab', 'ba'))},
+  {', '.join(f"count(*) FILTER (a = '{k}' AND b = '{k}') AS {k}_both, count(*) FILTER (a = '{k}' AND b <> '{k}') AS {k}_only_a, count(*) FILTER (a <> '{k}' AND b = '{k}') AS {k}_only_b, count(*) FILTER (a <> '{k}' AND b <> '{k}') AS {k}_neither" for k in ('correct', 'scorable_incorrect'))},
   count(*) FILTER (NOT sa AND NOT sb) AS both_indeterminate, count(*) FILTER (NOT sa AND sb) AS only_a_indeterminate,
   count(*) FILTER (sa AND NOT sb) AS only_b_indeterminate, count(*) FILTER (sa AND sb) AS both_observed
-  FROM (SELECT *, outcome_a IN ('correct', 'scorable_incorrect') AS sa, outcome_b IN ('correct', 'scorable_incorrect') AS sb FROM joint) j GROUP BY 1)
-SELECT tb.*, {', '.join(f"{k}.{c} AS {k}_delta_{c}" for k in ('correct', 'scorable_incorrect') for c in ('mean', 'lo', 'hi', 'degenerate'))}
-FROM tb JOIN (SELECT * FROM d WHERE kind = 'correct') correct USING (checkpoint_label)
- JOIN (SELECT * FROM d WHERE kind = 'scorable_incorrect') scorable_incorrect USING (checkpoint_label)""")
+  FROM (SELECT checkpoint_label, s.* EXCLUDE (checkpoint_label), a IN ('correct', 'scorable_incorrect') AS sa, b IN ('correct', 'scorable_incorrect') AS sb
+    FROM declared LEFT JOIN sides s USING (checkpoint_label)) j GROUP BY 1)
+SELECT tb.*, {', '.join(f"{k}.{c} AS {k}_delta_{c}" for k in ('correct', 'scorable_incorrect') for c in ('mean', 'lo', 'hi'))},
+  {', '.join(f"coalesce({k}.degenerate, true) AS {k}_delta_degenerate" for k in ('correct', 'scorable_incorrect'))}
+FROM tb LEFT JOIN (SELECT * FROM d WHERE kind = 'correct') correct USING (checkpoint_label)
+ LEFT JOIN (SELECT * FROM d WHERE kind = 'scorable_incorrect') scorable_incorrect USING (checkpoint_label)""")
 def _(t):
-    return paired_recoverability(M.select_checkpoints(t("probes")), n_resamples=REC_R)
+    selected = M.select_checkpoints(t("probes"))
+    labels = selected.select("checkpoint_label").unionByName(t.spark.createDataFrame([("never_reached",)], "checkpoint_label string")).distinct()
+    declared = labels.withColumn("arm", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    return paired_recoverability(selected, n_resamples=REC_R, declared=declared)
 
 
 OUTCOME = f"""{PAIRS}, os AS (SELECT trial_id, family, difficulty, think_end_reached AS cl, correct AS co, answer_normalized IS NOT NULL AS sc, {STATUS_SQL} AS st,
