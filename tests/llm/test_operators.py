@@ -78,6 +78,22 @@ def test_exact_dedup(traces, records, keep):
     assert got(exact_dedup(traces, keep, fan_in=2), "trial_id", "keep_id", "group_size", "kept", "text_sha256") == want
 
 
+def test_runs_are_merged_across_batches(spark):
+    """One text fills a third of many small batches; identifiers are structs with nulls."""
+    texts = [("copy" if i % 3 == 0 else f"t{i % 50}", None if i % 11 == 0 else i) for i in range(700)]
+    df = spark.createDataFrame(texts, "text string, i int").selectExpr("text", "struct(i, 1 AS k) AS trial_id").repartition(9)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = exact_dedup(df, "largest", fan_in=2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sizes = Counter(t for t, _ in texts)
+    most = {t: max(i for x, i in texts if x == t and i is not None) for t in sizes}
+    digests = {hashlib.sha256(t.encode()).hexdigest(): t for t in sizes}
+    assert len(rows) == 700 and all((r.group_size, r.keep_id.i) == (sizes[digests[r.text_sha256]], most[digests[r.text_sha256]]) for r in rows)
+
+
 @pytest.mark.parametrize("limit", [50_000, 3])
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_remove_repeats(traces, records, keep_first, limit, monkeypatch):

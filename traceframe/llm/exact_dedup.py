@@ -55,7 +55,7 @@ def merged_runs(runs: DataFrame, largest: bool) -> DataFrame:
             first = np.concatenate([[0], np.flatnonzero(changed) + 1])
             sizes = np.add.reduceat(table["group_size"].to_numpy(), first)
             shrunk = table.take(pa.array(first))
-            shrunk = shrunk.set_column(len(RUN_ORDER) + 1, "group_size", pa.array(sizes, pa.int64()))
+            shrunk = shrunk.set_column(len(RUN_ORDER) + 1, batch.schema.field("group_size"), pa.array(sizes, pa.int64()))
             held = shrunk.slice(len(shrunk) - 1)
             yield from shrunk.slice(0, len(shrunk) - 1).combine_chunks().to_batches()
         if held is not None:
