@@ -173,3 +173,9 @@ def test_intent_lifts_a_refusal_and_overrides_bar_publication(spark):
     assert one(V.publication_gate(clean))["publication_grade"]
     forced = one(V.publication_gate(V.comparability_gate(df, *args), allow_confounded=True))
     assert forced["overrides_applied"] == ["confounded"] and not forced["publication_grade"] and not forced["refused"]
+
+
+def test_overlaps_of_every_pair_of_populations(spark):
+    df = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("c", "2"), ("d", "3"), (None, "3"), ("a", None)], "p string, x string")
+    out = {(r["first"], r["second"]): r["overlap"] for r in rows(P.disjointness(df, "p", ["a", "b", "c", "d"], ["x"]))}
+    assert out == {("a", "b"): 1, ("a", "c"): 0, ("a", "d"): 0, ("b", "c"): 1, ("b", "d"): 0, ("c", "d"): 0}

@@ -319,11 +319,20 @@ def _(t):
     return P.collision_audit(t("tasks"), "signature", "population")
 
 
-@query("disjointness", """SELECT kind AS id_kind, count(*) FILTER (a AND b) AS overlap, count(*) FILTER (a AND b) = 0 AS disjoint FROM (
-  SELECT 'signature' AS kind, signature AS id, bool_or(family = 'en') AS a, bool_or(family = 'fr') AS b FROM tasks WHERE family IN ('en', 'fr') GROUP BY ALL
-  UNION ALL SELECT 'population', population, bool_or(family = 'en'), bool_or(family = 'fr') FROM tasks WHERE family IN ('en', 'fr') GROUP BY ALL) x GROUP BY 1""")
+LANGS = ("de", "en", "es", "fr")
+
+
+def shared_sql(kind):
+    return f"""SELECT '{kind}' AS id_kind, x.family AS first, y.family AS second, count(DISTINCT x.{kind}) AS overlap FROM tasks x JOIN tasks y
+  ON x.{kind} = y.{kind} AND x.family < y.family GROUP BY ALL"""
+
+
+@query("disjointness", f"""WITH f(first) AS (VALUES {', '.join(f"('{x}')" for x in LANGS)}), k(id_kind) AS (VALUES ('signature'), ('population')),
+shared AS ({shared_sql('signature')} UNION ALL {shared_sql('population')})
+SELECT k.id_kind, f.first, g.first AS second, coalesce(overlap, 0) AS overlap, coalesce(overlap, 0) = 0 AS disjoint
+FROM k JOIN f ON true JOIN f g ON f.first < g.first LEFT JOIN shared s ON s.id_kind = k.id_kind AND s.first = f.first AND s.second = g.first""")
 def _(t):
-    return P.disjointness(t("tasks"), "family", ("en", "fr"), ["signature", "population"])
+    return P.disjointness(t("tasks"), "family", LANGS, ["signature", "population"])
 
 
 def digest_sql(item, source, name, group="population"):
