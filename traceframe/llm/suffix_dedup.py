@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings from trace texts by a suffix array over chosen positions."""
+"""Removal of long repeated byte strings from trace texts, found by hashes of the strings around chosen positions."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .records import whole_text
 
-#: Contexts of one gram that one task orders; beyond it its suffixes are ordered by a shuffle.
+#: Contexts of one gram that one task compares; beyond it its strings meet in a shuffle.
 GRAM_CONTEXTS = 50_000
 #: Bytes of a text that are looked at in one step.
 BLOCK = 1 << 20
@@ -29,7 +29,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class AnchorFinder:
-    """Chooses the positions of a text at which suffixes enter the suffix array.
+    """Chooses the positions of a text around which strings are compared.
 
     A position is chosen when the hash of its gram (half a string long) is the smallest of some string of ``length``
     bytes around it.  Equal strings choose equal grams, so every repeated string holds a repeated anchor at the same
@@ -236,7 +236,7 @@ def suffix_spans(sides: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
 
 def shuffled_suffix_spans(sides: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """The same for grams with very many contexts: every suffix is a row, and Spark brings equal ones together."""
+    """The same for grams with very many contexts: every string is a row, and Spark brings equal ones together."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
@@ -313,11 +313,11 @@ def remove_repeats(traces: DataFrame, length: int = 400, keep_first: bool = True
     before it in the same text.  Otherwise all its occurrences go.  Strings are judged on the input, may overlap, and never
     cross texts.
 
-    The longest-previous-factor array is needed only as far as ``length``, and only at some suffixes: those around anchors
-    (``AnchorFinder``) whose gram occurs twice.  Suffixes of a gram are put in order; in a run that agrees in ``length``
-    bytes, the previous smaller position gives the earlier match (``repeated_suffixes``).  Anchors with the same bytes all
-    around are merged before, so a passage that thousands of texts share is put in order once; whole copies of a text
-    never enter.  A gram with very many contexts is ordered by a shuffle.
+    There is no suffix order and no longest-previous-factor array: only whether a factor reaches ``length`` matters, so
+    the strings of ``length`` bytes around anchors (``AnchorFinder``) whose gram occurs twice are told by a 64-bit hash of
+    their bytes and brought together by it; the smallest place of equal ones is the earlier match.  Anchors with the same
+    bytes all around are merged before, so a passage that thousands of texts share is compared once; whole copies of a
+    text never enter.  A gram with very many contexts is handled by a shuffle.  Equal hashes are taken for equal strings.
 
     Returns one row per input row: ``trial_id, n_bytes, spans`` (removed runs as ``start, end``, maximal and ascending),
     ``kept_sha256`` (hexadecimal sha256 of the remaining bytes).  Null text is empty.  Rows that repeat a ``trial_id`` and
