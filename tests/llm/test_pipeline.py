@@ -14,7 +14,7 @@ COLUMNS = {"doc_id", "text", "lang", "source", "n_chars"}
 
 def test_queries_are_registered():
     names = list(entry.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
 
 
 def test_stages(spark):
@@ -48,6 +48,23 @@ def test_empty_corpus(spark):
         assert stage(spark, docs, SF).count() == 0
 
 
+def test_stages_on_long_texts_ties_and_other_columns(spark):
+    """A text of a megabyte, ids that repeat with the same and with other texts, null ids, and columns named like the stages' own."""
+    long = " ".join(f"w{i * 7919 % 200_003}" for i in range(150_000))
+    texts = [(1, long), (2, long + " end"), (3, "some words " * 3 + "that are few but enough to stay in the corpus"), (3, "another text of the same id, long enough to be kept by the rules"),
+             (4, "a text that stands twice with one id and is long enough to be kept"), (4, "a text that stands twice with one id and is long enough to be kept"),
+             (None, "a text without an id that is long enough to be kept by the rules"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", "y") for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, id string, token string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        docs = spark.createDataFrame(kept.collect(), docs.schema)
+        found = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "simhash_near_dedup":
+            assert sorted((i or 0, len(t)) for i, t in found) == sorted((i or 0, len(t)) for i, t in {(1, long), *texts[2:7]})
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == {r.doc_id for r in docs.collect()}
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
