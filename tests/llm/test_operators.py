@@ -493,6 +493,40 @@ def test_score_quality(traces, records, spark):
     assert all(len(text_features(t or "")) == len(FEATURES) and np.isfinite(text_features(t or "")).all() for _, t, *_ in records)
 
 
+def test_scores_are_those_of_a_plain_discriminant(traces, records, spark):
+    """Two-pass class moments, dense inverses and determinants, texts scored one by one; labels repeat, some are null."""
+    rng = random.Random(9)
+    truth = [(r[0], int(len(set(words(r[1]))) >= 25) if rng.random() < 0.95 else rng.randrange(2)) for r in records if r[0] is not None]
+    truth += [truth[0], truth[1], (truth[2][0], None), (None, 1)]
+    got_rows = score_quality(traces, spark.createDataFrame(truth, "trial_id bigint, good int")).collect()
+    by_id = defaultdict(list)
+    for r in records:
+        by_id[r[0]].append(text_features(r[1] or ""))
+    labelled = [(x, good) for i, good in truth if i is not None and good is not None for x in by_id[i]]
+    x, y = np.array([a for a, _ in labelled]), np.array([g for _, g in labelled])
+    scale = np.sqrt(np.maximum(x.var(axis=0), 1e-12))
+    scale[scale <= 1e-5] = 1.0
+    z = (x - x.mean(axis=0)) / scale
+    spreads = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).mean() * spreads[k] for k in (0, 1))
+    terms = []
+    for k in (0, 1):
+        s = 0.8 * spreads[k] + 0.2 * pooled
+        s = 0.9 * s + 0.1 * np.diag(np.diag(s)) + 1e-3 * np.eye(len(s))
+        terms.append((z[y == k].mean(axis=0), np.linalg.inv(s), np.log((y == k).mean()) - np.linalg.slogdet(s)[1] / 2))
+
+    def plain(text):
+        v = np.clip((np.array(text_features(text or "")) - x.mean(axis=0)) / scale, -8, 8)
+        logs = [c - (v - m) @ inverse @ (v - m) / 2 for m, inverse, c in terms]
+        return 1 / (1 + np.exp(-np.clip(0.5 * (logs[1] - logs[0]), -700, 700)))
+
+    want = defaultdict(list)
+    for r in records:
+        want[r[0]].append(plain(r[1]))
+    for i in want:
+        assert sorted(r.score for r in got_rows if r.trial_id == i) == pytest.approx(sorted(want[i]), abs=1e-6)
+
+
 def test_held_out_quality(spark):
     import __spark_entry__ as entry
 

@@ -46,7 +46,7 @@ def op1_line_dedup(spark, sf_dir):
 
 @query
 def op2_quality_classifier(spark, sf_dir):
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
     scored = score_quality(traces(spark, sf_dir), labels.select(F.col("doc_id").alias("trial_id"), F.col("quality").alias("good")))
     return by_document(scored, "score", "predicted").select("doc_id", held_out.alias("held_out"), "score", "predicted")
